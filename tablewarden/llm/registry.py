@@ -1,11 +1,13 @@
 """The corpus queries by name and, where DuckDB can express them, their SQL."""
 
-from tablewarden.llm import exact_dedup
+from tablewarden.llm import exact_dedup, mixing
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
+    "op3_source_mixing": mixing.query,
 }
 
 ORACLE_SQL = {
     "op1_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op3_source_mixing": mixing.ORACLE_SQL,
 }
