@@ -1,10 +1,11 @@
 """The corpus queries by name and, where DuckDB can express them, their SQL."""
 
-from tablewarden.llm import exact_dedup, mixing
+from tablewarden.llm import exact_dedup, mixing, quality
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
     "op3_source_mixing": mixing.query,
+    "op6_quality_classifier": quality.query,
 }
 
 ORACLE_SQL = {
