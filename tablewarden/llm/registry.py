@@ -1,11 +1,12 @@
 """The corpus queries by name and, where DuckDB can express them, their SQL."""
 
-from tablewarden.llm import exact_dedup, mixing, quality
+from tablewarden.llm import exact_dedup, mixing, quality, simhash
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
     "op3_source_mixing": mixing.query,
     "op6_quality_classifier": quality.query,
+    "op7_simhash_near_dedup": simhash.query,
 }
 
 ORACLE_SQL = {
