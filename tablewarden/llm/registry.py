@@ -1,6 +1,6 @@
 """The corpus queries by name and, where DuckDB can express them, their SQL."""
 
-from tablewarden.llm import ann, exact_dedup, lm_score, mixing, quality, secrets, simhash
+from tablewarden.llm import ann, exact_dedup, lm_score, mixing, quality, secrets, simhash, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
@@ -8,6 +8,7 @@ QUERIES = {
     "op5_lm_scoring": lm_score.query,
     "op6_quality_classifier": quality.query,
     "op7_simhash_near_dedup": simhash.query,
+    "op8_warc_archives": warc.query,
     "op9_nearest_neighbours": ann.query,
     "op10_secret_scan": secrets.query,
 }
