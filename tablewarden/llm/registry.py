@@ -1,10 +1,11 @@
 """The corpus queries by name and, where DuckDB can express them, their SQL."""
 
-from tablewarden.llm import ann, exact_dedup, lm_score, mixing, quality, secrets, simhash, warc
+from tablewarden.llm import ann, exact_dedup, lm_score, mixing, pieces, quality, secrets, simhash, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
     "op3_source_mixing": mixing.query,
+    "op4_sentencepiece": pieces.query,
     "op5_lm_scoring": lm_score.query,
     "op6_quality_classifier": quality.query,
     "op7_simhash_near_dedup": simhash.query,
