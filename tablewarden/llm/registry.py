@@ -1,9 +1,10 @@
 """The corpus queries by name and, where DuckDB can express them, their SQL."""
 
-from tablewarden.llm import ann, exact_dedup, lm_score, mixing, pieces, quality, secrets, simhash, warc
+from tablewarden.llm import ann, exact_dedup, line_dedup, lm_score, mixing, pieces, quality, secrets, simhash, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
+    "op2_line_dedup": line_dedup.query,
     "op3_source_mixing": mixing.query,
     "op4_sentencepiece": pieces.query,
     "op5_lm_scoring": lm_score.query,
@@ -16,5 +17,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op2_line_dedup": line_dedup.ORACLE_SQL,
     "op3_source_mixing": mixing.ORACLE_SQL,
 }
