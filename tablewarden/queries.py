@@ -1,4 +1,526 @@
-"""The registered queries on the supplied tables and their SQL."""
+"""The registered queries on the supplied tables, and the same in SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tablewarden import views as V
+from tablewarden.operators import alerts, answers, contract, duplicates, evaluate, models, overlap, profile, splits
+from tablewarden.plans import runs
+from tablewarden.sources import tables
 
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+SPLITS = ["train", "validation", "test"]
+EXPECTED = ["click", "error", "login", "purchase", "view"]  # differs from what is there on purpose
+FLOW = (V.FEATURES, V.LABEL)
+WIDE = (V.WIDE_FEATURES, V.WIDE_LABEL)
+RUN, DATASET = "run1", "events"
+
+_FLOWS = "flows AS (SELECT event_id AS row_id, user_id, CAST(floor(value) AS BIGINT) AS v, event_type FROM events)"
+_RANKED = _FLOWS + """, ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY md5('42:' || row_id), row_id) AS rk FROM flows
+), counts AS (SELECT event_type, count(*) AS n, sum(count(*)) OVER ()::BIGINT AS total FROM flows GROUP BY event_type)"""
+_SPLIT = _RANKED + """, q1 AS (
+  SELECT *, (15 * total + 99) // 100 AS n_test FROM counts
+), q2 AS (
+  SELECT *, n_test::HUGEINT * n // total AS f, n_test::HUGEINT * n % total AS r FROM q1
+), q3 AS (
+  SELECT *, f + CASE WHEN row_number() OVER (ORDER BY r DESC, event_type) <= n_test - sum(f) OVER () THEN 1 ELSE 0 END AS test FROM q2
+), q4 AS (
+  SELECT *, n - test AS m, total - n_test AS mt, (15 * (total - n_test) + 84) // 85 AS n_val FROM q3
+), q5 AS (
+  SELECT *, n_val::HUGEINT * m // mt AS f2, n_val::HUGEINT * m % mt AS r2 FROM q4
+), q6 AS (
+  SELECT *, f2 + CASE WHEN row_number() OVER (ORDER BY r2 DESC, event_type) <= n_val - sum(f2) OVER () THEN 1 ELSE 0 END AS val FROM q5
+), flows_split AS (
+  SELECT row_id, user_id, v, event_type, CASE WHEN rk <= test THEN 'test' WHEN rk <= test + val THEN 'validation' ELSE 'train' END AS split
+  FROM ranked JOIN q6 USING (event_type)
+)"""
+_WIDE = "flows AS (SELECT l_quantity, l_discount, l_tax, l_linenumber, l_returnflag FROM lineitem)"
+_DIRTY = """flows_dirty AS (
+  SELECT event_id AS row_id, user_id, CASE WHEN event_id % 97 = 0 THEN NULL WHEN event_id % 101 = 0 THEN 'nan'::DOUBLE
+    WHEN event_id % 103 = 0 THEN 'inf'::DOUBLE WHEN event_id % 107 = 0 THEN '-inf'::DOUBLE ELSE value END AS value,
+    CASE WHEN event_id % 109 <> 0 THEN event_type END AS event_type FROM events
+)"""
+_GROUPS = "groups AS (SELECT user_id, v, count(*) AS n, count(DISTINCT event_type) AS n_labels FROM flows GROUP BY ALL)"
+_CONFLICT = _FLOWS + ", " + _GROUPS + ", bad AS (SELECT user_id, v, n, n_labels FROM groups WHERE n_labels > 1)"
+_CLEAN = _CONFLICT + """, kept AS (SELECT f.* FROM flows f WHERE NOT EXISTS (SELECT 1 FROM bad b WHERE b.user_id IS NOT DISTINCT FROM f.user_id AND b.v IS NOT DISTINCT FROM f.v)),
+clean AS (SELECT min(row_id) AS row_id, user_id, v, event_type FROM kept GROUP BY user_id, v, event_type)"""
+_VECTORS = _SPLIT + """, pairs AS (
+  SELECT split, user_id, v, event_type, count(*) AS n FROM flows_split WHERE split <> 'test' GROUP BY ALL
+), sets AS (
+  SELECT split, user_id, v, sum(n)::BIGINT AS n, count(*) AS pairs, max(n) AS most, count(DISTINCT event_type) AS k, string_agg(event_type, '|' ORDER BY event_type) AS labels
+  FROM pairs GROUP BY split, user_id, v
+), shared AS (
+  SELECT t.user_id, t.v, t.n AS n_t, w.n AS n_v, t.labels AS labels_t, w.labels AS labels_v, t.labels = w.labels AND t.k = 1 AND w.k = 1 AS same
+  FROM sets t JOIN sets w ON t.split = 'train' AND w.split = 'validation' AND t.user_id = w.user_id AND t.v = w.v
+)"""
+_ANNOTATED = _VECTORS + """, annotation AS (
+  SELECT f.row_id, s.labels IS NOT NULL AS feature_vector_in_training, coalesce(s.labels, '') AS training_labels_for_vector,
+    CASE WHEN s.labels IS NULL THEN 'not_in_training' WHEN s.labels = f.event_type THEN 'same_label_in_training' ELSE 'conflicting_label_in_training' END AS overlap_label_relation
+  FROM flows_split f LEFT JOIN sets s ON s.split = 'train' AND s.user_id = f.user_id AND s.v = f.v WHERE f.split = 'validation'
+)"""
+_PREDS = _FLOWS + """, said AS (
+  SELECT row_id, m.model_name, event_type AS actual,
+    CASE WHEN row_id % m.every = 0 THEN ['click', 'error', 'purchase', 'signup', 'view'][user_id % 5 + 1] ELSE event_type END AS predicted
+  FROM flows, (VALUES ('decision_tree', 4), ('random_forest', 7)) m(model_name, every)
+), preds AS (
+  SELECT row_id AS validation_row_index, model_name, 'full' AS run_mode, actual AS actual_attack_type, predicted AS predicted_attack_type, 0.6::DOUBLE AS prediction_confidence,
+    actual = predicted AS correct_multiclass_prediction, CASE WHEN actual = 'view' THEN 'NORMAL' ELSE 'ATTACK' END AS actual_binary,
+    CASE WHEN predicted = 'view' THEN 'NORMAL' ELSE 'ATTACK' END AS predicted_binary,
+    CASE WHEN actual = 'view' THEN CASE WHEN predicted = 'view' THEN 'TN' ELSE 'FP' END ELSE CASE WHEN predicted = 'view' THEN 'FN' ELSE 'TP' END END AS binary_error_type
+  FROM said
+)"""
+_PER = _PREDS + """, names AS (SELECT unnest(['click', 'error', 'purchase', 'signup', 'view']) AS class), per0 AS (
+  SELECT m.model_name, n.class, count(*) FILTER (actual_attack_type = class AND predicted_attack_type = class) AS tp,
+    count(*) FILTER (actual_attack_type = class) AS support, count(*) FILTER (predicted_attack_type = class) AS said
+  FROM (SELECT DISTINCT model_name FROM preds) m CROSS JOIN names n JOIN preds p ON p.model_name = m.model_name GROUP BY ALL
+), per AS (
+  SELECT *, CASE WHEN said = 0 THEN 0.0 ELSE tp::DOUBLE / said END AS "precision", CASE WHEN support = 0 THEN 0.0 ELSE tp::DOUBLE / support END AS recall,
+    CASE WHEN said + support = 0 THEN 0.0 ELSE (2 * tp)::DOUBLE / (said + support) END AS f1 FROM per0
+), averages AS (
+  SELECT model_name, sum(tp)::DOUBLE / sum(support) AS accuracy, sum(support)::BIGINT AS support, avg("precision") AS macro_precision, avg(recall) AS macro_recall, avg(f1) AS macro_f1,
+    sum("precision" * support) / sum(support) AS weighted_precision, sum(recall * support) / sum(support) AS weighted_recall, sum(f1 * support) / sum(support) AS weighted_f1
+  FROM per GROUP BY model_name
+)"""
+_BINARY = _PREDS + """, b AS (
+  SELECT model_name, count(*) FILTER (binary_error_type = 'TP') AS tp, count(*) FILTER (binary_error_type = 'TN') AS tn, count(*) FILTER (binary_error_type = 'FP') AS fp,
+    count(*) FILTER (binary_error_type = 'FN') AS fn, count(*) FILTER (NOT correct_multiclass_prediction AND binary_error_type = 'TP') AS attack_to_attack_errors,
+    count(*) FILTER (NOT correct_multiclass_prediction) AS total_errors, count(*) AS n_rows FROM preds GROUP BY model_name
+), rates AS (
+  SELECT *, round((tp + tn)::DOUBLE / n_rows, 6) AS accuracy, round(CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp::DOUBLE / (tp + fp) END, 6) AS "precision",
+    round(CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp::DOUBLE / (tp + fn) END, 6) AS recall, round(CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE (2 * tp)::DOUBLE / (2 * tp + fp + fn) END, 6) AS f1,
+    round(CASE WHEN fp + tn = 0 THEN 0.0 ELSE fp::DOUBLE / (fp + tn) END, 6) AS false_positive_rate, round(CASE WHEN fn + tp = 0 THEN 0.0 ELSE fn::DOUBLE / (fn + tp) END, 6) AS false_negative_rate FROM b
+)"""
+_ALERTS = _PREDS + """, alerts AS (
+  SELECT 'run1:' || model_name || ':' || lpad(validation_row_index::VARCHAR, greatest(7, length(validation_row_index::VARCHAR))::INT, '0') AS alert_id, 'run1' AS run_id, 'events' AS dataset,
+    model_name AS detector, validation_row_index AS row_id, predicted_attack_type AS attack_type, f.user_id, f.v
+  FROM preds JOIN flows f ON f.row_id = validation_row_index WHERE predicted_binary = 'ATTACK'
+)"""
+
+
+def query(name: str, sql: str | None = None):
+    def register(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql.strip()
+        return f
+
+    return register
+
+
+def on(view, name: str, sql: str, f):
+    QUERIES[name] = lambda spark, sf_dir: f(view(spark, sf_dir))
+    ORACLE_SQL[name] = sql.strip()
+
+
+# Profiles
+
+on(V.flows, "preview_rows", f"WITH {_FLOWS} SELECT * FROM flows WHERE row_id < 5000 ORDER BY row_id LIMIT 20", lambda d: tables.preview(d, V.ROW))
+on(
+    V.flows_dirty, "profile_nonnull",
+    f"""WITH {_DIRTY} SELECT 'row_id' AS column_name, 'bigint' AS data_type, count(row_id) AS n_nonnull FROM flows_dirty
+    UNION ALL SELECT 'user_id', 'bigint', count(user_id) FROM flows_dirty
+    UNION ALL SELECT 'value', 'double', count(*) FILTER (value IS NOT NULL AND NOT isnan(value)) FROM flows_dirty
+    UNION ALL SELECT 'event_type', 'string', count(event_type) FROM flows_dirty""",
+    profile.profile_nonnull,
+)
+
+
+def _rounded(df: DataFrame, *keep: str) -> DataFrame:
+    return df.select(*[F.col(c) if c in keep else F.round(c, 4).alias(c) for c in df.columns])
+
+
+_DESCRIBE = " UNION ALL ".join(
+    f"""SELECT '{c}' AS column_name, count({c}) AS n, round(avg({c}::DOUBLE), 4) AS mean, round(stddev_samp({c}::DOUBLE), 4) AS std, round(min({c})::DOUBLE, 4) AS "min",
+    round(quantile_cont({c}::DOUBLE, 0.25), 4) AS p25, round(quantile_cont({c}::DOUBLE, 0.5), 4) AS p50, round(quantile_cont({c}::DOUBLE, 0.75), 4) AS p75, round(max({c})::DOUBLE, 4) AS "max" FROM flows"""
+    for c in V.WIDE_FEATURES
+)
+on(V.flows_wide, "profile_describe", f"WITH {_WIDE} {_DESCRIBE}", lambda d: _rounded(profile.describe(d, V.WIDE_FEATURES), "column_name", "n"))
+on(
+    V.flows_dirty, "missing_counts",
+    f"""WITH {_DIRTY} SELECT * FROM (SELECT 'value' AS column_name, count(*) FILTER (value IS NULL OR isnan(value)) AS n FROM flows_dirty
+    UNION ALL SELECT 'event_type', count(*) FILTER (event_type IS NULL) FROM flows_dirty
+    UNION ALL SELECT 'user_id', count(*) FILTER (user_id IS NULL) FROM flows_dirty) WHERE n > 0""",
+    profile.missing_counts,
+)
+on(V.flows_dirty, "infinite_counts", f"WITH {_DIRTY} SELECT 'value' AS column_name, count(*) FILTER (isinf(value)) AS n FROM flows_dirty", profile.infinite_counts)
+on(
+    V.flows_dirty, "class_distribution",
+    f"WITH {_DIRTY} SELECT event_type, count(*) AS n, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 6) AS pct FROM flows_dirty GROUP BY event_type",
+    lambda d: profile.class_distribution(d, V.LABEL),
+)
+on(
+    V.flows, "class_distribution_ordered",
+    f"""WITH {_FLOWS}, names AS (SELECT unnest(range(0, 5))::INT AS class_pos, unnest(['click', 'error', 'login', 'purchase', 'view']) AS event_type)
+    SELECT coalesce(class_pos, 5)::INT AS class_pos, event_type, coalesce(n, 0) AS n FROM names FULL JOIN (SELECT event_type, count(*) AS n FROM flows GROUP BY 1) USING (event_type)""",
+    lambda d: profile.class_distribution_ordered(d, V.LABEL, EXPECTED),
+)
+on(
+    V.flows_split, "split_distribution_check",
+    f"WITH {_SPLIT} SELECT event_type, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 6) AS pct_whole, "
+    + ", ".join(f"round(100.0::DOUBLE * count(*) FILTER (split = '{s}') / sum(count(*) FILTER (split = '{s}')) OVER (), 6) AS pct_{s}" for s in SPLITS)
+    + " FROM flows_split GROUP BY event_type",
+    lambda d: profile.split_distribution(d, V.LABEL, "split", SPLITS),
+)
+on(
+    V.flows_split, "split_sizes",
+    f"WITH {_SPLIT} SELECT split, count(*) AS n, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 6) AS pct FROM flows_split GROUP BY split",
+    lambda d: profile.split_sizes(d, "split"),
+)
+
+# The contract
+
+_PARTED = f"""{_DIRTY}, parted AS (SELECT *, CASE WHEN row_id % 5 = 0 THEN 'validation' ELSE 'train' END AS split FROM flows_dirty)"""
+
+
+@query(
+    "contract_violations",
+    f"""WITH {_PARTED} SELECT * FROM (
+    SELECT split, 'value' AS column_name, 'missing' AS rule, count(*) FILTER (value IS NULL OR isnan(value)) AS n FROM parted GROUP BY split
+    UNION ALL SELECT split, 'user_id', 'missing', count(*) FILTER (user_id IS NULL) FROM parted GROUP BY split
+    UNION ALL SELECT split, 'value', 'infinite', count(*) FILTER (isinf(value)) FROM parted GROUP BY split
+    UNION ALL SELECT split, 'event_type', 'missing label', count(*) FILTER (event_type IS NULL) FROM parted GROUP BY split) WHERE n > 0""",
+)
+def contract_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parted = V.flows_dirty(spark, sf_dir).withColumn("split", F.when(F.col(V.ROW) % 5 == 0, "validation").otherwise("train"))
+    return contract.violations(parted, ["user_id", "value"], V.LABEL, "split")
+
+
+on(
+    V.flows_split, "contract_class_set",
+    f"""WITH {_SPLIT}, seen AS (SELECT DISTINCT split, event_type AS class FROM flows_split),
+    wanted AS (SELECT split, class FROM (SELECT DISTINCT split FROM seen) CROSS JOIN (SELECT unnest(['click', 'error', 'login', 'purchase', 'view']) AS class))
+    SELECT split, class, 'missing' AS status FROM (FROM wanted EXCEPT FROM seen) UNION ALL SELECT split, class, 'unexpected' FROM (FROM seen EXCEPT FROM wanted)""",
+    lambda d: contract.class_set(d, V.LABEL, "split", EXPECTED),
+)
+on(
+    V.flows_split, "contract_unseen_classes",
+    f"""WITH {_SPLIT} SELECT DISTINCT event_type AS class FROM flows_split WHERE split = 'validation' AND event_type NOT IN
+    (SELECT event_type FROM flows_split WHERE split = 'train' AND event_type <> 'signup')""",
+    lambda d: contract.unseen_classes(d.filter("NOT (split = 'train' AND event_type = 'signup')"), V.LABEL, "split", "train", "validation"),
+)
+
+# Duplicates and conflicts
+
+_PAIRS = _FLOWS + ", pairs AS (SELECT user_id, v, event_type, count(*) AS n, min(row_id) AS first FROM flows GROUP BY ALL)"
+_DUPLICATES = _PAIRS + ", dup AS (SELECT f.*, p.first FROM flows f JOIN pairs p ON p.n > 1 AND f.user_id IS NOT DISTINCT FROM p.user_id AND f.v IS NOT DISTINCT FROM p.v AND f.event_type IS NOT DISTINCT FROM p.event_type)"
+on(
+    V.flows, "exact_duplicate_counts",
+    f"WITH {_PAIRS} SELECT sum(n)::BIGINT AS n_rows, coalesce(sum(n) FILTER (n > 1), 0)::BIGINT AS n_in_groups, sum(n - 1)::BIGINT AS n_extra FROM pairs",
+    lambda d: duplicates.exact_duplicate_counts(d, *FLOW),
+)
+on(V.flows, "exact_duplicate_records", f"WITH {_DUPLICATES} SELECT row_id, user_id, v, event_type FROM dup", lambda d: duplicates.exact_duplicate_records(d, *FLOW))
+on(V.flows, "extra_duplicate_rows", f"WITH {_DUPLICATES} SELECT row_id, user_id, v, event_type FROM dup WHERE row_id > first", lambda d: duplicates.extra_duplicate_rows(d, *FLOW, V.ROW))
+on(
+    V.flows, "duplicates_by_class", f"WITH {_DUPLICATES} SELECT event_type, count(*) AS n FROM dup GROUP BY event_type",
+    lambda d: duplicates.by_class(duplicates.exact_duplicate_records(d, *FLOW), V.LABEL),
+)
+_WIDE_GROUPS = _WIDE + ", groups AS (SELECT l_quantity, l_discount, l_tax, l_linenumber, count(*) AS n, count(DISTINCT l_returnflag) AS k FROM flows GROUP BY 1, 2, 3, 4)"
+on(V.flows_wide, "repeated_vectors", f"WITH {_WIDE_GROUPS} SELECT sum(n)::BIGINT AS n_rows, count(*) AS n_groups FROM groups WHERE n > 1", lambda d: duplicates.repeated_vectors(d, *WIDE))
+on(V.flows, "conflicting_vectors", f"WITH {_CONFLICT} SELECT * FROM bad", lambda d: duplicates.conflicting_vectors(d, *FLOW))
+on(
+    V.flows_wide, "vector_group_summary",
+    f"WITH {_WIDE_GROUPS} SELECT count(*) AS n_groups, count(*) FILTER (k <= 1) AS n_same, count(*) FILTER (k > 1) AS n_conflicting FROM groups WHERE n > 1",
+    lambda d: duplicates.vector_group_summary(d, *WIDE),
+)
+on(V.flows_wide, "group_size_histogram", f"WITH {_WIDE_GROUPS} SELECT n AS group_size, count(*) AS n FROM groups WHERE n > 1 GROUP BY groups.n", lambda d: duplicates.group_size_histogram(d, *WIDE))
+on(V.flows, "conflicting_records", f"WITH {_CONFLICT} SELECT f.* FROM flows f JOIN bad b USING (user_id, v)", lambda d: duplicates.conflicting_records(d, *FLOW))
+on(
+    V.flows, "conflicts_by_class", f"WITH {_CONFLICT} SELECT event_type, count(*) AS n FROM flows JOIN bad b USING (user_id, v) GROUP BY event_type",
+    lambda d: duplicates.by_class(duplicates.conflicting_records(d, *FLOW), V.LABEL),
+)
+on(
+    V.flows, "conflict_label_pairs",
+    f"""WITH {_PAIRS} SELECT label_set, count(*) AS n FROM (SELECT string_agg(event_type, ' <-> ' ORDER BY event_type) AS label_set, count(event_type) AS k FROM pairs GROUP BY user_id, v)
+    WHERE k > 1 GROUP BY label_set""",
+    lambda d: duplicates.conflict_label_pairs(d, *FLOW),
+)
+on(V.flows, "drop_conflicting", f"WITH {_CLEAN} SELECT * FROM kept", lambda d: duplicates.drop_conflicting(d, *FLOW))
+on(V.flows, "clean_table", f"WITH {_CLEAN} SELECT * FROM clean", lambda d: duplicates.clean(d, *FLOW, V.ROW))
+on(
+    V.flows, "clean_postcheck",
+    f"""WITH {_CLEAN} SELECT (SELECT count(*) FROM flows) AS n_before, (SELECT count(*) FROM kept) AS n_after_conflicts, (SELECT count(*) FROM clean) AS n_after_dedup,
+    (SELECT coalesce(sum(n), 0)::BIGINT FROM (SELECT count(*) AS n FROM clean GROUP BY user_id, v, event_type) WHERE n > 1) AS n_exact_left,
+    (SELECT coalesce(sum(n), 0)::BIGINT FROM (SELECT count(*) AS n FROM clean GROUP BY user_id, v) WHERE n > 1) AS n_vectors_left""",
+    lambda d: duplicates.clean_postcheck(d, *FLOW, V.ROW),
+)
+
+# Splits
+
+on(V.flows_split, "stratified_split", f"WITH {_SPLIT} SELECT row_id, event_type, split FROM flows_split", lambda d: d.select(V.ROW, V.LABEL, "split"))
+on(
+    V.flows, "stratified_sample",
+    f"""WITH {_RANKED}, s1 AS (SELECT *, least(500, total) AS k FROM counts), s2 AS (SELECT *, k * n // total AS f, k * n % total AS r FROM s1),
+    s3 AS (SELECT *, f + CASE WHEN row_number() OVER (ORDER BY r DESC, event_type) <= k - sum(f) OVER () THEN 1 ELSE 0 END AS take FROM s2)
+    SELECT row_id, event_type FROM ranked JOIN s3 USING (event_type) WHERE rk <= take""",
+    lambda d: splits.stratified_sample(d, V.LABEL, V.ROW, 500).select(V.ROW, V.LABEL),
+)
+_OVERLAP = "SELECT '{a}/{b}' AS pair, count(*) AS n_shared FROM (SELECT DISTINCT {c} FROM flows_split WHERE split = '{a}' INTERSECT SELECT DISTINCT {c} FROM flows_split WHERE split = '{b}')"
+for _name, _columns in (("split_overlap_rows", "user_id, v, event_type"), ("split_overlap_vectors", "user_id, v")):
+    on(
+        V.flows_split, _name,
+        f"WITH {_SPLIT} " + " UNION ALL ".join(_OVERLAP.format(a=a, b=b, c=_columns) for a, b in (("train", "validation"), ("train", "test"), ("validation", "test"))),
+        lambda d, columns=_columns.split(", "): splits.overlap(d, columns, "split", SPLITS),
+    )
+
+# Overlap between splits
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.vector_splits(V.flows_split(spark, sf_dir), *FLOW, "split")
+
+
+_WITHIN = """SELECT split, sum(n)::BIGINT AS n_rows, sum(n - pairs)::BIGINT AS n_exact_duplicates, sum(n - 1)::BIGINT AS n_repeated_rows, count(*) AS n_vectors, count(*) FILTER (k > 1) AS n_multi_label,
+    coalesce(sum(n) FILTER (k > 1), 0)::BIGINT AS n_multi_label_rows, coalesce(sum(n - most) FILTER (k > 1), 0)::BIGINT AS n_min_misclassified FROM sets GROUP BY split"""
+on(_vectors, "vector_label_sets", f"WITH {_VECTORS} SELECT user_id, v, labels AS label_set FROM sets WHERE split = 'train'", lambda d: overlap.vector_label_sets(d, V.FEATURES))
+on(_vectors, "multiple_label_sets", f"WITH {_VECTORS} SELECT labels AS label_set, count(*) AS n FROM sets WHERE split = 'train' AND k > 1 GROUP BY 1", overlap.multiple_label_sets)
+on(_vectors, "within_split_audit", f"WITH {_VECTORS} {_WITHIN}", overlap.within_split_audit)
+on(_vectors, "irreducible_errors", f"WITH {_VECTORS} SELECT split, n_min_misclassified FROM ({_WITHIN})", overlap.irreducible_errors)
+_CROSS = """SELECT count(*) AS n_shared, count(*) FILTER (same) AS n_same, count(*) FILTER (NOT same) AS n_conflicting,
+    coalesce(sum(n_v), 0)::BIGINT AS n_val_rows, coalesce(sum(n_t), 0)::BIGINT AS n_train_rows FROM shared"""
+on(_vectors, "cross_split_overlap", f"WITH {_VECTORS} {_CROSS}", overlap.cross_split_overlap)
+on(_vectors, "same_label_overlap", f"WITH {_VECTORS} SELECT labels_t AS label, count(*) AS n FROM shared WHERE same GROUP BY 1", overlap.same_label_overlap)
+on(
+    _vectors, "conflicting_label_pairs",
+    f"WITH {_VECTORS} SELECT labels_t AS training_labels, labels_v AS validation_labels, count(*) AS n FROM shared WHERE NOT same GROUP BY 1, 2", overlap.conflicting_label_pairs,
+)
+on(V.flows_split, "overlap_annotation", f"WITH {_ANNOTATED} SELECT * FROM annotation", lambda d: overlap.overlap_annotation(d, *FLOW, V.ROW, "split"))
+
+
+@query(
+    "audit_summary",
+    f"""WITH {_VECTORS}, w AS ({_WITHIN}), c AS ({_CROSS}) SELECT t.n_rows AS train_rows, v.n_rows AS validation_rows, t.n_min_misclassified AS train_min_misclassified,
+    v.n_min_misclassified AS validation_min_misclassified, c.n_shared, c.n_conflicting, (SELECT count(DISTINCT labels_t) FROM shared WHERE same) AS n_same_labels,
+    (SELECT count(*) FROM (SELECT DISTINCT labels_t, labels_v FROM shared WHERE NOT same)) AS n_conflict_pairs
+    FROM w t, w v, c WHERE t.split = 'train' AND v.split = 'validation'""",
+)
+def audit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    document = overlap.audit_summary(V.flows_split(spark, sf_dir), *FLOW, "split")
+    return document.select(
+        F.col("train.n_rows").alias("train_rows"), F.col("validation.n_rows").alias("validation_rows"), F.col("train.n_min_misclassified").alias("train_min_misclassified"),
+        F.col("validation.n_min_misclassified").alias("validation_min_misclassified"), "cross.n_shared", "cross.n_conflicting",
+        F.size("same_label").cast("long").alias("n_same_labels"), F.size("conflicts").cast("long").alias("n_conflict_pairs"),
+    )
+
+
+# Predictions and metrics
+
+
+@query("prediction_confidence", f"WITH {_PREDS} SELECT validation_row_index AS row_id, 0.6::DOUBLE AS confidence FROM preds WHERE model_name = 'decision_tree'")
+def prediction_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = V.predictions(spark, sf_dir).filter("model_name = 'decision_tree'")
+    p = F.array(*[F.when(F.col("predicted_attack_type") == c, 0.6).otherwise(0.1) for c in V.CLASSES])
+    return evaluate.prediction_confidence(said.withColumn("p", p), V.CLASSES, "p", "predicted_attack_type").select(F.col("validation_row_index").alias("row_id"), "confidence")
+
+
+on(V.predictions, "prediction_frame", f"WITH {_PREDS} SELECT * FROM preds", lambda d: d)
+
+
+@query(
+    "annotated_predictions",
+    f"""WITH {_ANNOTATED}, {_PREDS.removeprefix(_FLOWS + ', ')} SELECT p.*, a.feature_vector_in_training, a.training_labels_for_vector, a.overlap_label_relation
+    FROM preds p JOIN annotation a ON a.row_id = p.validation_row_index""",
+)
+def annotated_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    annotation = overlap.overlap_annotation(V.flows_split(spark, sf_dir), *FLOW, V.ROW, "split")
+    said = V.predictions(spark, sf_dir).join(annotation.select(F.col(V.ROW).alias("validation_row_index")), "validation_row_index", "left_semi")
+    return evaluate.annotate(said, annotation)
+
+
+@query(
+    "error_cases",
+    f"""WITH {_PREDS} SELECT validation_row_index, f.user_id, f.v, model_name, run_mode, actual_attack_type, predicted_attack_type, prediction_confidence, actual_binary, predicted_binary, binary_error_type,
+    CASE binary_error_type WHEN 'FP' THEN 'binary_false_positive' WHEN 'FN' THEN 'binary_false_negative' ELSE 'attack_to_attack_misclassification' END AS error_category
+    FROM preds JOIN flows f ON f.row_id = validation_row_index WHERE NOT correct_multiclass_prediction""",
+)
+def error_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.error_cases(V.predictions(spark, sf_dir), V.flows(spark, sf_dir).select(V.ROW, *V.FEATURES))
+
+
+_REPORT = 'SELECT \'full\' AS run_mode, model_name, {name} AS class, round({p}precision{q}, 6) AS "precision", round({p}recall{q}, 6) AS recall, round({p}f1{q}, 6) AS f1, support FROM {t}'
+on(
+    V.predictions, "classification_report",
+    f"WITH {_PER} SELECT 'full' AS run_mode, model_name, class, round(\"precision\", 6) AS \"precision\", round(recall, 6) AS recall, round(f1, 6) AS f1, support FROM per UNION ALL "
+    + " UNION ALL ".join(
+        f"SELECT 'full', model_name, '{k} avg', round({k}_precision, 6), round({k}_recall, 6), round({k}_f1, 6), support FROM averages" for k in ("macro", "weighted")
+    ),
+    lambda d: evaluate.classification_report(d, V.CLASSES),
+)
+_MULTI = "SELECT model_name, round(accuracy, 6) AS accuracy, " + ", ".join(f"round({k}_{c}, 6) AS {k}_{c}" for k in ("macro", "weighted") for c in ("precision", "recall", "f1")) + " FROM averages"
+on(V.predictions, "multiclass_summary", f"WITH {_PER} {_MULTI}", lambda d: evaluate.multiclass_summary(d, V.CLASSES))
+on(
+    V.predictions, "confusion_matrix",
+    f"WITH {_PREDS}, names AS (SELECT unnest(['click', 'error', 'purchase', 'signup', 'view']) AS actual_attack_type) SELECT m.model_name, n.actual_attack_type, "
+    + ", ".join(f"count(*) FILTER (predicted_attack_type = '{c}') AS {c}" for c in V.CLASSES)
+    + " FROM (SELECT DISTINCT model_name FROM preds) m CROSS JOIN names n LEFT JOIN preds p ON p.model_name = m.model_name AND p.actual_attack_type = n.actual_attack_type GROUP BY 1, 2",
+    lambda d: evaluate.confusion_matrix(d, V.CLASSES),
+)
+on(
+    V.predictions, "binary_metrics",
+    f"""WITH {_BINARY} SELECT 'full' AS run_mode, model_name, 'ATTACK' AS positive_class, tp, tn, fp, fn, accuracy, "precision", recall, f1, false_positive_rate, false_negative_rate,
+    attack_to_attack_errors, total_errors FROM rates""",
+    evaluate.binary_metrics,
+)
+on(
+    V.predictions, "model_comparison",
+    f"""WITH {_PER}, {_BINARY.removeprefix(_PREDS + ', ')} SELECT model_name, r.n_rows, m.accuracy, m.macro_precision, m.macro_recall, m.macro_f1, m.weighted_precision, m.weighted_recall, m.weighted_f1,
+    'full' AS run_mode, tp, tn, fp, fn, r.accuracy AS binary_accuracy, r."precision" AS binary_precision, r.recall AS binary_recall, r.f1 AS binary_f1, false_positive_rate, false_negative_rate,
+    attack_to_attack_errors, total_errors FROM rates r JOIN ({_MULTI}) m USING (model_name)""",
+    lambda d: evaluate.model_comparison(d, V.CLASSES),
+)
+
+
+@query(
+    "run_metadata",
+    f"""WITH {_SPLIT} SELECT count(*) FILTER (split = 'train') AS n_train, count(*) FILTER (split = 'validation') AS n_validation,
+    count(*) FILTER (split = 'train' AND event_type = 'view') AS train_normal, count(*) FILTER (split = 'validation' AND event_type = 'view') AS validation_normal, 2 AS n_features, 5 AS n_classes,
+    'view' AS normal_class, 'full' AS run_mode FROM flows_split""",
+)
+def run_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = V.flows_split(spark, sf_dir)
+    one = runs.run_metadata(both.filter("split = 'train'"), both.filter("split = 'validation'"), V.FEATURES, V.LABEL, V.CLASSES, V.NORMAL, "full", {"seed": 42})
+    return one.select(
+        "n_train", "n_validation", F.col("train_distribution")[V.NORMAL].alias("train_normal"), F.col("validation_distribution")[V.NORMAL].alias("validation_normal"),
+        F.size("features").alias("n_features"), F.size("classes").alias("n_classes"), "normal_class", "run_mode",
+    )
+
+
+def _model_predictions(name: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        both = V.flows_split(spark, sf_dir)
+        fitted = models.fit(both.filter("split = 'train'"), V.FEATURES, V.LABEL, name)
+        return models.predict(fitted, both.filter("split = 'validation'"), V.LABEL).select(V.ROW, "predicted", "confidence")
+
+    return run
+
+
+QUERIES["decision_tree_predictions"] = _model_predictions("decision_tree")
+QUERIES["random_forest_predictions"] = _model_predictions("random_forest")
+
+# Alerts and answers
+
+
+def _alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alerts.alert_table(V.predictions(spark, sf_dir), V.flows(spark, sf_dir), V.FEATURES, RUN, DATASET)
+
+
+on(_alerts, "alert_table", f"WITH {_ALERTS} SELECT * FROM alerts", lambda d: d)
+
+
+@query(
+    "alert_contract_errors",
+    f"""WITH {_ALERTS}, {_DIRTY}, odd AS (SELECT a.alert_id, CASE WHEN a.row_id % 89 = 0 THEN 'other' ELSE a.detector END AS detector, d.value
+      FROM alerts a JOIN flows_dirty d USING (row_id))
+    SELECT alert_id, 'EVIDENCE_MISSING:value' AS code FROM odd WHERE value IS NULL UNION ALL SELECT alert_id, 'EVIDENCE_NOT_FINITE:value' FROM odd WHERE isnan(value) OR isinf(value)
+    UNION ALL SELECT alert_id, 'EVIDENCE_OUT_OF_RANGE:value' FROM odd WHERE abs(value) > 150 AND NOT isinf(value) AND NOT isnan(value)
+    UNION ALL SELECT alert_id, 'CONTRACT_DETECTOR' FROM odd WHERE detector NOT IN ('decision_tree', 'random_forest')""",
+)
+def alert_contract_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    odd = _alerts(spark, sf_dir).drop("v", "user_id").join(V.flows_dirty(spark, sf_dir).select(V.ROW, "value"), V.ROW)
+    odd = odd.withColumn("detector", F.when(F.col(V.ROW) % 89 == 0, "other").otherwise(F.col("detector")))
+    return alerts.contract_errors(odd, ["value"], limit=150)
+
+
+on(
+    _alerts, "normalized_evidence",
+    f"""WITH {_ALERTS} SELECT alert_id, 'v' AS feature, (v::DECIMAL(20, 0) / 1000000)::DOUBLE AS value, 's' AS unit FROM alerts UNION ALL SELECT alert_id, 'user_id', user_id::DOUBLE, 'count' FROM alerts""",
+    lambda d: alerts.normalized_evidence(d, {"v": alerts.MICROSECONDS, "user_id": ("count", 1)}),
+)
+on(
+    V.flows_dirty, "quality_notes",
+    f"""WITH {_DIRTY} SELECT row_id, 'value is not finite' AS note FROM flows_dirty WHERE isinf(value) OR isnan(value) UNION ALL SELECT row_id, 'value is implausibly large' FROM flows_dirty WHERE value > 150 AND NOT isinf(value) AND NOT isnan(value)""",
+    lambda d: alerts.quality_notes(
+        d, V.ROW,
+        {
+            "value is not finite": F.isnan("value") | (F.abs("value") == float("inf")),
+            "value is implausibly large": (F.col("value") > 150) & (F.col("value") < float("inf")),
+        },
+    ),
+)
+
+
+def _tampered(d: DataFrame) -> DataFrame:
+    i = F.col(V.ROW)
+    out = d.filter(i % 89 != 0).unionByName(d.filter(i % 89 == 0).filter(i % 2 == 0).withColumn("v", F.col("v") + 1)).unionByName(d.filter(i % 331 == 0))
+    return out.unionByName(d.filter(i % 997 == 0).withColumn(V.ROW, -i - 1))
+
+
+_TAMPERED = _FLOWS + """, after AS (
+  SELECT * FROM flows WHERE row_id % 89 <> 0 UNION ALL SELECT row_id, user_id, v + 1, event_type FROM flows WHERE row_id % 89 = 0 AND row_id % 2 = 0
+  UNION ALL SELECT * FROM flows WHERE row_id % 331 = 0 UNION ALL SELECT -row_id - 1, user_id, v, event_type FROM flows WHERE row_id % 997 = 0
+)"""
+on(
+    V.flows, "tamper_diff",
+    f"""WITH {_TAMPERED}, r AS (SELECT row_id, min({{'user_id': user_id, 'v': v, 'event_type': event_type}}) AS r, count(*) AS n FROM after GROUP BY row_id), j AS (
+      SELECT row_id, f.user_id, f.v, f.event_type, f.row_id IS NOT NULL AS has_s, r.r, r.n FROM (SELECT *, row_id AS k FROM flows) f FULL JOIN r USING (row_id))
+    SELECT row_id, 'missing' AS change FROM j WHERE n IS NULL UNION ALL SELECT row_id, 'fabricated' FROM j WHERE row_id NOT IN (SELECT row_id FROM flows) UNION ALL SELECT row_id, 'duplicate' FROM j WHERE n > 1
+    UNION ALL SELECT f.row_id, 'changed:v' FROM flows f JOIN r USING (row_id) WHERE r.r.v <> f.v""",
+    lambda d: alerts.tamper_diff(d, _tampered(d), V.ROW, ["user_id", "v", "event_type"]),
+)
+on(
+    V.flows, "dataset_diff",
+    f"""WITH {_TAMPERED} SELECT *, 'removed' AS change FROM (FROM flows EXCEPT ALL FROM after) UNION ALL SELECT *, 'added' FROM (FROM after EXCEPT ALL FROM flows)""",
+    lambda d: alerts.dataset_diff(d, _tampered(d)),
+)
+on(
+    _alerts, "detector_correlation",
+    f"""WITH {_ALERTS}, a AS (SELECT run_id, dataset, row_id, attack_type AS class_1 FROM alerts WHERE detector = 'decision_tree'), b AS (SELECT run_id, dataset, row_id, attack_type AS class_2 FROM alerts WHERE detector = 'random_forest')
+    SELECT run_id, dataset, row_id, class_1, class_2, CASE WHEN class_2 IS NULL THEN 'first_only' WHEN class_1 IS NULL THEN 'second_only' WHEN class_1 = class_2 THEN 'same_class' ELSE 'different_class' END AS agreement
+    FROM a FULL JOIN b USING (run_id, dataset, row_id)""",
+    lambda d: alerts.detector_correlation(d, "decision_tree", "random_forest"),
+)
+on(
+    _alerts, "review_worksheet",
+    f"""WITH {_ALERTS}, c AS (SELECT attack_type, count(*) AS k FROM alerts GROUP BY 1)
+    SELECT run_id, dataset, row_id, string_agg(DISTINCT detector, '|' ORDER BY detector) AS detectors, count(DISTINCT detector) AS n_detectors, string_agg(DISTINCT attack_type, '|' ORDER BY attack_type) AS classes,
+    min(k) < 1500 AS rare FROM alerts JOIN c USING (attack_type) GROUP BY run_id, dataset, row_id""",
+    lambda d: alerts.review_worksheet(d, 1500),
+)
+on(_alerts, "alert_selection", f"WITH {_ALERTS} SELECT alert_id FROM alerts ORDER BY alert_id LIMIT 50 OFFSET 100", lambda d: alerts.alert_selection(d, offset=100, limit=50).select("alert_id"))
+
+_CONTENT = """content AS (SELECT event_id AS row_id, CASE event_id % 6 WHEN 0 THEN '{"observations": ["a"], "explanation": "b", "limitations": ["c"], "evidence_used": ["v"], "priority": null}'
+  WHEN 1 THEN '{"observations": [], "explanation": " ", "limitations": ["c"], "evidence_used": ["v", "v"], "priority": null}' WHEN 2 THEN props
+  WHEN 3 THEN props || ' trailing' WHEN 4 THEN '{"observations": ["a"], "explanation": "b", "limitations": ["c"], "evidence_used": ["x"], "priority": "high"}' ELSE '{"k": NaN}' END AS content FROM events)"""
+_CONTENT_SPARK = _CONTENT.split(" AS (", 1)[1].rsplit(" FROM events)", 1)[0].removeprefix("SELECT event_id AS row_id, ").removesuffix(" AS content")
+
+
+@query(
+    "answer_structure_errors",
+    f"""WITH {_CONTENT} SELECT row_id, unnest(CASE row_id % 6 WHEN 0 THEN []::VARCHAR[] WHEN 1 THEN ['OBSERVATIONS_EMPTY', 'EXPLANATION_EMPTY', 'EVIDENCE_USED_DUPLICATE']
+      WHEN 2 THEN CASE WHEN json_valid(content) THEN ['OBSERVATIONS_EMPTY', 'EXPLANATION_EMPTY', 'LIMITATIONS_EMPTY', 'EVIDENCE_USED_EMPTY'] ELSE ['NOT_JSON'] END
+      WHEN 4 THEN ['EVIDENCE_USED_UNKNOWN', 'PRIORITY_NOT_NULL'] ELSE ['NOT_JSON'] END) AS code FROM content""",
+)
+def answer_structure_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    content = V.table(spark, sf_dir, "events").select(F.col("event_id").alias("row_id"), F.expr(_CONTENT_SPARK).alias("content"))
+    return answers.structure_errors(content, "row_id", "content", V.FEATURES)
+
+
+_SENTENCES = """CASE row_id % 7 WHEN 0 THEN 'This confirms a DoS attack.' WHEN 1 THEN 'The prediction has not been confirmed.' WHEN 2 THEN 'No payloads are available; the flow used TCP.'
+  WHEN 3 THEN 'This traffic is a DoS attack.' WHEN 4 THEN 'Model confidence is high for this alert.' WHEN 5 THEN 'The record looks corrupted.'
+  ELSE 'It is not necessarily an attack, but the values prove the prediction.' END"""
+
+
+@query(
+    "answer_claim_flags",
+    f"""WITH {_FLOWS} SELECT row_id, CASE row_id % 7 WHEN 0 THEN 'CONFIRMATION_CLAIM' WHEN 2 THEN 'INVENTED_NETWORK_DETAIL' WHEN 3 THEN 'ASSERTIVE_CLASSIFICATION' WHEN 4 THEN 'CONFIDENCE_CLAIM'
+    WHEN 5 THEN 'UNSUPPORTED_DATA_QUALITY_CLAIM' ELSE 'CONFIRMATION_CLAIM' END AS code FROM flows WHERE row_id % 7 <> 1""",
+)
+def answer_claim_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = V.flows(spark, sf_dir).select(V.ROW, F.expr(_SENTENCES.replace("prove the", "proved the")).alias("text"))
+    return answers.claim_flags(said, V.ROW, "text")
+
+
+@query(
+    "answer_numbers_ungrounded",
+    f"""WITH {_FLOWS} SELECT row_id, (v + CASE WHEN row_id % 3 = 0 THEN 1 ELSE 0 END) || CASE WHEN row_id % 2 = 0 THEN ' seconds' ELSE ' milliseconds' END AS number FROM flows
+    WHERE (row_id % 2 = 0 AND row_id % 3 = 0) OR (row_id % 2 = 1 AND abs((v + CASE WHEN row_id % 3 = 0 THEN 1 ELSE 0 END) * 0.001 - v) > 0.0005)""",
+)
+def answer_numbers_ungrounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col(V.ROW)
+    number = (F.col("v") + F.when(i % 3 == 0, 1).otherwise(0)).cast("string")
+    text = F.concat(F.lit("The flow lasted about "), number, F.when(i % 2 == 0, " seconds.").otherwise(" milliseconds."))
+    said = V.flows(spark, sf_dir).select(V.ROW, text.alias("text"), F.col("v").cast("double").alias("seconds"))
+    return answers.ungrounded_numbers(said, V.ROW, "text", "seconds")
