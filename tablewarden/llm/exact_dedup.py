@@ -75,9 +75,10 @@ def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
 
     Rows that repeat both id and text are one document and give one row.
     """
-    marked = mark_duplicates(docs.withColumn("_text", F.col(text_col)), text_col, id_col)
-    repeated = marked.filter("kept AND group_size > 1").dropDuplicates(["text_sha256", id_col])
-    return marked.filter("group_size = 1").select(*docs.columns).unionByName(repeated.select(*docs.columns))
+    whole = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text_col).alias("_text"), F.col(id_col).alias("_id"))
+    kept = mark_duplicates(whole, "_text", "_id").filter("kept")
+    repeated = kept.filter("group_size > 1").dropDuplicates(["text_sha256", "_id"])
+    return kept.filter("group_size = 1").select("_row.*").unionByName(repeated.select("_row.*"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,7 +67,7 @@ def _bits(fps: np.ndarray) -> np.ndarray:
 
 def group_bits(bits: np.ndarray, parts: int) -> list[list[int]]:
     """Bits into parts of almost equal width, each grown from a seed bit by the strongest mean correlation."""
-    spread = bits.std(axis=0) > 0
+    spread = bits.std(axis=0) > 0 if len(bits) else np.zeros(BITS, bool)
     cor = np.zeros((BITS, BITS))
     if len(bits) > 1 and spread.any():
         cor[np.ix_(spread, spread)] = np.abs(np.corrcoef(bits[:, spread].T))
