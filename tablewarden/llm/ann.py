@@ -71,8 +71,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "ve
     of_equal = Window.partitionBy("embedding").orderBy("vec_id")
     kept = base.withColumn("_n", F.row_number().over(of_equal)).filter(F.col("_n") <= k + 1).drop("_n")
     sample = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOTS).select("embedding").toPandas()
-    pivots = np.array([np.asarray(v, np.float64) for v in sample.embedding]).reshape(len(sample), -1)
-    pivots = np.unique(pivots, axis=0) if len(pivots) else pivots
+    pivots = np.unique(np.stack([np.asarray(v, np.float64) for v in sample.embedding]), axis=0) if len(sample) else np.zeros((0, 1))
     held = spark.sparkContext.broadcast(pivots)
 
     def index(batches):
