@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import public_tokenizers
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, BooleanType, StructField, StructType
 from sentencepiece import sentencepiece_model_pb2 as model_pb2
 
 from tablewarden.llm.common import materialise, table
@@ -22,7 +25,9 @@ SPACE = "▁"
 CHUNK = 16_384
 #: Segments remembered by a worker.
 CACHE = 300_000
-DOCS_AT_ONCE = 16
+DOCS_AT_ONCE = 256
+#: Segments up to so many characters are searched many at once; new segments are merged in lines of so many characters.
+TOGETHER, LINE_CHARS = 48, 20_000
 BPE = 2
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 UNKNOWN_PENALTY = 10.0
@@ -51,14 +56,30 @@ class Pieces:
         #: Every beginning of a piece, with the piece's id or -1: a look-up that fails ends the search at its place.
         self.begins = {piece[:k]: -1 for piece in self.ids for k in range(1, len(piece))} | self.ids
         known = {c for piece in self.ids for c in piece}
-        self.known = known
+        self.known, self.singles = known, {c for c in known if c in self.ids}
+        self._number_nodes()
         #: No piece has a space after another symbol: then every text falls apart before each run of spaces.
         self.by_space = not any(re.search(f"[^{SPACE}]{SPACE}", piece) for piece in self.ids)
-        self.segment = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+" if self.by_space and "\n" not in known else "(?s).+")
+        self.lines = self.by_space and "\n" not in known
+        self.segment = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+" if self.lines else "(?s).+")
         norm.add_dummy_prefix = False
         self.merging = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
         self.cache: dict[str, dict[str, bytes]] = {"merges": {}, "lattice": {}}
 
+    def _number_nodes(self) -> None:
+        """The beginnings of pieces as numbered nodes, and the steps between them as sorted numbers."""
+        node = {"": 0} | {begin: i + 1 for i, begin in enumerate(self.begins)}
+        code = {c: i + 1 for i, c in enumerate(sorted(self.known))}
+        self.code_of = np.zeros(0x110000, np.int64)
+        self.code_of[[ord(c) for c in code]] = list(code.values())
+        self.codes = len(code) + 1
+        steps = sorted((node[b[:-1]] * self.codes + code[b[-1]], node[b]) for b in self.begins)
+        self.step_keys, self.step_nodes = (np.array(x, np.int64) for x in zip(*steps))
+        self.piece_of = np.full(len(node), -1, np.int64)
+        for begin, piece in self.begins.items():
+            self.piece_of[node[begin]] = piece
+        self.scores = np.array(self.score)
+
     def normalise(self, text: str) -> str:
         return self.prefix + text.replace(" ", SPACE) if text else ""
 
@@ -105,28 +126,91 @@ class Pieces:
             places.append(end)
         return [i for step in reversed(steps) for i in step], places
 
-    def _fill(self, way: str, segments: list[str]) -> None:
+    def search_together(self, segments: list[str]) -> list[bytes]:
+        """Best paths of segments of one length whose symbols are all pieces, place by place for all segments at once."""
+        n, size = len(segments), len(segments[0])
+        codes = self.code_of[np.frombuffer("".join(segments).encode("utf-32-le"), "<u4").reshape(n, size)]
+        hits: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}  # (end, length of the piece): segments, pieces
+        row, begin = (x.ravel() for x in np.indices((n, size)))
+        node = np.zeros(n * size, np.int64)
+        for d in range(1, min(size, self.longest) + 1):
+            inside = begin + d <= size
+            row, begin, node = row[inside], begin[inside], node[inside]
+            key = node * self.codes + codes[row, begin + d - 1]
+            at = np.minimum(np.searchsorted(self.step_keys, key), len(self.step_keys) - 1)
+            there = self.step_keys[at] == key
+            row, begin, node = row[there], begin[there], self.step_nodes[at[there]]
+            if not len(row):
+                break
+            whole = self.piece_of[node] >= 0
+            ends, rows, ids = begin[whole] + d, row[whole], self.piece_of[node[whole]]
+            order = np.argsort(ends, kind="stable")
+            cuts = np.searchsorted(ends[order], np.arange(size + 2))
+            for end in range(d, size + 1):
+                own = order[cuts[end] : cuts[end + 1]]
+                if len(own):
+                    hits[end, d] = rows[own], ids[own]
+        best = np.full((size + 1, n), -np.inf)
+        best[0] = 0
+        length, piece = np.zeros((size + 1, n), np.int64), np.zeros((size + 1, n), np.int64)
+        for end in range(1, size + 1):
+            for d in range(min(end, self.longest), 0, -1):
+                if (end, d) in hits:
+                    rows, ids = hits[end, d]
+                    total = best[end - d, rows] + self.scores[ids]
+                    better = total > best[end, rows]
+                    rows = rows[better]
+                    best[end, rows], length[end, rows], piece[end, rows] = total[better], d, ids[better]
+        place, every, steps = np.full(n, size), np.arange(n), []
+        while (place > 0).any():
+            steps.append(np.where(place > 0, piece[place, every], -1))
+            place = place - np.where(place > 0, length[place, every], 0)
+        path = np.array(steps[::-1]).T
+        ends = np.cumsum((path >= 0).sum(axis=1)) * 4
+        raw = path[path >= 0].astype("<i4").tobytes()
+        return [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
+    def _fill(self, way: str, segments: set[str]) -> None:
         """Ids of the segments into the cache, as bytes of 32-bit numbers."""
         held = self.cache[way]
-        missing = [s for s in set(segments) if s not in held]
+        missing = [s for s in segments if s not in held]
         if way == "merges":
-            for s, ids in zip(missing, self.merging.encode(missing, num_threads=1), strict=True):
-                held[s] = np.array(ids, "<i4").tobytes()
+            if not self.lines:
+                held.update((s, np.array(self.merging.encode(s), "<i4").tobytes()) for s in missing)
+                return
+            if "\n" in segments:
+                held["\n"] = np.array([self.byte_ids[10]], "<i4").tobytes()
+            waiting = [s for s in missing if s != "\n"]
+            line = (np.cumsum([len(s) + 1 for s in waiting]) // LINE_CHARS) if waiting else np.zeros(0, int)
+            at = np.r_[np.flatnonzero(np.diff(line, prepend=-1)), len(waiting)].tolist()
+            for i, j in zip(at, at[1:]):  # a line feed merges with nothing, so it separates segments encoded in one go
+                ids = np.array(self.merging.encode("\n".join(waiting[i:j]) + "\n"), "<i4")
+                cuts = np.flatnonzero(ids == self.byte_ids[10])
+                raw = ids.tobytes()
+                held.update((s, raw[4 * a : 4 * b]) for s, a, b in zip(waiting[i:j], [0, *(cuts[:-1] + 1).tolist()], cuts.tolist(), strict=True))
             return
+        by_size: dict[int, list[str]] = defaultdict(list)
         for s in missing:
-            ids, _ = self.trace(s, self.lattice(s, 0, len(s))[1], 0, len(s))
-            held[s] = np.array(ids, "<i4").tobytes()
-
-    def encode(self, texts: list[str], way: str, prefixed: bool = True) -> Iterator[bytes]:
-        """Ids of each text as bytes of 32-bit little-endian numbers. A null or empty text has none."""
+            if len(s) <= TOGETHER and self.singles.issuperset(s):
+                by_size[len(s)].append(s)
+            else:
+                held[s] = np.array(self.trace(s, self.lattice(s, 0, len(s))[1], 0, len(s))[0], "<i4").tobytes()
+        for same in by_size.values():
+            held.update(zip(same, self.search_together(same), strict=True))
+
+    def encode(self, texts: list[str], ways: tuple[str, ...], prefixed: bool = True) -> Iterator[tuple[bytes, ...]]:
+        """Ids of each text, for each way, as bytes of 32-bit little-endian numbers. A null or empty text has none."""
         for i in range(0, len(texts), DOCS_AT_ONCE):
-            if len(self.cache[way]) > CACHE:
-                self.cache[way].clear()
             split = [self.segment.findall(self.normalise(t or "") if prefixed else t) for t in texts[i : i + DOCS_AT_ONCE]]
-            self._fill(way, [s for segments in split for s in segments])
-            get = self.cache[way].__getitem__
-            for segments in split:
-                yield b"".join(map(get, segments))
+            distinct = {s for segments in split for s in segments}
+            out = []
+            for way in ways:
+                if len(self.cache[way]) > CACHE:
+                    self.cache[way].clear()
+                self._fill(way, distinct)
+                get = self.cache[way].__getitem__
+                out.append([b"".join(map(get, segments)) for segments in split])
+            yield from zip(*out, strict=True)
 
     def decode(self, ids: bytes) -> str:
         """The text of ids; bytes that are no UTF-8 become replacement characters."""
@@ -139,7 +223,8 @@ class Pieces:
 
         text is the chunk's size symbols and what follows them, as far as a piece can reach. State i at a boundary
         means that the first place a path passes there is i symbols on. matrix[i, j] is the best score from entry
-        i to exit j (-inf: no path). order[i, j] ranks the entries of an exit: of equal totals, the path wins whose
+        i to exit j (-inf: no path), up to a constant for the whole matrix: the stretch between two places that every
+        path passes adds the same to all entries, so it is left out and no choice depends on it. order[i, j] ranks the entries of an exit: of equal totals, the path wins whose
         places, from the exit back, are the least, which is the choice of one search over the whole text.
         """
         m = self.longest
@@ -167,21 +252,11 @@ class Pieces:
             best, back = self.lattice(text, i, first_cut)
             if first_cut in best:
                 entry[i], heads[i] = best[first_cut], self.trace(text, back, i, first_cut)[1]
-        middle = sum(self.path_score(s) for s in self.segment.findall(text[first_cut:last_cut]))
         best, _ = self.lattice(text, last_cut, size)
         leave = np.array([best.get(size + j, -np.inf) if j <= last else -np.inf for j in range(m)])
         for rank, i in enumerate(sorted(heads, key=heads.get)):
             order[i, :] = rank
-        return entry[:, None] + middle + leave[None, :], order
-
-    def path_score(self, segment: str) -> float:
-        """The score of a segment's best path, by its pieces; what no piece covers counts as unknown."""
-        self._fill("lattice", [segment])
-        ids = np.frombuffer(self.cache["lattice"][segment], "<i4").tolist()
-        first_byte, last_byte = min(self.byte_ids.values()), max(self.byte_ids.values())
-        covered = sum(self.score[i] for i in ids if not first_byte <= i <= last_byte)
-        unknown = sum(len(self.bytes[i]) and (self.bytes[i][0] & 0xC0) != 0x80 for i in ids if first_byte <= i <= last_byte)
-        return covered + unknown * self.unknown_score
+        return entry[:, None] + leave[None, :], order
 
 
 @lru_cache(maxsize=2)
@@ -260,19 +335,16 @@ def encode_giants(docs: DataFrame, path: str, key: str = "key", text_col: str =
     def trace(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = load(path)
         for rows in batches:
-            out = []
+            ends, middles = [], []
             for t, k, s, a, b in zip(rows["text"], rows["chunk"], rows["size"], rows["enter"], rows["leave"]):
                 text, size = own(p, t, k, s)
                 begin, end = int(a), size + int(b)
-                cuts = [c for c in range(begin + 1, end) if p.cut(text, c)]
-                if not cuts:
-                    out.append(np.array(p.trace(text, p.lattice(text, begin, end)[1], begin, end)[0], "<i4").tobytes())
-                    continue
-                ends = [text[begin : cuts[0]], text[cuts[-1] : end]]
-                middle = b"".join(p.encode([text[cuts[0] : cuts[-1]]], "lattice", prefixed=False)) if len(cuts) > 1 else b""
-                first, last = (np.array(p.trace(s, p.lattice(s, 0, len(s))[1], 0, len(s))[0], "<i4").tobytes() for s in ends)
-                out.append(first + middle + last)
-            yield pd.DataFrame({"key": rows["key"], "chunk": rows["chunk"], "ids": out})
+                first = next((c for c in range(begin + 1, end) if p.cut(text, c)), end)
+                last = next((c for c in range(end - 1, first, -1) if p.cut(text, c)), first)
+                ends.append([np.array(p.trace(e, p.lattice(e, 0, len(e))[1], 0, len(e))[0], "<i4").tobytes() for e in (text[begin:first], text[last:end])])
+                middles.append(text[first:last])
+            found = p.encode(middles, ("lattice",), prefixed=False)
+            yield pd.DataFrame({"key": rows["key"], "chunk": rows["chunk"], "ids": [a + m + b for (a, b), (m,) in zip(ends, found, strict=True)]})
 
     kind = docs.schema[key].dataType.simpleString()
     matrices = chunks.mapInPandas(measure, f"key {kind}, chunk int, matrix binary, ties binary")
@@ -282,33 +354,60 @@ def encode_giants(docs: DataFrame, path: str, key: str = "key", text_col: str =
     return parts.groupBy("key").agg(F.aggregate(joined, F.lit(b""), lambda acc, x: F.concat(acc, x.ids)).alias("ids")).withColumnRenamed("key", key)
 
 
-def encode(docs: DataFrame, path: str | None = None, way: str | None = None, text_col: str = "text", out: str = "ids") -> DataFrame:
-    """docs with ids (binary, 32-bit little-endian numbers) added.
+def encode(docs: DataFrame, path: str | None = None, ways: tuple[str, ...] | None = None, text_col: str = "text") -> DataFrame:
+    """docs without text, with two columns for each way: <way>_ids (binary, 32-bit little-endian numbers) and
+    <way>_round_trip (whether decoding them gives the text back).
 
-    way is "merges" (the model's own ids where it is a BPE model) or "lattice" (best path of the pieces' scores, the
-    model's own ids where it is a unigram model); by default that of the model. With "lattice", documents longer
-    than CHUNK characters go through encode_giants. Null and empty texts have no ids. Equal rows give equal rows.
+    The ways are "merges" (the model's own ids where it is a BPE model) and "lattice" (best path of the pieces'
+    scores, the model's own ids where it is a unigram model); by default the one of the model. With "lattice",
+    documents longer than CHUNK characters go through encode_giants. Null and empty texts have no ids. Equal rows
+    give equal rows; columns of the names added are replaced. A text with the model's own space symbol doesn't come
+    back: the symbol decodes as a space.
     """
     path = path or public_tokenizers.path(DEFAULT_MODEL)
-    way = way or ("merges" if load(path).kind == BPE else "lattice")
-
-    @F.pandas_udf("binary")
-    def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series(list(load(path).encode(list(texts), way)), dtype="object")
-
-    if way == "merges":
-        return docs.withColumn(out, encoded(F.col(text_col)))
-    giant = F.length(text_col) > CHUNK
-    small = docs.filter(F.coalesce(~giant, F.lit(True))).withColumn(out, encoded(F.col(text_col)))
-    keyed = docs.filter(giant).withColumn("_key", F.sha2(text_col, 256))
-    found = encode_giants(keyed.select("_key", F.col(text_col).alias("text")).dropDuplicates(["_key"]), path, key="_key")
-    large = keyed.join(found.withColumnRenamed("ids", out), "_key").drop("_key") if out not in docs.columns else keyed.drop(out).join(found.withColumnRenamed("ids", out), "_key").drop("_key")
-    return small.unionByName(large.select(*small.columns))
+    ways = tuple(ways or ("merges" if load(path).kind == BPE else "lattice",))
+    added = [f"{w}_{c}" for w in ways for c in ("ids", "round_trip")]
+    rows = docs.drop(*added)
+    others = [c for c in rows.columns if c != text_col]
+    given = F.lit(None).cast("binary").alias("_given")
+    rows = rows.select(*others, F.col(text_col).alias("_text"))
+    if "lattice" in ways:
+        giant = F.length("_text") > CHUNK
+        keyed = rows.filter(giant).withColumn("_key", F.sha2("_text", 256))
+        found = encode_giants(keyed.select("_key", F.col("_text").alias("text")).dropDuplicates(["_key"]), path, key="_key")
+        large = keyed.join(found.withColumnRenamed("ids", "_given"), "_key").drop("_key")
+        rows = rows.filter(F.coalesce(~giant, F.lit(True))).select("*", given).unionByName(large)
+    else:
+        rows = rows.select("*", given)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = load(path)
+        for whole in batches:
+            for start in range(0, whole.num_rows, DOCS_AT_ONCE):  # what is held at once stays small, however large a batch is
+                batch = whole.slice(start, DOCS_AT_ONCE)
+                texts, known = batch.column("_text").to_pylist(), batch.column("_given").to_pylist()
+                columns = [batch.column(c) for c in others]
+                fresh = [k is None for k in known]
+                ids: dict[str, list] = {w: [b""] * len(texts) for w in ways}
+                for given, now in ((False, ways), (True, tuple(w for w in ways if w != "lattice"))):
+                    at = [i for i, f in enumerate(fresh) if f != given]
+                    if now:
+                        for i, found in zip(at, p.encode([texts[i] for i in at], now), strict=True):
+                            for w, x in zip(now, found, strict=True):
+                                ids[w][i] = x
+                if "lattice" in ways:
+                    ids["lattice"] = [x if k is None else k for x, k in zip(ids["lattice"], known, strict=True)]
+                for w in ways:
+                    columns += [pa.array(ids[w], pa.binary()), pa.array([p.decode(x) == (t or "") for x, t in zip(ids[w], texts, strict=True)], pa.bool_())]
+                yield pa.RecordBatch.from_arrays(columns, names=[*others, *added])
+
+    fields = [rows.schema[c] for c in others]
+    schema = StructType(fields + [StructField(c, BinaryType() if c.endswith("_ids") else BooleanType()) for c in added])
+    return rows.mapInArrow(each, schema)
 
 
 def decode(ids: DataFrame, path: str | None = None, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
-    """ids with the decoded text added; null ids are empty. Decoding what encode gave returns the text, but for the model's own space symbol, which comes back as a space."""
+    """ids with the decoded text added; null ids are empty."""
     path = path or public_tokenizers.path(DEFAULT_MODEL)
 
     @F.pandas_udf("string")
@@ -320,42 +419,28 @@ def decode(ids: DataFrame, path: str | None = None, ids_col: str = "ids", out: s
     return ids.withColumn(out, decoded(F.col(ids_col)))
 
 
-def _numbers(ids_col: str):
-    """Binary ids as array<int>."""
-
-    @F.pandas_udf("array<int>")
-    def numbers(ids: pd.Series) -> pd.Series:
-        return pd.Series([np.frombuffer(x or b"", "<i4") for x in ids], dtype="object")
-
-    return numbers(F.col(ids_col))
-
-
 def encode_stage(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """docs without text, with ids (array<int>), n_tokens and round_trip (decoding gives the text back)."""
-    both = decode(encode(docs, path), path)
-    return both.select(
+    """docs without text, with the model's own ids (binary, 32-bit numbers), n_tokens and round_trip."""
+    rows = encode(docs, path)
+    way = rows.columns[-1].removesuffix("_round_trip")
+    return rows.select(
         *[c for c in docs.columns if c not in ("text", "ids", "n_tokens", "round_trip")],
-        _numbers("ids").alias("ids"),
-        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+        F.col(f"{way}_ids").alias("ids"),
+        (F.octet_length(f"{way}_ids") / 4).cast("long").alias("n_tokens"),
+        F.col(f"{way}_round_trip").alias("round_trip"),
     )
 
 
 def query(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     """Per document: the model's own ids (n_tokens, ids_sha256, round_trip) and the best path (lattice_tokens,
     lattice_sha256, lattice_round_trip)."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    path = path or public_tokenizers.path(DEFAULT_MODEL)
-    source = F.coalesce("text", F.lit(""))
-    rows = encode(docs, path, "lattice", out="lattice")
-    rows = decode(rows, path, "lattice").withColumn("lattice_round_trip", F.col("decoded") == source)
-    rows = decode(encode(rows, path, "merges"), path).withColumn("round_trip", F.col("decoded") == source)
+    rows = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, ("merges", "lattice"))
     return rows.select(
         "doc_id",
-        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        "round_trip",
-        (F.octet_length("lattice") / 4).cast("long").alias("lattice_tokens"),
-        F.sha2("lattice", 256).alias("lattice_sha256"),
+        (F.octet_length("merges_ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("merges_ids", 256).alias("ids_sha256"),
+        F.col("merges_round_trip").alias("round_trip"),
+        (F.octet_length("lattice_ids") / 4).cast("long").alias("lattice_tokens"),
+        F.sha2("lattice_ids", 256).alias("lattice_sha256"),
         "lattice_round_trip",
     )
