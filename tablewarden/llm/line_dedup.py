@@ -25,8 +25,9 @@ def _lines(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
     return rows.withColumn("line", F.trim("line")).filter("line <> ''")
 
 
-def _key(line: Column) -> Column:
-    return F.unhex(F.md5(line))
+def _key(line: Column) -> dict[str, Column]:
+    """A line's identity, 128 bits."""
+    return {"k1": F.xxhash64(line), "k2": F.xxhash64(F.lit("second"), line)}
 
 
 def _halves(line: Column, n: Column) -> Column:
@@ -39,12 +40,16 @@ def _halves(line: Column, n: Column) -> Column:
     return F.array(*out)
 
 
-def _distinct_lines(lines: DataFrame) -> DataFrame:
-    """One row per distinct line: key, first (doc and no of the earliest), times, halves (null for short lines)."""
+def _keyed_lines(lines: DataFrame) -> DataFrame:
+    """k1, k2, doc, no, halves (null for short lines): all that later steps need of the lines but for survivors' text."""
     n = F.length("line")
-    halves = F.when(n >= NEAR_CHARS, _halves(F.col("line"), n))
-    keyed = lines.select(_key(F.col("line")).alias("key"), F.struct("doc", "no").alias("at"), halves.alias("halves"))
-    return keyed.groupBy("key").agg(F.min("at").alias("first"), F.count("*").alias("times"), F.min("halves").alias("halves"))
+    keys = {**_key(F.col("line")), "halves": F.when(n >= NEAR_CHARS, _halves(F.col("line"), n))}
+    return lines.select("doc", "no", *[e.alias(c) for c, e in keys.items()])
+
+
+def _distinct_lines(keyed: DataFrame) -> DataFrame:
+    """One row per distinct line: k1, k2, first (doc and no of the earliest), times, halves."""
+    return keyed.groupBy("k1", "k2").agg(F.min(F.struct("doc", "no")).alias("first"), F.count("*").alias("times"), F.min("halves").alias("halves"))
 
 
 def _variants(survivors: DataFrame) -> DataFrame:
@@ -81,18 +86,18 @@ def _variants(survivors: DataFrame) -> DataFrame:
     return whole.unionByName(left.select(F.col("around").bitwiseXOR(one).alias("variant"), "place", "first"))
 
 
-def _near_copies(lines: DataFrame, distinct: DataFrame) -> DataFrame:
+def _near_copies(docs: DataFrame, distinct: DataFrame, text_col: str, id_col: str) -> DataFrame:
     """(first,) of the distinct lines with an earlier line one edit away."""
     halves = distinct.filter("halves IS NOT NULL").select("first", F.explode("halves").alias("half"))
     shared = materialise(halves.groupBy("half").count().filter("count > 1").select("half"), "lines-halves")
-    found = materialise(halves.join(shared, "half", "left_semi").select("first").distinct(), "lines-survivors")
-    slot = lambda doc, no: F.pmod(F.xxhash64(doc, no), F.lit(SLOTS)).cast("int")
-    slots = materialise(found.select(slot("first.doc", "first.no").alias("slot")).distinct(), "lines-slots")
-    texts = lines.withColumn("slot", slot("doc", "no")).join(F.broadcast(slots), "slot", "left_semi")  # SLOTS rows at most
-    texts = texts.select(F.struct("doc", "no").alias("first"), "line").join(found, "first", "left_semi")
+    found = materialise(halves.join(shared.hint("shuffle_hash"), "half", "left_semi").select("first").distinct(), "lines-survivors")
+    slot = lambda doc: F.pmod(F.xxhash64(doc), F.lit(SLOTS)).cast("int")
+    slots = materialise(found.select(slot("first.doc").alias("_slot")).distinct(), "lines-slots")
+    some = docs.select(F.col(id_col), F.col(text_col)).withColumn("_slot", slot(id_col)).join(F.broadcast(slots), "_slot", "left_semi")  # SLOTS rows at most
+    texts = _lines(some, text_col, id_col).select(F.struct("doc", "no").alias("first"), "line").join(found, "first", "left_semi")
     texts = materialise(texts.dropDuplicates(["first"]), "lines-texts")
 
-    variants = _variants(texts)
+    variants = materialise(_variants(texts), "lines-variants")
     # Same variant, same place: one character replaced. The earliest of such a group stands for all pairs in it.
     replaced = variants.filter("place >= 0").groupBy("variant", "place").agg(F.min("first").alias("early"), F.count("*").alias("n")).filter("n > 1").drop("n")
     # A line that is another's variant: one character more or less.
@@ -114,6 +119,7 @@ def dropped_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
     with runs of it as one space; blank lines are never dropped; lines under NEAR_CHARS characters are compared
     exactly. A line within the bound of any earlier line is dropped, even if that line is dropped too.
 
+    Joins with tables that grow with the lines are shuffle joins at every size.
     Lines that share neither half with another can have no partner and emit no variants. Variants are grouped, never
     paired: each line is compared with the earliest of its group only, which decides the same, so a group of
     copies costs its length. With a bound of one edit that is exact; a wider bound would need all pairs of a group.
@@ -121,15 +127,15 @@ def dropped_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
     if max_edits not in (0, 1):
         raise ValueError("max_edits is 0 or 1")
     lines = _lines(docs, text_col, id_col)
-    distinct = materialise(_distinct_lines(lines), "lines-distinct")
-    bad = distinct.filter("times > 1").select("key", "first", F.lit(False).alias("all"))
+    keyed = materialise(_keyed_lines(lines), "lines-keyed")
+    distinct = materialise(_distinct_lines(keyed), "lines-distinct")
+    bad = distinct.filter("times > 1").select("k1", "k2", "first", F.lit(False).alias("all"))
     if max_edits:
-        near = materialise(_near_copies(lines, distinct), "lines-near")
+        near = materialise(_near_copies(docs, distinct, text_col, id_col), "lines-near")
         marked = distinct.join(near.withColumn("near", F.lit(True)), "first", "left")
-        bad = marked.filter("times > 1 OR near").select("key", "first", F.coalesce("near", F.lit(False)).alias("all"))
+        bad = marked.filter("times > 1 OR near").select("k1", "k2", "first", F.coalesce("near", F.lit(False)).alias("all"))
     bad = materialise(bad, "lines-bad")
-    at = lines.select(_key(F.col("line")).alias("key"), "doc", "no")
-    return at.join(bad, "key").filter(F.col("all") | (F.struct("doc", "no") != F.col("first"))).select("doc", "no")
+    return keyed.select("k1", "k2", "doc", "no").join(bad.hint("shuffle_hash"), ["k1", "k2"]).filter(F.col("all") | (F.struct("doc", "no") != F.col("first"))).select("doc", "no")
 
 
 def line_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", max_edits: int = MAX_EDITS) -> DataFrame:
@@ -140,7 +146,8 @@ def line_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     """
     gone = dropped_lines(docs, text_col, id_col, max_edits).groupBy("doc").agg(F.collect_set("no").alias("_gone"))
     gone = materialise(gone, "lines-gone")
-    rows = docs.drop("n_lines", "n_kept").join(gone, F.col(id_col) == gone.doc, "left").drop("doc")
+    # A shuffle join at every size: the lists grow with the table, so sending them to all tasks would not last.
+    rows = docs.drop("n_lines", "n_kept").join(gone.hint("shuffle_hash"), F.col(id_col) == gone.doc, "left").drop("doc")
     split = F.split(F.col(text_col), "\n", -1)
     n = F.coalesce(F.size(split), F.lit(0))
     n = F.when(F.col(text_col).isNull(), 0).otherwise(n)
