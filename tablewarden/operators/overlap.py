@@ -1,11 +1,11 @@
 """The audit of feature vectors within and across two splits.
 
-All figures come from one aggregate: vector_splits has a row per vector with what each split holds of it.
+All figures come from one aggregate: vector_counts has a row per vector with what each split holds of it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewarden.functions.columns import count_if, match_nulls
@@ -15,26 +15,36 @@ DELIMITER = "|"
 NOT_IN_TRAINING, SAME_LABEL, CONFLICTING = "not_in_training", "same_label_in_training", "conflicting_label_in_training"
 
 
-def vector_splits(df: DataFrame, features: list[str], label: str, split: str, train: str = "train", validation: str = "validation") -> DataFrame:
-    """features, then for t (train) and v (validation): n_, pairs_, most_, labels_ (text of the sorted label set), k_ (labels)."""
-    pairs = df.filter(F.col(split).isin(train, validation)).groupBy(*features, label).agg(
+def _pairs(df: DataFrame, features: list[str], label: str, split: str, train: str, validation: str) -> DataFrame:
+    return df.filter(F.col(split).isin(train, validation)).groupBy(*features, label).agg(
         *[count_if(F.col(split) == s).alias(f"n_{a}") for a, s in (("t", train), ("v", validation))]
     )
-    of = lambda a, value: F.when(F.col(f"n_{a}") > 0, value)
-    out = pairs.groupBy(*features).agg(
-        *[
-            e
-            for a in "tv"
-            for e in (
-                F.sum(f"n_{a}").alias(f"n_{a}"),
-                F.count(of(a, F.lit(1))).alias(f"pairs_{a}"),
-                F.max(f"n_{a}").alias(f"most_{a}"),
-                F.array_sort(F.collect_set(of(a, F.col(label)))).alias(f"_l{a}"),
-            )
-        ]
-    )
-    named = {f"labels_{a}": F.array_join(f"_l{a}", DELIMITER) for a in "tv"} | {f"k_{a}": F.size(f"_l{a}").cast("long") for a in "tv"}
-    return out.withColumns(named).drop("_lt", "_lv")
+
+
+def _figures(label: str) -> list[Column]:
+    """Counts of a vector from its (vector, label) rows; all of them numbers, so Spark keeps them in hash aggregates."""
+    here = lambda a, value: F.when(F.col(f"n_{a}") > 0, value)
+    return [F.count(label).alias("k")] + [
+        e
+        for a in "tv"
+        for e in (
+            F.sum(f"n_{a}").alias(f"n_{a}"), F.count(here(a, F.lit(1))).alias(f"pairs_{a}"), F.max(f"n_{a}").alias(f"most_{a}"), F.count(here(a, F.col(label))).alias(f"k_{a}"),
+        )
+    ]
+
+
+def vector_counts(df: DataFrame, features: list[str], label: str, split: str, train: str = "train", validation: str = "validation") -> DataFrame:
+    """features, k (labels in both splits together), then for t (train) and v (validation): n_, pairs_, most_, k_ (labels).
+
+    Enough for all counts of the audit; label sets need vector_splits.
+    """
+    return _pairs(df, features, label, split, train, validation).groupBy(*features).agg(*_figures(label))
+
+
+def vector_splits(df: DataFrame, features: list[str], label: str, split: str, train: str = "train", validation: str = "validation") -> DataFrame:
+    """vector_counts with labels_t and labels_v, the sorted label sets as text."""
+    sets = [F.array_join(F.array_sort(F.collect_set(F.when(F.col(f"n_{a}") > 0, F.col(label)))), DELIMITER).alias(f"labels_{a}") for a in "tv"]
+    return _pairs(df, features, label, split, train, validation).groupBy(*features).agg(*_figures(label), *sets)
 
 
 def check_delimiter(df: DataFrame, label: str) -> None:
@@ -80,7 +90,7 @@ def irreducible_errors(vectors: DataFrame) -> DataFrame:
 
 def shared(vectors: DataFrame) -> DataFrame:
     """Vectors in both splits, with same: one label, the same, on both sides."""
-    return vectors.filter("n_t > 0 AND n_v > 0").withColumn("same", (F.col("k_t") == 1) & (F.col("k_v") == 1) & (F.col("labels_t") == F.col("labels_v")))
+    return vectors.filter("n_t > 0 AND n_v > 0").withColumn("same", (F.col("k_t") == 1) & (F.col("k_v") == 1) & (F.col("k") == 1))
 
 
 def cross_split_overlap(vectors: DataFrame) -> DataFrame:

@@ -273,15 +273,19 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.vector_splits(V.flows_split(spark, sf_dir), *FLOW, "split")
 
 
+def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.vector_counts(V.flows_split(spark, sf_dir), *FLOW, "split")
+
+
 _WITHIN = """SELECT split, sum(n)::BIGINT AS n_rows, sum(n - pairs)::BIGINT AS n_exact_duplicates, sum(n - 1)::BIGINT AS n_repeated_rows, count(*) AS n_vectors, count(*) FILTER (k > 1) AS n_multi_label,
     coalesce(sum(n) FILTER (k > 1), 0)::BIGINT AS n_multi_label_rows, coalesce(sum(n - most) FILTER (k > 1), 0)::BIGINT AS n_min_misclassified FROM sets GROUP BY split"""
 on(_vectors, "vector_label_sets", f"WITH {_VECTORS} SELECT user_id, v, labels AS label_set FROM sets WHERE split = 'train'", lambda d: overlap.vector_label_sets(d, V.FEATURES))
 on(_vectors, "multiple_label_sets", f"WITH {_VECTORS} SELECT labels AS label_set, count(*) AS n FROM sets WHERE split = 'train' AND k > 1 GROUP BY 1", overlap.multiple_label_sets)
-on(_vectors, "within_split_audit", f"WITH {_VECTORS} {_WITHIN}", overlap.within_split_audit)
-on(_vectors, "irreducible_errors", f"WITH {_VECTORS} SELECT split, n_min_misclassified FROM ({_WITHIN})", overlap.irreducible_errors)
+on(_counts, "within_split_audit", f"WITH {_VECTORS} {_WITHIN}", overlap.within_split_audit)
+on(_counts, "irreducible_errors", f"WITH {_VECTORS} SELECT split, n_min_misclassified FROM ({_WITHIN})", overlap.irreducible_errors)
 _CROSS = """SELECT count(*) AS n_shared, count(*) FILTER (same) AS n_same, count(*) FILTER (NOT same) AS n_conflicting,
     coalesce(sum(n_v), 0)::BIGINT AS n_val_rows, coalesce(sum(n_t), 0)::BIGINT AS n_train_rows FROM shared"""
-on(_vectors, "cross_split_overlap", f"WITH {_VECTORS} {_CROSS}", overlap.cross_split_overlap)
+on(_counts, "cross_split_overlap", f"WITH {_VECTORS} {_CROSS}", overlap.cross_split_overlap)
 on(_vectors, "same_label_overlap", f"WITH {_VECTORS} SELECT labels_t AS label, count(*) AS n FROM shared WHERE same GROUP BY 1", overlap.same_label_overlap)
 on(
     _vectors, "conflicting_label_pairs",
