@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablewarden.llm.common import materialise, one_space, table
@@ -17,15 +17,8 @@ def _slot(length: Column, prefix: Column) -> Column:
     return F.pmod(F.xxhash64(length, prefix), F.lit(SLOTS)).cast("int")
 
 
-def duplicate_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Groups of two or more rows with equal text: text_sha256, keep_id (smallest id), group_size.
-
-    Texts are equal if they are identical once every run of white space is one space; null counts as empty.
-    1. Rows are counted by length. 2. Rows of a shared length are counted by the hash of their first 64 characters.
-    3. Only rows of a shared (length, prefix) get a full SHA-256 and are grouped by it.
-    All three are counts with map-side partial sums, so a hot length or text is a few rows per task; texts are never
-    shuffled. An empty table gives no groups. Rows that repeat an id count as rows of the group.
-    """
+def _survivors(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
+    """_id, _raw (hash of the text as it is), text_sha256 of the rows that share length and prefix with another row."""
     flat = one_space(F.col(text_col))
     sketch = materialise(
         docs.select(F.col(id_col).alias("_id"), flat.alias("_flat")).select(
@@ -37,17 +30,29 @@ def duplicate_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc
     prefixes = sketch.join(lengths, "_len", "left_semi").groupBy("_len", "_prefix").count().filter("count > 1")
     slots = materialise(prefixes.select(_slot(F.col("_len"), F.col("_prefix")).alias("_slot")).distinct(), "exact-slots")
     survivors = (
-        docs.select(F.col(id_col).alias("_id"), flat.alias("_flat"))
+        docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_raw"), flat.alias("_flat"))
         .withColumn("_slot", _slot(F.length("_flat"), F.xxhash64(F.substring("_flat", 1, PREFIX_CHARS))))
         .join(F.broadcast(slots), "_slot", "left_semi")  # SLOTS rows at most
-        .select("_id", F.sha2("_flat", 256).alias("text_sha256"))
-    )
-    return materialise(
-        survivors.groupBy("text_sha256")
-        .agg(F.min("_id").alias("keep_id"), F.count("*").alias("group_size"))
-        .filter("group_size > 1"),
-        "exact-groups",
+        .select("_id", "_raw", F.sha2("_flat", 256).alias("text_sha256"))
     )
+    return materialise(survivors, "exact-survivors")
+
+
+def _groups(survivors: DataFrame) -> DataFrame:
+    counts = survivors.groupBy("text_sha256").agg(F.min("_id").alias("keep_id"), F.count("*").alias("group_size"))
+    return materialise(counts.filter("group_size > 1"), "exact-groups")
+
+
+def duplicate_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """Groups of two or more rows with equal text: text_sha256, keep_id (smallest id), group_size.
+
+    Texts are equal if they are identical once every run of white space is one space; null counts as empty.
+    1. Rows are counted by length. 2. Rows of a shared length are counted by the hash of their first 64 characters.
+    3. Only rows of a shared (length, prefix) get a full SHA-256 and are grouped by it.
+    All three are counts with map-side partial sums, so a hot length or text is a few rows per task; texts are never
+    shuffled. An empty table gives no groups. Rows that repeat an id count as rows of the group.
+    """
+    return _groups(_survivors(docs, text_col, id_col))
 
 
 def mark_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -73,12 +78,18 @@ def mark_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
 def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """docs without later copies: the row with the smallest id of each group of equal texts stays, with its columns.
 
-    Rows that repeat both id and text are one document and give one row.
+    Rows that repeat both id and text are one document and give one row. What goes is listed by id and text hash, so
+    the texts are dealt out by id: a text that fills a third of the table is spread like any other. That is a
+    shuffle at every size, since the list grows with the table.
     """
-    whole = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text_col).alias("_text"), F.col(id_col).alias("_id"))
-    kept = mark_duplicates(whole, "_text", "_id").filter("kept")
-    repeated = kept.filter("group_size > 1").dropDuplicates(["text_sha256", "_id"])
-    return kept.filter("group_size = 1").select("_row.*").unionByName(repeated.select("_row.*"))
+    survivors = _survivors(docs, text_col, id_col)
+    copies = survivors.join(_groups(survivors), "text_sha256").filter(~F.col("_id").eqNullSafe(F.col("keep_id")))
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))  # noqa: E731  no id is an empty text
+    dropped = materialise(copies.select(name("_id").alias("_key"), F.col("_raw").alias("_hash")).distinct(), "exact-dropped")
+    whole = docs.select(F.struct(*docs.columns).alias("_row"), name(id_col).alias("_key"), F.xxhash64(text_col).alias("_hash"))
+    kept = whole.join(dropped.hint("shuffle_hash"), ["_key", "_hash"], "left_anti")
+    repeats = Window.partitionBy("_key", "_hash", f"_row.{text_col}").orderBy("_key")
+    return kept.withColumn("_n", F.row_number().over(repeats)).filter("_n = 1 OR _key = ''").select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

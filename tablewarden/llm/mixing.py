@@ -116,12 +116,13 @@ def mix_plan(docs, text_col="text", id_col="doc_id", source_col="source", weight
 def mix(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", **options) -> DataFrame:
     """The mixed corpus: each row of docs as often as the mix takes it as a whole, with its columns.
 
+    The list of ids grows with the table, so this is a shuffle by id at every size.
     A document of which the mix takes t of n words comes round(t / n) times. Rows that repeat an id are taken alike.
     """
     plan = mix_plan(docs, text_col, id_col, source_col, **options)
     times = plan.filter("taken > 0").groupBy(id_col).agg(F.max(F.round(F.col("taken") / F.col("size"))).cast("int").alias("_times"))
     times = materialise(times.filter("_times > 0"), "mix-times")
-    return docs.join(times, id_col).withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    return docs.join(times.hint("shuffle_hash"), id_col).withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
