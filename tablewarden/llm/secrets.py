@@ -31,14 +31,23 @@ ENCODINGS = {
     "hex": _D + "abcdef", "upper hex": _D + "ABCDEF", "base32": _U + "234567", "lower36": _D + _L,
     "upper36": _D + _U, "base62": _D + _U + _L, "base64": _U + _L + _D + "+/", "base64url": _U + _L + _D + "-_",
 }
+#: What the encodings leave out, each kind in strata of its own; a capitalised word is read without its case.
+OTHERS = {"digits": _D, "lower26": _L, "upper26": _U, "capitalised": _L, "mixture": _D + _U + _L + "+/_-"}
+_INDEX = {name: {s: i for i, s in enumerate(a)} for name, a in (ENCODINGS | OTHERS).items()}
 _SETS = [(name, frozenset(a), {s: i for i, s in enumerate(a)}) for name, a in ENCODINGS.items()]
 #: A token stays a candidate if the battery's combined p value (the chance that random symbols look this odd) isn't below this.
 BATTERY_P = 0.001
 #: False discoveries allowed among the tokens reported, in each stratum of encoding and length.
 FALSE_DISCOVERY_RATE = 0.01
 LENGTHS = (16, 24, 32, 48, 64, 128)
-#: p values of ordinary text are counted in steps of a tenth of a power of ten, down to 1e-40.
-STEPS, LEAST_POWER = 10, 40
+#: Scores (powers of ten of the likelihood ratio) are counted in steps of a tenth, from 0 to 100.
+STEPS, MOST_POWER = 10, 100
+#: Weight, in symbols, of the case and digit transitions beside the counted successors of a symbol.
+BACKOFF = 20
+#: Beside a stratum's own ordinary scores, what all strata and the model give counts as so many.
+PRIOR = 10
+#: Of that many random tokens, drawn for each stratum, this share is left to score like ordinary ones.
+DRAWN, APART = 10_000, 0.001
 
 
 def _upper_normal(z: float) -> float:
@@ -95,39 +104,110 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def candidates(text: str) -> list[tuple[int, int, str, int, float]]:
-    """(start, end, encoding, sum of squared symbol counts, battery's p value) of the tokens that may be encoded."""
+def infer_kind(token: str) -> tuple[str, str]:
+    """(encoding or kind that the encodings leave out, the token as it is read in that)."""
+    if found := infer_encoding(token):
+        return found[0], token
+    if token.isdigit():
+        return "digits", token
+    if token.isalpha():
+        return ("lower26", token) if token.islower() else ("upper26", token) if token.isupper() else ("capitalised", token.lower())
+    return "mixture", token
+
+
+def candidates(text: str) -> list[tuple[int, int, str, str]]:
+    """(start, end, kind, token as read) of the tokens that the battery takes for random symbols."""
     out = []
     for m in TOKEN.finditer(text):
-        if found := infer_encoding(m.group()):
-            p, squares = battery(m.group(), found[1])
-            out.append((m.start(), m.end(), found[0], squares, p))
+        kind, token = infer_kind(m.group())
+        if battery(token, _INDEX[kind])[0] >= BATTERY_P:
+            out.append((m.start(), m.end(), kind, token))
+    return out
+
+
+def pair_counts(text: str) -> np.ndarray:
+    """Counts of neighbouring symbols, at 128 * first + second; all symbols that aren't ASCII are one."""
+    at = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
+    at = np.where(at < 128, at, 0).astype(np.int64)
+    return np.bincount(at[:-1] * 128 + at[1:], minlength=128 * 128)
+
+
+def likelihood_ratios(pairs: np.ndarray, own: int = 1) -> dict[str, np.ndarray]:
+    """Per kind, [first, second]: log10 of the chance of a symbol if all are alike over its chance after the first in the corpus.
+
+    The successors of a symbol are counted over the corpus, less own (the pair that is tested), beside the
+    transitions between lower case, upper case, digits and the rest with the symbols' shares in their class. All are
+    taken within the kind's alphabet.
+    """
+    pairs = np.asarray(pairs, float).reshape(128, 128)
+    out = {}
+    for kind, symbols in (ENCODINGS | OTHERS).items():
+        at = [ord(s) for s in symbols]
+        counted = pairs[np.ix_(at, at)]
+        member = np.array([[s.islower(), s.isupper(), s.isdigit(), not s.isalnum()] for s in symbols], float)
+        used = member.sum(0) > 0
+        member = member[:, used]
+        moves = member.T @ counted @ member + 1.0
+        moves /= moves.sum(1, keepdims=True)
+        single = counted.sum(0) + 1.0
+        share = single / (member @ (member.T @ single))
+        chance = np.maximum(counted - own, 0) + BACKOFF * (member @ moves @ member.T) * share
+        chance /= chance.sum(1, keepdims=True)
+        out[kind] = -np.log10(len(symbols) * chance)
     return out
 
 
-def ordinary_power(symbol_counts: np.ndarray, encoding: str, n: int, squares: int) -> float:
-    """-log10 of the chance that n symbols of ordinary text (the corpus's own frequencies) look this uniform."""
-    q = np.array([symbol_counts[ord(s)] + 1.0 for s in ENCODINGS[encoding]])
-    q /= q.sum()
-    s2, s3 = (q**2).sum(), (q**3).sum()
-    mean = n + n * (n - 1) * s2
-    var = 2 * n * (n - 1) * (s2 + 2 * (n - 2) * s3 - (2 * n - 3) * s2 * s2)
-    z = (mean - squares) / math.sqrt(max(var, 1e-9))
-    return min(float(LEAST_POWER), -math.log10(max(_upper_normal(z), 10.0**-LEAST_POWER)))
+def score(ratios: dict[str, np.ndarray], kind: str, token: str) -> int:
+    """Steps of log10 of the likelihood ratio of random symbols against ordinary text, 0 if ordinary text is likelier."""
+    at = [_INDEX[kind][s] for s in token]
+    return int(STEPS * min(max(ratios[kind][at[:-1], at[1:]].sum(), 0.0), MOST_POWER))
+
+
+def _stratum(kind: str, n: int) -> str:
+    return f"{kind}/{max(x for x in LENGTHS if x <= n)}"
 
 
-def _stratum(encoding: str, n: int) -> str:
-    return f"{encoding}/{max(x for x in LENGTHS if x <= n)}"
+def ordinary_reach(ratios: dict[str, np.ndarray], stratum: str) -> int:
+    """The step that random tokens of the stratum's least length hardly ever score less than. ratios are those of new tokens."""
+    kind, n = stratum.split("/")
+    at = np.random.default_rng(0).integers(0, len(ratios[kind]), (DRAWN, int(n)))
+    return int(STEPS * min(np.quantile(ratios[kind][at[:, :-1], at[:, 1:]].sum(1), APART), MOST_POWER))
 
 
-def thresholds(histogram: pd.DataFrame, rate: float = FALSE_DISCOVERY_RATE) -> dict[str, int]:
-    """Benjamini-Hochberg by stratum, from counts of tokens by step of -log10 p: the least step that is reported."""
+def _spread(total: float, n: float, reach: float) -> float:
+    """Mean of the exponential distribution whose values under reach have the mean total / n, reach at most."""
+    mean = total / n
+    low, high = min(mean, reach), float(reach)
+    for _ in range(60):
+        middle = math.sqrt(low * high)
+        low, high = (middle, high) if middle - reach / math.expm1(min(reach / middle, 700.0)) < mean else (low, middle)
+    return high
+
+
+def thresholds(histogram: pd.DataFrame, reaches: dict[str, int], rate: float = FALSE_DISCOVERY_RATE) -> dict[str, int]:
+    """Benjamini-Hochberg by stratum, from counts of tokens by step of score: the least step that is reported.
+
+    Were ordinary tokens drawn from the corpus's symbol pairs, a ratio of 10 ** x would have a chance of at most
+    10 ** -x. They aren't quite, so the fall of the chance is taken from the stratum's ordinary tokens: those that score more
+    than 0 and less than random ones do. It is never taken to be steeper than for symbol pairs, and as steep where random
+    tokens may score 0 themselves, as numbers do.
+    """
+    model = STEPS / math.log(10)
+    tails = {}
+    for stratum, rows in histogram.groupby("stratum"):
+        tail = rows[(rows.step > 0) & (rows.step < reaches[stratum])]
+        if n := int(tail.n.sum()):
+            tails[stratum] = (n, max(model, _spread(float((tail.n * (tail.step + 0.5)).sum()), n, reaches[stratum])))
+    # Strata lend each other the spread in parts of the reach, since that says how well a stratum tells random from ordinary.
+    pooled = sum(n * spread / reaches[x] for x, (n, spread) in tails.items()) / (sum(n for n, _ in tails.values()) + PRIOR)
     out = {}
     for stratum, rows in histogram.groupby("stratum"):
+        n, spread = tails.get(stratum, (0, 0.0))
+        spread = (n * spread + PRIOR * max(model, pooled * reaches[stratum])) / (n + PRIOR)
         tests, above = int(rows.n.sum()), 0
         for step, n in sorted(zip(rows.step, rows.n), reverse=True):
             above += n
-            if 10 ** (-step / STEPS) * tests <= rate * above:
+            if math.exp(-step / spread) * tests <= rate * above:
                 out[stratum] = int(step)
     return out
 
@@ -136,54 +216,52 @@ def find_secrets(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     """Per row of docs: id, n_assign, n_access, n_hex, base_sha256, spans (kind:start:end, comma-joined).
 
     Spans of the kinds assign, access and hex follow fixed patterns, leftmost and without overlap per kind. A further
-    span, random, is a token of 16 or more symbols of a known encoding that (1) passes a battery of tests for random
-    symbols and (2) is more uniform than ordinary text would be: its p value under the corpus's own symbol
-    frequencies is among those that Benjamini-Hochberg reports within its encoding and length class, over all
-    documents. Null is an empty text: no spans. Every text is scanned whole, once; what leaves that pass are spans
-    and counts. The symbol frequencies (128 numbers) and the histogram (strata times steps) have fixed sizes.
+    span, random, is a token of 16 or more symbols that (1) passes a battery of tests for random symbols and (2) is
+    likelier as random symbols than as ordinary text: the p value of its likelihood ratio against the corpus's own
+    symbol pairs is among those that Benjamini-Hochberg reports within its encoding and length class, over all
+    documents. Numbers, words of one case and mixtures of alphabets have strata of their own. Null is an empty text:
+    no spans. Every text is read whole, twice: pairs are counted, then tokens are scored; what leaves are counts,
+    spans and scores. The pair counts (128 x 128) and the histogram (strata times steps) have fixed sizes.
     """
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros(128 * 128, np.int64)
+        for rows in batches:
+            for text in rows["text"]:
+                if text:
+                    sums += pair_counts(text)
+        at = np.flatnonzero(sums)
+        yield pd.DataFrame({"pair": at, "n": sums[at]})
+
+    sums = texts.select("text").mapInPandas(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()  # 128 x 128 rows
+    pairs = np.zeros(128 * 128)
+    pairs[sums.pair.to_numpy(int)] = sums.n.to_numpy(float)
+    ratios, unseen = likelihood_ratios(pairs), likelihood_ratios(pairs, 0)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            symbols = np.zeros(128, np.int64)
             base, found = [], []
             for text in rows["text"]:
                 text = text or ""
                 base.append([f"{KINDS[k]}:{a}:{b}" for a, k, b in base_spans(text)])
-                found.append(
-                    [{"start": a, "end": b, "encoding": e, "squares": s} for a, b, e, s, p in candidates(text) if p >= BATTERY_P]
-                )
-                symbols += np.bincount(np.frombuffer(text.encode("utf-8", "replace"), np.uint8) & 127, minlength=128)
-            first = [symbols.tolist()] + [None] * (len(rows) - 1)
-            yield pd.DataFrame({"id": rows["id"], "base": base, "found": found, "symbols": first[: len(rows)]})
+                found.append([{"start": a, "end": b, "stratum": _stratum(k, b - a), "step": score(ratios, k, t)} for a, b, k, t in candidates(text)])
+            yield pd.DataFrame({"id": rows["id"], "base": base, "found": found})
 
     kind = docs.schema[id_col].dataType.simpleString()
     scanned = materialise(
-        docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(
-            scan, f"id {kind}, base array<string>, found array<struct<start:long,end:long,encoding:string,squares:long>>, symbols array<long>"
-        ),
+        texts.mapInPandas(scan, f"id {kind}, base array<string>, found array<struct<start:long,end:long,stratum:string,step:int>>"),
         "secrets-scan",
     )
-    sums = scanned.select(F.posexplode("symbols")).groupBy("pos").agg(F.sum("col").alias("n")).toPandas()  # 128 rows
-    symbol_counts = np.zeros(128)
-    symbol_counts[sums.pos.to_numpy(int)] = sums.n.to_numpy(float)
-
-    def step(encoding: str, start: int, end: int, squares: int) -> int:
-        return int(STEPS * ordinary_power(symbol_counts, encoding, end - start, squares))
-
-    @F.pandas_udf("array<struct<stratum:string,step:int>>")
-    def graded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for lists in batches:
-            yield pd.Series([[{"stratum": _stratum(x["encoding"], x["end"] - x["start"]), "step": step(x["encoding"], x["start"], x["end"], x["squares"])} for x in xs] for xs in lists])
-
-    steps = scanned.filter(F.size("found") > 0).select(F.explode(graded("found")).alias("g")).select("g.*")
-    least = thresholds(steps.groupBy("stratum", "step").agg(F.count("*").alias("n")).toPandas(), rate)
+    steps = scanned.select(F.explode("found").alias("g")).select("g.stratum", "g.step")
+    histogram = steps.groupBy("stratum", "step").agg(F.count("*").alias("n")).toPandas()
+    least = thresholds(histogram, {x: ordinary_reach(unseen, x) for x in histogram.stratum.unique()}, rate)
 
     @F.pandas_udf("n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
     def spelled(base: pd.Series, found: pd.Series) -> pd.DataFrame:
         out = []
         for own, xs in zip(base, found, strict=True):
-            more = [x for x in xs if step(x["encoding"], x["start"], x["end"], x["squares"]) >= least.get(_stratum(x["encoding"], x["end"] - x["start"]), 1 << 30)]
+            more = [x for x in xs if x["step"] >= least.get(x["stratum"], 1 << 30)]
             spans = [*own, *(f"random:{x['start']}:{x['end']}" for x in more)]
             spans.sort(key=lambda s: (int(s.split(":")[1]), KINDS.index(s.split(":")[0])))
             kinds = [s.partition(":")[0] for s in own]

@@ -245,3 +245,25 @@ def test_randomness_battery(spark):
     rows = [(i, t + (" " + keys[i] if i < 60 else "")) for i, t in enumerate(prose)]
     got = {r.doc_id: r.spans for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert sum("random" in got[i] for i in range(60)) >= 55 and not any("random" in got[i] for i in range(60, 200))
+
+
+def test_short_keys_among_many_names(spark):
+    rng = random.Random(8)
+    words = "user account first name parse request header value index total count open close file stream reader config build test handle event error data base table column cache token buffer server client path home".split()
+    word = lambda: rng.choice(words)
+    camel = lambda: word() + "".join(word().title() for _ in range(4))
+    makers = [camel, lambda: "/".join(word() for _ in range(6)), lambda: "_".join(word() for _ in range(5)).upper(), lambda: camel() + str(rng.randrange(1000)) + word(), lambda: f"{word()}-{word()}-2024-11-{rng.randrange(10, 29)}-{rng.randrange(9)}"]
+    names = [rng.choice(makers)() for _ in range(4000)]
+    b62 = secrets.ENCODINGS["base62"]
+    keys = {i: "".join(rng.choice(b62) for _ in range(n)) for i, n in enumerate((16, 20, 24, 32, 40) * 8)}
+    lines = [(i, " ".join([*(word() for _ in range(200)), *names[i * 20 : i * 20 + 20], keys.get(i, "")])) for i in range(200)]
+    lower = {150 + i: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(40)) for i in range(5)}
+    mixed = {160 + i: "+/_-" + "".join(rng.choice(b62 + "+/_-") for _ in range(36)) for i in range(5)}
+    rows = [(i, t + " " + (lower | mixed).get(i, "")) for i, t in lines]
+    got = {r.doc_id: r.spans for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = {i: {t[int(a) : int(b)] for k, a, b in (s.split(":") for s in got[i].split(",") if s) if k == "random"} for i, t in rows}
+    for n in (16, 20, 24, 32, 40):
+        assert sum(k in found[i] for i, k in keys.items() if len(k) == n) >= 7, n
+    assert sum(k in found[i] for i, k in (lower | mixed).items()) >= 9
+    planted = {*keys.values(), *lower.values(), *mixed.values()}
+    assert len({t for s in found.values() for t in s} - planted) <= 1
