@@ -49,17 +49,26 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share=SHARE, max_repeats=M
 def mix_plan(docs, text_col="text", id_col="doc_id", source_col="source", weights=WEIGHTS, share=SHARE, max_repeats=MAX_REPEATS):
     """Per row of docs: its id, source, size (words), source_size, target and taken (words the mix takes of it).
 
-    Each source's documents are shuffled (by MD5 of seed and id, ties by id) and laid end to end, max_repeats times.
+    Each source's documents are shuffled (by MD5 of seed and id, ties by id; without an id, by MD5 of seed and a hash of
+    the text) and laid end to end, max_repeats times.
     A packet of a document finishes at virtual time (words of its source up to its end) / target. All packets are
     sorted by finishing time, over ranges of virtual time, and the mix ends where the running total meets the budget,
     share times all words; the packet at that point is cut. So every source comes within one packet of its target.
     Running totals are made in two levels (sums per range, then rows within a range), so neither a hot source nor the
     whole table is ever sorted in one task. Null and blank texts have size 0 and nothing is taken of them; a null
-    source is a source of its own; rows that repeat an id are separate documents; an empty table gives no rows.
+    source is a source of its own; rows that repeat an id, or have none, are separate documents; an empty table gives
+    no rows.
     """
+    return _plan(docs, text_col, id_col, source_col, weights, share, max_repeats).select(
+        F.col("doc_id").alias(id_col), "source", "size", "source_size", "target", "taken"
+    )
+
+
+def _plan(docs, text_col, id_col, source_col, weights=WEIGHTS, share=SHARE, max_repeats=MAX_REPEATS):
+    """mix_plan with the id as doc_id, and _hash of the text."""
     spark = docs.sparkSession
     sizes = materialise(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")),
+        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("_hash")),
         "mix-sizes",
     )
     targets = materialise(source_targets(sizes, weights, share, max_repeats), "mix-targets")
@@ -68,16 +77,16 @@ def mix_plan(docs, text_col="text", id_col="doc_id", source_col="source", weight
     buckets = number_of_parts(n_rows, ROWS_PER_BUCKET)
     slots = number_of_parts(budget, WORDS_PER_SLOT)
 
-    key = F.md5(F.concat(F.lit(f"{SEED}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    key = F.md5(F.concat(F.lit(f"{SEED}:"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("no id:"), F.col("_hash").cast("string")))))
     rows = (
         sizes.join(targets, sizes.source.eqNullSafe(targets.source))
-        .select("doc_id", sizes.source, "size", "src", "source_size", "target", key.alias("_key"))
+        .select("doc_id", sizes.source, "size", "_hash", "src", "source_size", "target", key.alias("_key"))
         .withColumn("_bucket", F.floor(F.conv(F.substring("_key", 1, 8), 16, 10).cast("long") * buckets / F.lit(1 << 32)))
     )
     offsets = rows.groupBy("src", "_bucket").agg(F.sum("size").alias("_n"))
     before = Window.partitionBy("src").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = materialise(offsets.select("src", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")), "mix-offsets")
-    in_bucket = Window.partitionBy("src", "_bucket").orderBy("_key", "doc_id", "size")
+    in_bucket = Window.partitionBy("src", "_bucket").orderBy("_key", "doc_id", "size", "_hash")
     placed = rows.join(offsets, ["src", "_bucket"]).withColumns(
         {
             "_pos": F.row_number().over(in_bucket),
@@ -109,20 +118,39 @@ def mix_plan(docs, text_col="text", id_col="doc_id", source_col="source", weight
         .agg(F.sum(F.least(F.col("_words"), F.col("_left"))).cast("long").alias("taken"))
     )
     return placed.join(taken, ["src", "_bucket", "_pos"], "left").select(
-        F.col("doc_id").alias(id_col), "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
+        "doc_id", "source", "size", "_hash", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
     )
 
 
 def mix(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", **options) -> DataFrame:
     """The mixed corpus: each row of docs as often as the mix takes it as a whole, with its columns.
 
-    The list of ids grows with the table, so this is a shuffle by id at every size.
-    A document of which the mix takes t of n words comes round(t / n) times. Rows that repeat an id are taken alike.
+    The list of ids grows with the table, so this is a shuffle at every size, by id and hashes of text and source: rows
+    without an id are told apart by these and spread by them. A document of which the mix takes t of n words comes
+    round(t / n) times. Rows alike in id (or without one), text and source share their copies evenly; only where that
+    leaves a remainder are they numbered, each such group in one place.
     """
-    plan = mix_plan(docs, text_col, id_col, source_col, **options)
-    times = plan.filter("taken > 0").groupBy(id_col).agg(F.max(F.round(F.col("taken") / F.col("size"))).cast("int").alias("_times"))
-    times = materialise(times.filter("_times > 0"), "mix-times")
-    return docs.join(times.hint("shuffle_hash"), id_col).withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    plan = _plan(docs, text_col, id_col, source_col, **options)
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))  # noqa: E731  rows without an id are told apart by the hashes
+    keys = ["_id", "_hash", "_source"]
+    copies = F.round(F.col("taken") / F.col("size")).cast("long")
+    times = (
+        plan.filter("size > 0")
+        .groupBy(name("doc_id").alias("_id"), "_hash", F.xxhash64("source").alias("_source"))
+        .agg(F.sum(copies).alias("_total"), F.count("*").alias("_alike"))
+        .filter("_total > 0")
+    )
+    times = materialise(times, "mix-times")
+    row = F.struct(*docs.columns).alias("_row")
+    whole = docs.select(row, name(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash"), F.xxhash64(source_col).alias("_source"))
+    out = whole.join(times.filter("_total % _alike = 0").hint("shuffle_hash"), keys).withColumn("_n", F.expr("_total div _alike"))
+    ragged = times.filter("_total % _alike > 0")
+    if not ragged.isEmpty():
+        number = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))
+        more = whole.join(ragged.hint("shuffle_hash"), keys).withColumn("_at", number)
+        more = more.withColumn("_n", F.expr("_total div _alike + IF(_at <= _total % _alike, 1, 0)"))
+        out = out.unionByName(more.drop("_at").filter("_n > 0"))
+    return out.select("_row", F.explode(F.expr("sequence(1L, _n)"))).select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

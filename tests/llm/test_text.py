@@ -68,6 +68,20 @@ def test_mix_edges(spark):
     assert mixing.mix_plan(docs.filter("false")).isEmpty() and mixing.mix(docs.filter("false")).isEmpty()
 
 
+def test_mix_takes_rows_without_an_id(spark):
+    rows = [(None, f"null {i} " + "w " * 20, "a") for i in range(60)] + [(None, "same text here " * 5, "b")] * 7 + [(i, f"own {i} " + "w " * 20, "b") for i in range(40)]
+    rows += [(5, "another text of the same id " * 4, "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan = mixing._plan(docs, "text", "doc_id", "source").collect()
+    want, mixed = Counter(), Counter((r.doc_id, r.source, r.text) for r in mixing.mix(docs).collect())
+    for r in plan:
+        want[r.source] += int(r.taken / r.size + 0.5)
+    assert want["a"] > 30 and Counter(s for _, s, _ in mixed.elements()) == want
+    assert sum(r.taken for r in plan if r.doc_id is None) > 0 and any(i is None for i, _, _ in mixed)
+    alike = sum(int(r.taken / r.size + 0.5) for r in plan if r.doc_id is None and r.source == "b")
+    assert mixed[None, "b", "same text here " * 5] == alike
+
+
 @pytest.fixture(scope="module")
 def model():
     return pieces.load(PATH), sentencepiece.SentencePieceProcessor(model_file=PATH)
