@@ -18,7 +18,7 @@ def _slot(length: Column, prefix: Column) -> Column:
 
 
 def _survivors(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """_id, _raw (hash of the text as it is), text_sha256 of the rows that share length and prefix with another row."""
+    """_id, _short (hash of the normalised text), text_sha256 of the rows that share length and prefix with another row."""
     flat = one_space(F.col(text_col))
     sketch = materialise(
         docs.select(F.col(id_col).alias("_id"), flat.alias("_flat")).select(
@@ -30,10 +30,10 @@ def _survivors(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
     prefixes = sketch.join(lengths, "_len", "left_semi").groupBy("_len", "_prefix").count().filter("count > 1")
     slots = materialise(prefixes.select(_slot(F.col("_len"), F.col("_prefix")).alias("_slot")).distinct(), "exact-slots")
     survivors = (
-        docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_raw"), flat.alias("_flat"))
+        docs.select(F.col(id_col).alias("_id"), flat.alias("_flat"))
         .withColumn("_slot", _slot(F.length("_flat"), F.xxhash64(F.substring("_flat", 1, PREFIX_CHARS))))
         .join(F.broadcast(slots), "_slot", "left_semi")  # SLOTS rows at most
-        .select("_id", "_raw", F.sha2("_flat", 256).alias("text_sha256"))
+        .select("_id", F.xxhash64("_flat").alias("_short"), F.sha2("_flat", 256).alias("text_sha256"))
     )
     return materialise(survivors, "exact-survivors")
 
@@ -78,17 +78,18 @@ def mark_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
 def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """docs without later copies: the row with the smallest id of each group of equal texts stays, with its columns.
 
-    Rows that repeat both id and text are one document and give one row. What goes is listed by id and text hash, so
+    Rows that repeat an id, with texts that are equal but for white space, are one document and give one row. What goes
+    is listed by id and hash of the normalised text, so
     the texts are dealt out by id: a text that fills a third of the table is spread like any other. That is a
     shuffle at every size, since the list grows with the table.
     """
     survivors = _survivors(docs, text_col, id_col)
     copies = survivors.join(_groups(survivors), "text_sha256").filter(~F.col("_id").eqNullSafe(F.col("keep_id")))
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))  # noqa: E731  no id is an empty text
-    dropped = materialise(copies.select(name("_id").alias("_key"), F.col("_raw").alias("_hash")).distinct(), "exact-dropped")
-    whole = docs.select(F.struct(*docs.columns).alias("_row"), name(id_col).alias("_key"), F.xxhash64(text_col).alias("_hash"))
+    dropped = materialise(copies.select(name("_id").alias("_key"), F.col("_short").alias("_hash")).distinct(), "exact-dropped")
+    whole = docs.select(F.struct(*docs.columns).alias("_row"), name(id_col).alias("_key"), F.xxhash64(one_space(F.col(text_col))).alias("_hash"))
     kept = whole.join(dropped.hint("shuffle_hash"), ["_key", "_hash"], "left_anti")
-    repeats = Window.partitionBy("_key", "_hash", f"_row.{text_col}").orderBy("_key")
+    repeats = Window.partitionBy("_key", "_hash").orderBy("_key")
     return kept.withColumn("_n", F.row_number().over(repeats)).filter("_n = 1 OR _key = ''").select("_row.*")
 
 

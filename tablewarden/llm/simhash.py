@@ -258,22 +258,40 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
 
     Documents link if their fingerprints differ in at most max_distance bits; a component is what links reach, named
     by its smallest id. All documents of one fingerprint are one node, so copies cost no pairs. Null and blank texts
-    have fingerprint 0 and link like any other. A row with a null id takes the component of its fingerprint, null if
-    no row of that fingerprint has an id. An empty table gives no rows.
+    have fingerprint 0 and link like any other. Fingerprints are what links join, so rows without an id link too and
+    rows that repeat an id may lie in several components; component_id is null if no row of the component has an id.
+    An empty table gives no rows.
     """
-    prints = materialise(add_fingerprint(docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("_text")), "_text", "fp").drop("_text"), "simhash-prints")
-    nodes = materialise(prints.groupBy("fp").agg(F.min(id_col).alias("rep")).filter("rep IS NOT NULL"), "simhash-nodes")
-    found = connected_components(links(nodes, max_distance))
-    named = nodes.join(found, nodes.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    named = materialise(named, "simhash-components")
-    return prints.join(named, "fp", "left").select(id_col, F.col("fp").alias("fingerprint"), "component_id")
+    return _components(docs, text_col, id_col, max_distance).select(id_col, F.col("fp").alias("fingerprint"), "component_id")
+
+
+def _components(docs: DataFrame, text_col: str, id_col: str, max_distance: int) -> DataFrame:
+    """Per row of docs: id, _hash (of the text), fp, component_id, _keep (the row of its component that stays: _no_id, _id, _hash)."""
+    texts = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_hash"))
+    prints = materialise(add_fingerprint(texts, "_text", "fp").drop("_text"), "simhash-prints")
+    first = F.min(F.struct(F.col(id_col).isNull().alias("_no_id"), F.col(id_col).alias("_id"), "_hash"))
+    nodes = materialise(prints.groupBy("fp").agg(first.alias("_first")), "simhash-nodes")
+    found = connected_components(links(nodes.select("fp", F.col("fp").alias("rep")), max_distance))
+    rooted = nodes.join(found, nodes.fp == found.node, "left").select("fp", "_first", F.coalesce("component", "fp").alias("_root"))
+    rooted = materialise(rooted, "simhash-roots")
+    kept = rooted.groupBy("_root").agg(F.min("_first").alias("_keep"))
+    named = materialise(rooted.join(kept, "_root").select("fp", "_keep", F.col("_keep._id").alias("component_id")), "simhash-components")
+    return prints.join(named, "fp", "left")
 
 
 def simhash_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """docs with one document of each component, the one with the smallest id, with its columns."""
-    found = near_duplicates(docs, text_col, id_col, max_distance)
-    dropped = materialise(found.filter(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), "simhash-dropped")
-    return docs.join(dropped, id_col, "left_anti").select(*docs.columns)
+    """docs with one document of each component, the one with the smallest id, with its columns.
+
+    Ids are compared with the text's hash, so of rows that repeat an id each stays or goes by its own component. Rows
+    without an id come after all others; among rows alike in that, the smallest hash stays. Rows alike in id (or
+    without one) and text stay or go together.
+    """
+    found = _components(docs, text_col, id_col, max_distance)
+    name = lambda c: F.coalesce(F.col(c).cast("long").cast("string"), F.lit(""))
+    gone = ~(F.col(id_col).eqNullSafe(F.col("component_id")) & (F.col("_hash") == F.col("_keep._hash")))
+    dropped = materialise(found.filter(gone).select(name(id_col).alias("_key"), "_hash").distinct(), "simhash-dropped")
+    whole = docs.select(F.struct(*docs.columns).alias("_row"), name(id_col).alias("_key"), F.xxhash64(text_col).alias("_hash"))
+    return whole.join(dropped, ["_key", "_hash"], "left_anti").select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -199,3 +199,18 @@ def test_line_edges(spark):
     assert line_dedup.dropped_lines(two, max_edits=0).isEmpty() and line_dedup.dropped_lines(two).count() == 1
     with pytest.raises(ValueError):
         line_dedup.dropped_lines(two, max_edits=2)
+
+
+def test_dedup_of_repeated_and_missing_ids(spark):
+    rng = random.Random(6)
+    text = lambda: " ".join(f"word{rng.randrange(10_000)}" for _ in range(900))
+    one, unique, other = text(), text(), text()
+    near, near_other = one + " end", other + " end"
+    nearly = lambda a, b: bin(simhash.fingerprint(a) ^ simhash.fingerprint(b)).count("1") <= simhash.MAX_DISTANCE
+    rows = [(1, one), (5, near), (5, unique), (None, near), (None, other), (None, near_other)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert nearly(one, near) and nearly(other, near_other) and not nearly(one, unique) and not nearly(one, other)
+    got = [(r.doc_id, r.text) for r in simhash.simhash_dedup(docs).collect()]
+    assert len(got) == 3 and {(1, one), (5, unique)} < set(got) and got.count((None, other)) + got.count((None, near_other)) == 1
+    spaced = spark.createDataFrame([(1, "a b"), (1, "a  b"), (2, "a\tb"), (3, "c"), (3, "d")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text.split()) for r in exact_dedup.exact_dedup(spaced).collect()) == [(1, ["a", "b"]), (3, ["c"]), (3, ["d"])]
