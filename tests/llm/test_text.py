@@ -130,11 +130,16 @@ def test_encoding(spark, model):
 
 @pytest.mark.parametrize("chunk", [16, 33, 400])
 def test_chunks_give_the_same_path(spark, model, chunk):
-    p, _ = model
-    rows = [t for t in texts() if t]
+    p, library = model
+    rng = random.Random(5)
+    rows = [t for t in texts() if t] + ["".join(rng.choice("theranois ") for _ in range(900)), "▁a ▁▁b " * 20, " x" * 300, "\n\na\n b\n" * 40]
     docs = spark.createDataFrame(list(enumerate(rows)), "key long, text string")
-    got = {r.key: np.frombuffer(r.ids, "<i4").tolist() for r in pieces.encode_giants(docs, PATH, chunk=chunk).collect()}
-    assert got == {i: best_path(p, t) for i, t in enumerate(rows)}
+    got = {r.key: r for r in pieces.widen(pieces.encode_giants(docs, PATH, chunk=chunk), PATH).collect()}
+    ids = lambda x: np.frombuffer(x, "<i4").tolist()
+    for i, t in enumerate(rows):
+        assert ids(got[i].lattice_ids) == best_path(p, t), t
+        assert ids(got[i].merges_ids) == library.encode(t), t
+        assert got[i].lattice_spelled and got[i].merges_spelled
 
 
 def test_scan_is_associative():
