@@ -15,12 +15,6 @@ DELIMITER = "|"
 NOT_IN_TRAINING, SAME_LABEL, CONFLICTING = "not_in_training", "same_label_in_training", "conflicting_label_in_training"
 
 
-def _pairs(df: DataFrame, features: list[str], label: str, split: str, train: str, validation: str) -> DataFrame:
-    return df.filter(F.col(split).isin(train, validation)).groupBy(*features, label).agg(
-        *[count_if(F.col(split) == s).alias(f"n_{a}") for a, s in (("t", train), ("v", validation))]
-    )
-
-
 def _figures(label: str) -> list[Column]:
     """Counts of a vector from its (vector, label) rows; all of them numbers, so Spark keeps them in hash aggregates."""
     here = lambda a, value: F.when(F.col(f"n_{a}") > 0, value)
@@ -33,23 +27,46 @@ def _figures(label: str) -> list[Column]:
     ]
 
 
+def _sets(label: str) -> list[Column]:
+    return [F.array_join(F.array_sort(F.collect_set(F.when(F.col(f"n_{a}") > 0, F.col(label).cast("string")))), DELIMITER).alias(f"labels_{a}") for a in "tv"]
+
+
+def _vectors(df: DataFrame, features: list[str], label: str, split: str, names: dict[str, str], with_sets: bool) -> DataFrame:
+    """A row per vector. Vectors meet by value, but only those whose 64-bit key occurs more than once are shuffled.
+
+    The keys are counted first. A row whose key is alone is a vector of its own and becomes a row as it stands; the
+    others are grouped by all features, so keys that collide cost a little and change nothing. Which keys occur more
+    than once is a table that Spark sends to all tasks only below its broadcast threshold.
+    """
+    rows = df.filter(F.col(split).isin(*names.values())).withColumn("_key", F.xxhash64(*features))
+    often = rows.groupBy("_key").count().filter("count > 1").select("_key")
+    counts = [count_if(F.col(split) == s).alias(f"n_{a}") for a, s in names.items()]
+    pairs = rows.join(often, "_key", "left_semi").groupBy(*features, label).agg(*counts)
+    together = pairs.groupBy(*features).agg(*_figures(label), *(_sets(label) if with_sets else []))
+    one = {a: (F.col(split) == s).cast("long") for a, s in names.items()}
+    labelled = F.col(label).isNotNull().cast("long")
+    alone = [labelled.alias("k")] + [e.alias(f"{c}_{a}") for a, n in one.items() for c, e in (("n", n), ("pairs", n), ("most", n), ("k", n * labelled))]
+    if with_sets:
+        alone += [F.when(F.col(split) == s, F.coalesce(F.col(label).cast("string"), F.lit(""))).otherwise("").alias(f"labels_{a}") for a, s in names.items()]
+    return together.unionByName(rows.join(often, "_key", "left_anti").select(*features, *alone))
+
+
 def vector_counts(df: DataFrame, features: list[str], label: str, split: str, train: str = "train", validation: str = "validation") -> DataFrame:
     """features, k (labels in both splits together), then for t (train) and v (validation): n_, pairs_, most_, k_ (labels).
 
     Enough for all counts of the audit; label sets need vector_splits.
     """
-    return _pairs(df, features, label, split, train, validation).groupBy(*features).agg(*_figures(label))
+    return _vectors(df, features, label, split, {"t": train, "v": validation}, False)
 
 
 def vector_splits(df: DataFrame, features: list[str], label: str, split: str, train: str = "train", validation: str = "validation") -> DataFrame:
     """vector_counts with labels_t and labels_v, the sorted label sets as text."""
-    sets = [F.array_join(F.array_sort(F.collect_set(F.when(F.col(f"n_{a}") > 0, F.col(label)))), DELIMITER).alias(f"labels_{a}") for a in "tv"]
-    return _pairs(df, features, label, split, train, validation).groupBy(*features).agg(*_figures(label), *sets)
+    return _vectors(df, features, label, split, {"t": train, "v": validation}, True)
 
 
 def check_delimiter(df: DataFrame, label: str) -> None:
     """Labels that hold the delimiter of label sets are refused."""
-    bad = [r[0] for r in df.filter(F.contains(label, F.lit(DELIMITER))).select(label).distinct().limit(20).collect()]
+    bad = [r[0] for r in df.filter(F.contains(F.col(label).cast("string"), F.lit(DELIMITER))).select(label).distinct().limit(20).collect()]
     if bad:
         raise ContractError(f"Labels hold {DELIMITER!r}: {sorted(bad)}")
 
@@ -67,21 +84,25 @@ def within_split_audit(vectors: DataFrame, train: str = "train", validation: str
     """split, n_rows, n_exact_duplicates, n_repeated_rows, n_vectors, n_multi_label, n_multi_label_rows,
     n_min_misclassified (rows that no function of the features can get right)."""
 
-    def one(a: str, name: str) -> DataFrame:
-        n, k = F.col(f"n_{a}"), F.col(f"k_{a}")
-        total = lambda x: F.coalesce(F.sum(x), F.lit(0))
-        here = n > 0
-        return vectors.agg(
-            total(n).alias("n_rows"),
-            total(n - F.col(f"pairs_{a}")).alias("n_exact_duplicates"),
-            total(F.when(here, n - 1)).alias("n_repeated_rows"),
-            count_if(here).alias("n_vectors"),
-            count_if(k > 1).alias("n_multi_label"),
-            total(F.when(k > 1, n)).alias("n_multi_label_rows"),
-            total(F.when(k > 1, n - F.col(f"most_{a}"))).alias("n_min_misclassified"),
-        ).select(F.lit(name).alias("split"), "*")
+    sides = {"t": train, "v": validation}
+    figures = vectors.agg(*[e.alias(f"{c}_{a}") for a in sides for c, e in _within(a).items()])
+    each = [F.struct(F.lit(name).alias("split"), *[F.col(f"{c}_{a}").alias(c) for c in _within(a)]) for a, name in sides.items()]
+    return figures.select(F.inline(F.array(*each)))
 
-    return one("t", train).unionByName(one("v", validation))
+
+def _within(a: str) -> dict[str, Column]:
+    """The within-split figures of one side, as aggregates over vectors."""
+    n, k = F.col(f"n_{a}"), F.col(f"k_{a}")
+    total = lambda x: F.coalesce(F.sum(x), F.lit(0))
+    return {
+        "n_rows": total(n),
+        "n_exact_duplicates": total(n - F.col(f"pairs_{a}")),
+        "n_repeated_rows": total(F.when(n > 0, n - 1)),
+        "n_vectors": count_if(n > 0),
+        "n_multi_label": count_if(k > 1),
+        "n_multi_label_rows": total(F.when(k > 1, n)),
+        "n_min_misclassified": total(F.when(k > 1, n - F.col(f"most_{a}"))),
+    }
 
 
 def irreducible_errors(vectors: DataFrame) -> DataFrame:
@@ -117,9 +138,9 @@ def overlap_annotation(df: DataFrame, features: list[str], label: str, row_id: s
     The relation is same_label_in_training only if the training set as text equals the row's own label, so a vector
     with several training labels always conflicts.
     """
-    pairs = df.filter(F.col(split) == train).groupBy(*features).agg(F.array_join(F.array_sort(F.collect_set(label)), DELIMITER).alias("_t"))
+    pairs = df.filter(F.col(split) == train).groupBy(*features).agg(F.array_join(F.array_sort(F.collect_set(F.col(label).cast("string"))), DELIMITER).alias("_t"))
     rows = match_nulls(df.filter(F.col(split) == validation), pairs, features, "left")
-    relation = F.when(F.col("_t").isNull(), NOT_IN_TRAINING).when(F.col("_t") == F.col(label), SAME_LABEL).otherwise(CONFLICTING)
+    relation = F.when(F.col("_t").isNull(), NOT_IN_TRAINING).when(F.col("_t") == F.col(label).cast("string"), SAME_LABEL).otherwise(CONFLICTING)
     return rows.select(
         row_id, F.col("_t").isNotNull().alias("feature_vector_in_training"), F.coalesce("_t", F.lit("")).alias("training_labels_for_vector"), relation.alias("overlap_label_relation")
     )
@@ -130,15 +151,23 @@ def audit_summary(df: DataFrame, features: list[str], label: str, split: str, me
     same_label (map), conflicts (array of structs). Not measured means the fields are absent, not 0."""
     if not measured:
         return df.sparkSession.createDataFrame([(False,)], "measured boolean")
-    vectors = vector_splits(df, features, label, split)
-    within = within_split_audit(vectors)
-    figures = [c for c in within.columns if c != "split"]
-    sides = within.agg(*[F.max(F.when(F.col("split") == s, F.struct(*figures))).alias(s) for s in ("train", "validation")])
-    cross = cross_split_overlap(vectors)
-    same = same_label_overlap(vectors).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "n")))).alias("same_label"))
-    conflicts = conflicting_label_pairs(vectors).agg(
-        F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("order"), "training_labels", "validation_labels", "n"))).alias("_c")
-    )
+    names = {"train": "t", "validation": "v"}
+    by_side = [e.alias(f"{c}_{a}") for a in names.values() for c, e in _within(a).items()]
+    same = (F.col("k_t") == 1) & (F.col("k_v") == 1) & (F.col("k") == 1)
+    vectors = vector_splits(df, features, label, split).withColumn("relation", F.when((F.col("n_t") > 0) & (F.col("n_v") > 0), same))
+    # One pass over the vectors; what is left has a row per combination of label sets, and all parts read it from one exchange.
+    sums = vectors.groupBy("labels_t", "labels_v", "relation").agg(F.count("*").alias("n"), F.sum("n_t").alias("rows_t"), F.sum("n_v").alias("rows_v"), *by_side)
+    whole = sums.agg(*[F.coalesce(F.sum(f"{c}_{a}"), F.lit(0)).alias(f"{c}_{a}") for a in names.values() for c in _within(a)])
+    sides = whole.select(*[F.struct(*[F.col(f"{c}_{a}").alias(c) for c in _within(a)]).alias(s) for s, a in names.items()])
+    both = sums.filter("relation IS NOT NULL")
+    total = lambda c, when=F.lit(True): F.coalesce(F.sum(F.when(when, F.col(c))), F.lit(0))
+    cross = both.agg(
+        total("n").alias("n_shared"), total("n", F.col("relation")).alias("n_same"), total("n", ~F.col("relation")).alias("n_conflicting"),
+        total("rows_v").alias("n_val_rows"), total("rows_t").alias("n_train_rows"),
+    )
+    same = both.filter("relation").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("labels_t").alias("label"), "n")))).alias("same_label"))
+    named = F.struct((-F.col("n")).alias("order"), F.col("labels_t").alias("training_labels"), F.col("labels_v").alias("validation_labels"), "n")
+    conflicts = both.filter("NOT relation").agg(F.array_sort(F.collect_list(named)).alias("_c"))
     one = sides.crossJoin(cross.select(F.struct("*").alias("cross"))).crossJoin(same).crossJoin(conflicts)  # a row each
     return one.select(
         F.lit(True).alias("measured"), "train", "validation", "cross", "same_label",
