@@ -8,34 +8,43 @@ from pyspark.sql import functions as F
 from tablewarden.llm.common import materialise, one_space, table
 
 PREFIX_CHARS = 64
-#: Surviving (length, prefix) groups are folded into this many numbered slots. The set of slots is what the second
-#: scan gets by broadcast, so its size has a fixed bound; a full set only means that more rows get their full hash.
-SLOTS = 1 << 18
+#: Surviving (length, prefix) groups are folded into numbered slots, so many for each group that few others share one at
+#: any size of the table. Up to MOST_SENT slots the set is sent to all tasks; a larger one is joined by a shuffle.
+SLOTS_PER_GROUP, LEAST_SLOTS, MOST_SENT = 8, 1 << 16, 1 << 20
 
 
-def _slot(length: Column, prefix: Column) -> Column:
-    return F.pmod(F.xxhash64(length, prefix), F.lit(SLOTS)).cast("int")
+def _sketch(docs: DataFrame, text_col: str, id_col: str, **more: Column) -> DataFrame:
+    """_id, _len, _prefix (hash of the first characters) of the normalised texts, and more of _flat, in one reading."""
+    rows = docs.select(F.col(id_col).alias("_id"), one_space(F.col(text_col)).alias("_flat"))
+    own = rows.select("_id", F.length("_flat").alias("_len"), F.xxhash64(F.substring("_flat", 1, PREFIX_CHARS)).alias("_prefix"), *[e.alias(c) for c, e in more.items()])
+    return materialise(own, "exact-sketch")
 
 
-def _survivors(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """_id, _short (hash of the normalised text), text_sha256 of the rows that share length and prefix with another row."""
-    flat = one_space(F.col(text_col))
-    sketch = materialise(
-        docs.select(F.col(id_col).alias("_id"), flat.alias("_flat")).select(
-            "_id", F.length("_flat").alias("_len"), F.xxhash64(F.substring("_flat", 1, PREFIX_CHARS)).alias("_prefix")
-        ),
-        "exact-sketch",
-    )
+def _shared(sketch: DataFrame) -> DataFrame:
+    """The (_len, _prefix) that more rows than one have: rows are counted by length, those of shared lengths by prefix."""
     lengths = materialise(sketch.groupBy("_len").count().filter("count > 1").select("_len"), "exact-lengths")
     prefixes = sketch.join(lengths, "_len", "left_semi").groupBy("_len", "_prefix").count().filter("count > 1")
-    slots = materialise(prefixes.select(_slot(F.col("_len"), F.col("_prefix")).alias("_slot")).distinct(), "exact-slots")
-    survivors = (
-        docs.select(F.col(id_col).alias("_id"), flat.alias("_flat"))
-        .withColumn("_slot", _slot(F.length("_flat"), F.xxhash64(F.substring("_flat", 1, PREFIX_CHARS))))
-        .join(F.broadcast(slots), "_slot", "left_semi")  # SLOTS rows at most
-        .select("_id", F.xxhash64("_flat").alias("_short"), F.sha2("_flat", 256).alias("text_sha256"))
+    return materialise(prefixes.select("_len", "_prefix"), "exact-prefixes")
+
+
+def _slots(groups: int) -> int:
+    return max(LEAST_SLOTS, 1 << (SLOTS_PER_GROUP * groups).bit_length())
+
+
+def _survivors(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
+    """_id, _short (hash of the normalised text), text_sha256 of the rows that share length and prefix with another row.
+
+    Only these rows get a full hash, and few others: those that share a slot with them.
+    """
+    shared = _shared(_sketch(docs, text_col, id_col))
+    n = _slots(shared.count())
+    slot = lambda length, prefix: F.pmod(F.xxhash64(length, prefix), F.lit(n))
+    slots = materialise(shared.select(slot(F.col("_len"), F.col("_prefix")).alias("_slot")).distinct(), "exact-slots")
+    rows = docs.select(F.col(id_col).alias("_id"), one_space(F.col(text_col)).alias("_flat")).withColumn(
+        "_slot", slot(F.length("_flat"), F.xxhash64(F.substring("_flat", 1, PREFIX_CHARS)))
     )
-    return materialise(survivors, "exact-survivors")
+    rows = rows.join(F.broadcast(slots) if n <= MOST_SENT else slots, "_slot", "left_semi")
+    return materialise(rows.select("_id", F.xxhash64("_flat").alias("_short"), F.sha2("_flat", 256).alias("text_sha256")), "exact-survivors")
 
 
 def _groups(survivors: DataFrame) -> DataFrame:
@@ -55,47 +64,58 @@ def duplicate_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc
     return _groups(_survivors(docs, text_col, id_col))
 
 
-def mark_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Every row with text_sha256, keep_id, group_size and kept added; columns of those names are replaced.
+def duplicate_marks(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """A row per row of docs: its id, keep_id, group_size, kept, text_sha256.
 
     Of equal texts the row with the smallest id is kept (kept is true for each row that carries that id). A null id
-    counts as larger than any; a group of null ids only has a null keep_id and its rows are kept.
-    The groups table is read back from files: a small one is broadcast, a large one joined by a shuffle in which
-    Spark splits the partitions of hot texts. Only rows of the result's columns travel.
+    counts as larger than any; a group of null ids only has a null keep_id and its rows are kept. An empty table gives
+    no rows. Texts are read once: since every row's digest is asked for, it is taken along with length and prefix; only
+    rows of a shared (length, prefix) are grouped by digest. The groups are read back from files: a small table of them
+    is sent to all tasks, a large one joined by a shuffle in which Spark splits the partitions of hot texts.
     """
-    groups = duplicate_groups(docs, text_col, id_col)
+    rows = _sketch(docs, text_col, id_col, text_sha256=F.sha2("_flat", 256))
+    groups = _groups(rows.join(_shared(rows), ["_len", "_prefix"], "left_semi"))
+    out = rows.join(groups, "text_sha256", "left")
+    keep = F.when(F.col("group_size").isNull(), F.col("_id")).otherwise(F.col("keep_id"))
+    return out.select(
+        F.col("_id").alias(id_col), keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
+        F.col("_id").eqNullSafe(keep).alias("kept"), "text_sha256",
+    )
+
+
+def mark_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """Every row with text_sha256, keep_id, group_size and kept added, as duplicate_marks has them; columns of those names are replaced."""
+    groups = duplicate_groups(docs, text_col, id_col).withColumnsRenamed({"keep_id": "_keep", "group_size": "_size"})
     added = ("text_sha256", "keep_id", "group_size", "kept")
-    rows = docs.select(*[c for c in docs.columns if c not in added], F.sha2(one_space(F.col(text_col)), 256).alias("text_sha256"))
-    out = rows.join(groups, "text_sha256", "left").withColumn(
-        "keep_id", F.when(F.col("group_size").isNull(), F.col(id_col)).otherwise(F.col("keep_id"))
-    )
-    out = out.withColumns(
-        {"group_size": F.coalesce("group_size", F.lit(1)).cast("long"), "kept": F.col(id_col).eqNullSafe(F.col("keep_id"))}
-    )
-    return out.select(*[c for c in docs.columns if c not in added], *added)
+    others = [c for c in docs.columns if c not in added]
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.sha2(one_space(F.col(text_col)), 256).alias("text_sha256")).join(groups, "text_sha256", "left")
+    own = F.col("_row")[id_col]
+    keep = F.when(F.col("_size").isNull(), own).otherwise(F.col("_keep"))
+    figures = [keep.alias("keep_id"), F.coalesce("_size", F.lit(1)).cast("long").alias("group_size"), own.eqNullSafe(keep).alias("kept")]
+    return rows.select(*[F.col("_row")[c].alias(c) for c in others], "text_sha256", *figures)
 
 
 def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """docs without later copies: the row with the smallest id of each group of equal texts stays, with its columns.
 
-    Rows that repeat an id, with texts that are equal but for white space, are one document and give one row. What goes
-    is listed by id and hash of the normalised text, so
-    the texts are dealt out by id: a text that fills a third of the table is spread like any other. That is a
-    shuffle at every size, since the list grows with the table.
+    Rows that repeat an id, with texts that are equal but for white space, are one document and give one row; rows
+    without an id all stay unless a row with an id has their text. An empty table gives no rows; columns may bear any
+    name. What goes is listed by id and hash of the normalised text, so the texts are dealt out by id: a text that fills
+    a third of the table is spread like any other.
     """
     survivors = _survivors(docs, text_col, id_col)
     copies = survivors.join(_groups(survivors), "text_sha256").filter(~F.col("_id").eqNullSafe(F.col("keep_id")))
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))  # noqa: E731  no id is an empty text
     dropped = materialise(copies.select(name("_id").alias("_key"), F.col("_short").alias("_hash")).distinct(), "exact-dropped")
     whole = docs.select(F.struct(*docs.columns).alias("_row"), name(id_col).alias("_key"), F.xxhash64(one_space(F.col(text_col))).alias("_hash"))
-    kept = whole.join(dropped.hint("shuffle_hash"), ["_key", "_hash"], "left_anti")
+    kept = whole.join(dropped, ["_key", "_hash"], "left_anti")
     repeats = Window.partitionBy("_key", "_hash").orderBy("_key")
     return kept.withColumn("_n", F.row_number().over(repeats)).filter("_n = 1 OR _key = ''").select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return mark_duplicates(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return duplicate_marks(docs)
 
 
 ORACLE_SQL = r"""
