@@ -143,11 +143,11 @@ def mix(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_
     times = materialise(times, "mix-times")
     row = F.struct(*docs.columns).alias("_row")
     whole = docs.select(row, name(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash"), F.xxhash64(source_col).alias("_source"))
-    out = whole.join(times.filter("_total % _alike = 0").hint("shuffle_hash"), keys).withColumn("_n", F.expr("_total div _alike"))
+    out = whole.join(times.filter("_total % _alike = 0"), keys).withColumn("_n", F.expr("_total div _alike"))
     ragged = times.filter("_total % _alike > 0")
     if not ragged.isEmpty():
         number = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))
-        more = whole.join(ragged.hint("shuffle_hash"), keys).withColumn("_at", number)
+        more = whole.join(ragged, keys).withColumn("_at", number)
         more = more.withColumn("_n", F.expr("_total div _alike + IF(_at <= _total % _alike, 1, 0)"))
         out = out.unionByName(more.drop("_at").filter("_n > 0"))
     return out.select("_row", F.explode(F.expr("sequence(1L, _n)"))).select("_row.*")

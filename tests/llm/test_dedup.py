@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -183,7 +184,7 @@ def test_lines_against_brute_force(spark):
     texts += [None, "", "\n\n", "x" * 70_000, "x" * 35_000 + "y" + "x" * 35_000, "x" * 70_000]
     docs = make(spark, texts)
     want = brute_lines([(i + 1, t) for i, t in enumerate(texts)])
-    assert {(r.doc, r.no) for r in line_dedup.dropped_lines(docs).collect()} == want
+    assert {(r.doc.id, r.no) for r in line_dedup.dropped_lines(docs).collect()} == want
     out = {r.doc_id: r for r in line_dedup.line_dedup(docs).collect()}
     for i, t in enumerate(texts):
         kept = None if t is None else "\n".join(x for no, x in enumerate(t.split("\n")) if (i + 1, no) not in want)
@@ -197,10 +198,57 @@ def test_line_edges(spark):
     assert line_dedup.line_dedup(docs.filter("false")).isEmpty()
     two = make(spark, ["abcdefghijklmnopqrst", "abcdefghijklmnopqrsX"])
     assert line_dedup.dropped_lines(two, max_edits=0).isEmpty() and line_dedup.dropped_lines(two).count() == 1
+    assert line_dedup.dropped_lines(two, near_chars=21).isEmpty() and line_dedup.dropped_lines(two, near_chars=20).count() == 1
     with pytest.raises(ValueError):
         line_dedup.dropped_lines(two, max_edits=2)
 
 
+def test_lines_of_one_long_document(spark):
+    rng = random.Random(3)
+    lines = [f"{i} " + "".join(rng.choice("abcdefghij ") for _ in range(60)) for i in range(300_000)]
+    lines[200_000] = lines[7]
+    lines[250_000] = lines[8] + "z"
+    docs = spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")
+    began = time.monotonic()
+    (got,) = line_dedup.line_dedup(docs).collect()
+    assert got.text.split("\n") == [x for i, x in enumerate(lines) if i not in (200_000, 250_000)]
+    assert time.monotonic() - began < 90
+
+
+def test_lines_of_repeated_ids_and_taken_names(spark):
+    big = 1 << 60
+    names = ["doc", "no", "line", "_gone", "_lines", "_id", "_hash", "_row", "first", "k1"]
+    rows = [(big + 1, "one line here\nsecond line"), (big + 1, "other text\nsecond line"), (big + 3, "second line\nlast of all"), (None, "second line")]
+    docs = spark.createDataFrame([(*r, *names) for r in rows], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    got = line_dedup.line_dedup(docs)
+    assert got.columns == [*docs.columns, "n_lines", "n_kept"] and all([r[n] for n in names] == names for r in got.collect())
+    kept = sorted((r.doc_id or 0, r.text, r.n_kept) for r in got.collect())
+    assert kept[0] == (0, "second line", 1) and kept[3] == (big + 3, "last of all", 1)
+    assert [i for i, *_ in kept[1:3]] == [big + 1] * 2 and sorted(n for *_, n in kept[1:3]) == [1, 2]
+    texts = spark.createDataFrame([("b", "same line"), ("a", "same line")], "doc_id string, text string")
+    assert sorted((r.doc_id, r.text) for r in line_dedup.line_dedup(texts).collect()) == [("a", "same line"), ("b", "")]
+
+
+def test_few_rows_get_their_full_hash_at_any_size(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "LEAST_SLOTS", 1)
+    shares = []
+    for n, sent in ((400, 1 << 20), (6400, 1 << 20), (6400, 1)):
+        monkeypatch.setattr(exact_dedup, "MOST_SENT", sent)
+        docs = make(spark, [f"{i:08} text of one length" for i in range(n)] + [f"{i:08} text of one length" for i in range(n // 20)])
+        shares.append(exact_dedup._survivors(docs, "text", "doc_id").count() / docs.count())
+    assert all(0.09 < s < 0.3 for s in shares) and abs(shares[0] - shares[1]) < 0.05 and shares[1] == shares[2]
+
+
+def test_queries_of_dedup(spark):
+    sf = "/root/testdata/sf0.001"
+    n = spark.read.parquet(f"{sf}/documents.parquet").count()
+    near = simhash.query(spark, sf)
+    assert dict(near.dtypes) == {"doc_id": "bigint", "fingerprint": "string", "component_id": "bigint"}
+    rows = near.collect()
+    assert len(rows) == n and all(re.fullmatch("[0-9a-f]{16}", r.fingerprint) and r.component_id <= r.doc_id for r in rows)
+    assert dict(exact_dedup.query(spark, sf).dtypes) == {"doc_id": "bigint", "keep_id": "bigint", "group_size": "bigint", "kept": "boolean", "text_sha256": "string"}
+
+
 def test_dedup_of_repeated_and_missing_ids(spark):
     rng = random.Random(6)
     text = lambda: " ".join(f"word{rng.randrange(10_000)}" for _ in range(900))
