@@ -114,7 +114,9 @@ def score_texts(docs: DataFrame, train, text_col="text", id_col="doc_id", order:
     """Per row of docs: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     train is a boolean Column: rows that the counts are taken from (null: not). Tokens are the lower-cased words of a
-    text and one end; a null or blank text has the end alone. Without training rows all tokens are unknown.
+    text and one end; a null or blank text has the end alone. Without training rows all tokens are unknown. A row comes
+    out per row of docs, with its id as it is (it travels as text: null, repeated or large ids are exact); other columns
+    are left out; an empty table gives no rows.
 
     The model: P(w | h) = (c(hw) + mu P(w | h')) / (c(h) + mu), h' being h without its oldest token, down to the
     smoothed share of the single token. As an automaton, each seen context is a state; a seen continuation is an arc
@@ -131,9 +133,9 @@ def score_texts(docs: DataFrame, train, text_col="text", id_col="doc_id", order:
     ).first()
     weight = size + 64 * n_rows
     parts, buckets = number_of_parts(weight, PART_BYTES), number_of_parts(weight, BUCKET_BYTES)
-    part = F.pmod(F.xxhash64(id_col, F.octet_length(text_col)), F.lit(parts)).cast("int")
+    part = F.pmod(F.xxhash64(id_col, text_col), F.lit(parts)).cast("int")  # rows without an id are spread by their texts
     dealt = docs.select(
-        part.alias("part"), F.col(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), trained.alias("train")
+        part.alias("part"), F.col(id_col).cast("string").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), trained.alias("train")
     ).repartition(parts, "part")
 
     def ask(rows: pd.DataFrame) -> pd.DataFrame:
@@ -202,11 +204,11 @@ def score_texts(docs: DataFrame, train, text_col="text", id_col="doc_id", order:
     vocabulary = asked.groupBy("bucket").applyInPandas(seen_tokens, "v long").agg(F.coalesce(F.sum("v"), F.lit(0)).alias("v"))
     answered = asked.groupBy("bucket").applyInPandas(answer, "part int, bucket long, counts binary")
     answers = answered.select("*", vocabulary.scalar().alias("v"))
-    kind = docs.schema[id_col].dataType.simpleString()
     scored = dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInPandas(
-        traverse, f"doc {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+        traverse, "doc string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
-    return scored.withColumnRenamed("doc", id_col)
+    kind = docs.schema[id_col].dataType
+    return scored.select(F.col("doc").cast(kind).alias(id_col), *scored.columns[1:])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +36,8 @@ ENCODINGS = {
 OTHERS = {"digits": _D, "lower26": _L, "upper26": _U, "capitalised": _L, "mixture": _D + _U + _L + "+/_-"}
 _INDEX = {name: {s: i for i, s in enumerate(a)} for name, a in (ENCODINGS | OTHERS).items()}
 _SETS = [(name, frozenset(a), {s: i for i, s in enumerate(a)}) for name, a in ENCODINGS.items()]
+BASE = pa.list_(pa.string())
+FOUND = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("stratum", pa.string()), ("step", pa.int32())]))
 #: A token stays a candidate if the battery's combined p value (the chance that random symbols look this odd) isn't below this.
 BATTERY_P = 0.001
 #: False discoveries allowed among the tokens reported, in each stratum of encoding and length.
@@ -220,7 +223,8 @@ def find_secrets(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     likelier as random symbols than as ordinary text: the p value of its likelihood ratio against the corpus's own
     symbol pairs is among those that Benjamini-Hochberg reports within its encoding and length class, over all
     documents. Numbers, words of one case and mixtures of alphabets have strata of their own. Null is an empty text:
-    no spans. Every text is read whole, twice: pairs are counted, then tokens are scored; what leaves are counts,
+    no spans. A row comes out per row of docs, with its id as it is (null, repeated or of any type); other columns are
+    left out; an empty table gives no rows. Every text is read whole, twice: pairs are counted, then tokens are scored; what leaves are counts,
     spans and scores. The pair counts (128 x 128) and the histogram (strata times steps) have fixed sizes.
     """
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -239,18 +243,18 @@ def find_secrets(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     pairs[sums.pair.to_numpy(int)] = sums.n.to_numpy(float)
     ratios, unseen = likelihood_ratios(pairs), likelihood_ratios(pairs, 0)
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:  # ids stay in Arrow, so they come out as they are, nulls and large ones too
             base, found = [], []
-            for text in rows["text"]:
-                text = text or ""
+            for text in rows.column("text"):
+                text = text.as_py() or ""
                 base.append([f"{KINDS[k]}:{a}:{b}" for a, k, b in base_spans(text)])
                 found.append([{"start": a, "end": b, "stratum": _stratum(k, b - a), "step": score(ratios, k, t)} for a, b, k, t in candidates(text)])
-            yield pd.DataFrame({"id": rows["id"], "base": base, "found": found})
+            yield pa.RecordBatch.from_arrays([rows.column("id"), pa.array(base, BASE), pa.array(found, FOUND)], names=["id", "base", "found"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     scanned = materialise(
-        texts.mapInPandas(scan, f"id {kind}, base array<string>, found array<struct<start:long,end:long,stratum:string,step:int>>"),
+        texts.mapInArrow(scan, f"id {kind}, base array<string>, found array<struct<start:long,end:long,stratum:string,step:int>>"),
         "secrets-scan",
     )
     steps = scanned.select(F.explode("found").alias("g")).select("g.stratum", "g.step")

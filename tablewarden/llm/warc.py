@@ -183,7 +183,11 @@ def write_archives(pages: DataFrame, folder: str, id_col="page_id", url_col="url
 
 
 def normalise(archives: DataFrame, folder: str) -> DataFrame:
-    """The index of the normalised copies (INDEX_SCHEMA), one row per record, read back from the sidecar files."""
+    """The index of the normalised copies (INDEX_SCHEMA), one row per record, read back from the sidecar files.
+
+    archives has a path column; other columns are ignored, a path that repeats is normalised as often. An archive that is
+    cut off or holds something else raises ValueError. No archives give an empty index.
+    """
 
     def rewrite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -207,7 +211,8 @@ def read_records(index: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of the page records of an index.
 
     Each member is read by its offset and inflated alone. A response's length and digest are those of the payload
-    read; a revisit's those that its headers give.
+    read; a revisit's those that its headers give. Ids are exact up to 64 bits; the record of a null id has a null
+    page_id. Other columns of the index are ignored; an empty index gives no rows.
     """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -232,8 +237,11 @@ def read_records(index: DataFrame) -> DataFrame:
                     out.append((number(page), int(parse_header(http)["content-length"]), headers["warc-payload-digest"].removeprefix("sha1:"), "revisit", refers))
                 else:
                     out.append((number(page), len(payload), payload_digest(payload), "response", None))
-            frame = pd.DataFrame(out, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-            yield frame.astype({"page_id": "Int64", "refers_to": "Int64"})
+            page_ids, sizes, digests, kinds, refers = zip(*out, strict=True) if out else ((),) * 5
+            whole = lambda ids: pd.array(list(ids), dtype="Int64")  # noqa: E731  by way of floats, large ids beside nulls would be rounded
+            yield pd.DataFrame(
+                {"page_id": whole(page_ids), "payload_bytes": whole(sizes), "payload_digest": list(digests), "record_type": list(kinds), "refers_to": whole(refers)}
+            )
         if held:
             held[1].close()
 

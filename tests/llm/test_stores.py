@@ -34,6 +34,14 @@ def test_archives_read_back(spark):
     assert {r.page_id for r in warc.read_records(long_only).filter("record_type = 'revisit'").collect()} == {3, 5}
 
 
+def test_archives_keep_large_ids(spark):
+    big = 1 << 60
+    pages = spark.createDataFrame([(big + 1, "a", "same"), (big + 3, "b", "same"), (None, "c", "own"), (big + 5, "d", "other")], SCHEMA)
+    index = warc.normalise(warc.write_archives(pages.coalesce(1), scratch_path(spark, "w")), scratch_path(spark, "n"))
+    got = {(r.page_id, r.record_type, r.refers_to) for r in warc.read_records(index.coalesce(1)).collect()}
+    assert got == {(big + 1, "revisit", big + 3), (big + 3, "response", None), (None, "response", None), (big + 5, "response", None)}
+
+
 def test_members_open_alone(spark, tmp_path):
     records = [warc.page_record(i, u, h, None) for i, u, h in PAGES[:4]]
     one = tmp_path / "whole.warc.gz"

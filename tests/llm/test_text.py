@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -286,3 +287,93 @@ def test_short_keys_among_many_names(spark):
     assert sum(k in found[i] for i, k in (lower | mixed).items()) >= 9
     planted = {*keys.values(), *lower.values(), *mixed.values()}
     assert len({t for s in found.values() for t in s} - planted) <= 1
+
+
+BIG = 1 << 60
+
+
+def test_ids_come_out_as_they_are(spark):
+    rows = [(BIG + 1, "a plain text"), (None, "api_key = Zx81kQ02mmPq77"), (BIG + 3, None), (BIG + 3, "a plain text"), (7, "a " * 200_000)]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, id string").coalesce(1)
+    want = sorted(str(i) for i, _ in rows)
+    assert sorted(str(r.doc_id) for r in lm_score.score_texts(docs, F.col("doc_id") != 7).collect()) == want
+    found = secrets.find_secrets(docs).collect()
+    assert sorted(str(r.doc_id) for r in found) == want and [r.n_assign for r in found if r.doc_id is None] == [1]
+    named = docs.select(F.concat(F.lit("n"), F.col("doc_id").cast("string")).alias("doc_id"), "text")
+    assert {r.doc_id for r in secrets.find_secrets(named).collect()} == {f"n{BIG + 1}", f"n{BIG + 3}", "n7", None}
+    taken = docs.withColumns({"_n": F.lit("mine"), "_times": F.lit("own"), "_row": F.lit("r"), "source": F.lit("s")})
+    mixed = mixing.mix(taken)
+    assert mixed.columns == taken.columns and {(r._n, r._times, r._row) for r in mixed.collect()} == {("mine", "own", "r")}
+    clash = docs.withColumns({"_text": F.lit("t"), "_given": F.lit("g"), "row": F.lit("r")})
+    coded = pieces.encode(clash, PATH)
+    assert {(r._text, r._given, r.row) for r in coded.collect()} == {("t", "g", "r")} and sorted(str(r.doc_id) for r in coded.collect()) == want
+    assert coded.filter("merges_round_trip").count() == 5
+
+
+def test_quality_score_against_brute_force(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    got = {r.doc_id: r for r in quality.query(spark, "/root/testdata/sf0.01").collect()}
+    model = quality.fit(docs, labels.filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0))
+    pack = [quality._compressor(model[k]) for k in ("good", "bad")]
+    truth, right = dict(labels.select("doc_id", "quality").collect()), []
+    for i, text in docs.select("doc_id", "text").collect():
+        raw, sizes = (text or "").encode(), []
+        for c in pack:
+            sizes.append(sum(len(c.compress(raw[k : k + quality.PIECE])) for k in range(0, len(raw), quality.PIECE)))
+        gap = sizes[1] - sizes[0]
+        x = model["weights"][0] + model["weights"][1] * gap / max(1, len(raw)) + model["weights"][2] * gap / max(1, sum(sizes))
+        assert got[i].score == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, x)))), abs=1e-9)
+        held = zlib.crc32(str(i).encode()) % 5 == 0
+        assert (got[i].held_out, got[i].predicted) == (held, int(got[i].score >= 0.3))
+        if held and i in truth:
+            right.append(got[i].predicted == truth[i])
+    assert sum(right) >= 0.9 * len(right)
+
+
+def test_random_spans_against_brute_force(spark):
+    rng = random.Random(12)
+    words = ["".join(rng.choice("aeiou" if k % 2 else "bcdfgklmnprst") for k in range(rng.randrange(3, 9))) for _ in range(400)]
+    symbols = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    planted, rows = {}, []
+    for i in range(300):
+        own = [rng.choice(words) for _ in range(60)] + ["".join(w.capitalize() for w in rng.sample(words, 4)) for _ in range(3)]
+        if i % 10 == 0:
+            planted[i] = "".join(rng.choice(symbols) for _ in range(40))
+            own.insert(30, planted[i])
+        rows.append((i, " ".join(own)))
+    got = {r.doc_id: r.spans for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    # Counted over all texts in plain Python: pairs of symbols, tokens that pass the battery, scores, thresholds.
+    pairs = np.zeros(128 * 128)
+    for _, text in rows:
+        for a, b in zip(text, text[1:]):
+            pairs[128 * ord(a) + ord(b)] += 1
+    ratios, unseen = secrets.likelihood_ratios(pairs), secrets.likelihood_ratios(pairs, 0)
+    steps, where = Counter(), []
+    for i, text in rows:
+        for m in re.finditer(r"[A-Za-z0-9+/_-]{16,}", text):
+            kind, token = secrets.infer_kind(m.group())
+            if secrets.battery(token, secrets._INDEX[kind])[0] >= 0.001:
+                total = sum(ratios[kind][secrets._INDEX[kind][a], secrets._INDEX[kind][b]] for a, b in zip(token, token[1:]))
+                stratum = f"{kind}/{max(n for n in secrets.LENGTHS if n <= len(token))}"
+                step = int(10 * min(max(total, 0.0), 100))
+                steps[stratum, step] += 1
+                where.append((i, m.start(), m.end(), stratum, step))
+    histogram = pd.DataFrame([(s, k, n) for (s, k), n in steps.items()], columns=["stratum", "step", "n"])
+    least = secrets.thresholds(histogram, {s: secrets.ordinary_reach(unseen, s) for s in histogram.stratum.unique()})
+    want = {(i, f"random:{a}:{b}") for i, a, b, s, k in where if s in least and k >= least[s]}
+    assert {(i, x) for i, spans in got.items() for x in spans.split(",") if x.startswith("random")} == want
+    assert len({i for i, _ in want} & set(planted)) >= 27 and {i for i, _ in want} <= set(planted)
+
+
+def test_queries_have_their_columns(spark):
+    sf = "/root/testdata/sf0.001"
+    n = spark.read.parquet(f"{sf}/documents.parquet").count()
+    wanted = {
+        lm_score: {"doc_id": "bigint", "held_out": "boolean", "n_tokens": "bigint", "n_known": "bigint", "train_tokens": "bigint", "base_score": "double", "score": "double"},
+        secrets: {"doc_id": "bigint", "n_assign": "bigint", "n_access": "bigint", "n_hex": "bigint", "base_sha256": "string", "spans": "string"},
+        quality: {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
+        mixing: {"doc_id": "bigint", "size": "bigint", "source_size": "bigint", "target": "double", "taken": "bigint"},
+    }
+    for module, columns in wanted.items():
+        got = module.query(spark, sf)
+        assert dict(got.dtypes) == columns and got.count() == n, module.__name__
