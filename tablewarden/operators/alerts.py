@@ -117,6 +117,42 @@ def detector_correlation(alerts: DataFrame, first: str, second: str) -> DataFram
     return both.withColumn("agreement", agreement)
 
 
+def correlation_errors(alerts: DataFrame, first: str, second: str, evidence: list[str]) -> DataFrame:
+    """code, n of what keeps two detectors' alerts from being compared: RUN_DIFFERS, DATASET_DIFFERS (values that only one
+    has), EVIDENCE_DIFFERS (records shown with different evidence); and NOTHING_SHARED, a warning, if no record has both."""
+    own = alerts.filter(F.col("detector").isin(first, second))
+    one_sided = lambda c: own.groupBy(c).agg(F.count_distinct("detector").alias("k")).filter("k < 2").agg(F.count("*").alias("n"))
+    shared = own.groupBy("run_id", "dataset", "row_id").agg(F.count_distinct("detector").alias("k")).filter("k > 1")
+    found = [
+        one_sided("run_id").select(F.lit("RUN_DIFFERS").alias("code"), "n"),
+        one_sided("dataset").select(F.lit("DATASET_DIFFERS").alias("code"), "n"),
+        evidence_mismatches(own, evidence).agg(F.count("*").alias("n")).select(F.lit("EVIDENCE_DIFFERS").alias("code"), "n"),
+        shared.agg((F.count("*") == 0).cast("long").alias("n")).select(F.lit("NOTHING_SHARED").alias("code"), "n"),
+    ]
+    return reduce(DataFrame.unionByName, found).filter("n > 0")
+
+
+def result_errors(result: DataFrame, key: str, position: str, status: str, errors: str) -> DataFrame:
+    """key, code of the rows of a result that break its rules.
+
+    STATUS_UNKNOWN: neither success, failed nor rejected. HIDDEN_FAILURE: a success with errors (an array of text).
+    NO_ERROR_GIVEN: failed or rejected without any. OUT_OF_ORDER: a smaller key than the row before has; neighbours are
+    found by a join on the position, so the result is never sorted in one place.
+    """
+    n = F.coalesce(F.array_size(errors), F.lit(0))
+    codes = F.array_compact(
+        F.array(
+            F.when(~F.coalesce(F.col(status), F.lit("")).isin("success", "failed", "rejected"), "STATUS_UNKNOWN"),
+            F.when((F.col(status) == "success") & (n > 0), "HIDDEN_FAILURE"),
+            F.when(F.col(status).isin("failed", "rejected") & (n == 0), "NO_ERROR_GIVEN"),
+        )
+    )
+    own = result.select(key, F.explode(codes).alias("code"))
+    before = result.select((F.col(position) + 1).alias("_at"), F.col(key).alias("_before"))
+    late = result.select(key, F.col(position).alias("_at")).join(before, "_at").filter(F.col(key) < F.col("_before"))
+    return own.unionByName(late.select(key, F.lit("OUT_OF_ORDER").alias("code")))
+
+
 def evidence_mismatches(alerts: DataFrame, evidence: list[str]) -> DataFrame:
     """run_id, dataset, row_id of records for which detectors were shown different evidence."""
     differ = reduce(lambda a, b: a | b, [F.count_distinct(F.coalesce(F.col(c).cast("string"), F.lit("null"))) > 1 for c in evidence])

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: An answer is a JSON object with these keys; lists of text but for explanation (text) and priority (null).
-ANSWER_SCHEMA = "observations array<string>, explanation string, limitations array<string>, evidence_used array<string>, priority string"
+#: An answer is a JSON object of lists of text, but for explanation (text) and priority (null); fixed values.
 LONGEST = 4000
+#: Longest text of a field or of an element of its list.
+FIELD_LONGEST = {"observations": 500, "explanation": 2000, "limitations": 500, "evidence_used": 100}
+#: What the parts of an answer may be, as the schema of a parsed value says.
+TYPES = {"observations": ("ARRAY<STRING>", "ARRAY<VOID>"), "explanation": ("STRING",), "limitations": ("ARRAY<STRING>", "ARRAY<VOID>"), "evidence_used": ("ARRAY<STRING>", "ARRAY<VOID>")}
 
 #: What a clause is split at, and per code the words that claim and the words of a clause that excuse.
 CLAUSES = r"[;.!?]+(?:\s+|$)|,\s+(?:but|however|although|though|while|not)\s+|,\s+|\s+but\s+"
@@ -40,11 +43,21 @@ def structure_errors(answers: DataFrame, key: str, content: str, known_evidence:
     """key, code: a row per rule that an answer breaks.
 
     Text that isn't strictly one JSON object (NaN, infinity and trailing text are refused) is NOT_JSON and nothing else.
+    KEY_MISSING:<key>, KEY_UNKNOWN, WRONG_TYPE:<key> (also lists that hold something else than text) and TOO_LONG:<key>
+    tell of the form; a part of the wrong type counts as empty.
     """
     options = {"mode": "PERMISSIVE", "allowNonNumericNumbers": "false"}
     whole = F.trim(content)
     strict = whole.rlike(r"^\{(?s).*\}$") & F.try_parse_json(whole).isNotNull()
-    parsed = answers.select(key, F.when(strict, F.from_json(whole, ANSWER_SCHEMA, options)).alias("a"), F.length(content).alias("_n"))
+    parsed = answers.select(
+        key, F.when(strict, F.from_json(whole, "map<string,string>", options)).alias("m"), F.when(strict, F.try_parse_json(whole)).alias("v"), F.length(content).alias("_n"),
+    )
+    part = lambda c: F.try_variant_get("v", f"$.{c}", "variant")
+    kind = {c: F.schema_of_variant(part(c)) for c in TYPES}
+    lists = [c for c in TYPES if c != "explanation"]
+    typed = {c: F.when(kind[c].isin(*TYPES[c]), F.from_json(F.col("m")[c], "array<string>")) for c in lists}
+    typed |= {"explanation": F.when(kind["explanation"] == "STRING", F.col("m")["explanation"]), "priority": F.col("m")["priority"]}
+    parsed = parsed.select(key, "m", "_n", F.when(F.col("m").isNotNull(), F.struct(*[e.alias(c) for c, e in typed.items()])).alias("a"), *[k.alias(f"_{c}") for c, k in kind.items()])
 
     def empty_list(c: str):
         return F.coalesce(F.size(F.filter(f"a.{c}", lambda x: x.isNotNull() & (F.trim(x) != ""))), F.lit(0)) == 0
@@ -60,21 +73,32 @@ def structure_errors(answers: DataFrame, key: str, content: str, known_evidence:
             F.when(F.exists(used, lambda x: ~x.isin(*known_evidence)), "EVIDENCE_USED_UNKNOWN"),
             F.when(F.col("a.priority").isNotNull(), "PRIORITY_NOT_NULL"),
             F.when(F.col("_n") > LONGEST, "RESPONSE_LENGTH"),
+            *[F.when(~F.map_contains_key("m", c), f"KEY_MISSING:{c}") for c in (*TYPES, "priority")],
+            F.when(F.size(F.array_except(F.map_keys("m"), F.array(*map(F.lit, (*TYPES, "priority"))))) > 0, "KEY_UNKNOWN"),
+            *[F.when(F.map_contains_key("m", c) & ~F.coalesce(F.col(f"_{c}").isin(*TYPES[c]), F.lit(False)), f"WRONG_TYPE:{c}") for c in TYPES],
+            *[F.when(F.array_max(F.transform(f"a.{c}", F.length)) > FIELD_LONGEST[c], f"TOO_LONG:{c}") for c in lists],
+            F.when(F.length("a.explanation") > FIELD_LONGEST["explanation"], "TOO_LONG:explanation"),
         )
     )
     return parsed.select(key, F.explode(F.when(F.col("a").isNull(), F.array(F.lit("NOT_JSON"))).otherwise(codes)).alias("code"))
 
 
-def claim_flags(answers: DataFrame, key: str, text: str) -> DataFrame:
-    """key, code of the claims that an answer makes: a clause that claims and neither negates nor hedges."""
-    clauses = answers.select(key, F.explode(F.split(F.lower(text), CLAUSES)).alias("clause"))
+def claim_flags(answers: DataFrame, key: str | list[str], text: str, noted: str | None = None) -> DataFrame:
+    """key, code of the claims that an answer makes: a clause that claims and neither negates nor hedges.
+
+    Where noted (a boolean column) says that a note on data quality was supplied, talking of quality is no claim.
+    """
+    keys = [key] if isinstance(key, str) else key
+    clauses = answers.select(*keys, (F.col(noted) if noted else F.lit(False)).alias("_noted"), F.explode(F.split(F.lower(text), CLAUSES)).alias("clause"))
     codes = []
     for code, (claim, excuse) in CLAIMS.items():
         made = F.col("clause").rlike(claim) & ~F.col("clause").rlike(excuse)
         if code == "INVENTED_NETWORK_DETAIL":
             made = made | F.col("clause").rlike(CONCRETE)
+        if code == "UNSUPPORTED_DATA_QUALITY_CLAIM":
+            made = made & ~F.coalesce(F.col("_noted"), F.lit(False))
         codes.append(F.when(made, F.lit(code)))
-    return clauses.select(key, F.explode(F.array_compact(F.array(*codes))).alias("code")).distinct()
+    return clauses.select(*keys, F.explode(F.array_compact(F.array(*codes))).alias("code")).distinct()
 
 
 def ungrounded_numbers(answers: DataFrame, key: str, text: str, evidence: str) -> DataFrame:

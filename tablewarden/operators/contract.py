@@ -41,13 +41,14 @@ def unseen_classes(df: DataFrame, label: str, split: str, train: str, validation
     return of(validation).join(of(train), "class", "left_anti")
 
 
-def validate(train: DataFrame, validation: DataFrame, label: str, expected_features: int | None, expected_classes: list[str] | None, others: tuple[str, ...] = ()) -> list[str]:
+def validate(train: DataFrame, validation: DataFrame, label: str, expected_features: int | None, expected_classes: list[str] | None, others: tuple[str, ...] = (), failures: dict[str, DataFrame] | None = None) -> list[str]:
     """The feature columns of two tables that meet the contract; the first rule broken raises ContractError.
 
     Rules in order: label present; same features; same order; number of features; numeric, not boolean; then for
     training before validation: missing, infinite, missing labels, classes; at last no class unseen in training. The
     first five look at schemas only; the rest is one aggregate over both tables. Nothing is dropped or filled;
-    negative sentinels are ordinary values.
+    negative sentinels are ordinary values. failures has, by "training" or "validation", what a reader couldn't cast
+    (column_name, n): a feature with such cells is not numeric.
     """
     for name, df in (("training", train), ("validation", validation)):
         if label not in df.columns:
@@ -64,6 +65,9 @@ def validate(train: DataFrame, validation: DataFrame, label: str, expected_featu
         odd = [c for c in features if not isinstance(df.schema[c].dataType, T.NumericType)]
         if odd:
             raise ContractError(f"Non-numeric features in {name}: {odd}")
+        failed = (failures or {}).get(name)
+        if failed is not None and (odd := {c: n for c, n in failed.select("column_name", "n").collect() if c in features}):  # a row per column at most
+            raise ContractError(f"Non-numeric features in {name}: {odd}")
     both = train.select(*features, label, F.lit("train").alias("_split")).unionByName(validation.select(*features, label, F.lit("validation").alias("_split")))
     found = [tuple(r) for r in violations(both, features, label, "_split").collect()]  # a row per column and rule at most
     classes = [tuple(r) for r in class_set(both, label, "_split", expected_classes).collect()] if expected_classes is not None else []

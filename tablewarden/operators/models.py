@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from tablewarden.operators.evaluate import prediction_confidence
 
 SEED = 42
-#: Spark ML grows trees to a depth of 30 at most and on binned splits, so figures differ from unlimited trees.
+#: Spark ML grows trees to a depth of 30 at most and on binned splits, so figures differ from unlimited trees. A level of
+#: a forest costs a pass over the table for each group of nodes that fits in memory, so the forest stops at 12 by default.
 CONFIGS = {
     "decision_tree": lambda: DecisionTreeClassifier(seed=SEED, maxDepth=30, maxBins=128),
     "random_forest": lambda: RandomForestClassifier(seed=SEED, numTrees=100, maxDepth=12, maxBins=128),

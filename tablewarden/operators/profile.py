@@ -59,8 +59,10 @@ def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     def value(c: str) -> Column:
         return without_nan(df, c).cast("double")
 
-    def quantile(p: float):
-        return lambda c: F.percentile(value(c), F.lit(p))
+    quartiles = [0.25, 0.5, 0.75]
+
+    def quantile(p: float):  # one aggregate a column gives all three
+        return lambda c: F.get(F.percentile(value(c), F.array(*map(F.lit, quartiles))), F.lit(quartiles.index(p)))
 
     return _by_column(
         df,

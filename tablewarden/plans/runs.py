@@ -41,15 +41,17 @@ def run_metadata(train: DataFrame, validation: DataFrame, features: list[str], l
     )
 
 
-def run_baseline(train, validation, label, row_id, classes, normal, names=("decision_tree", "random_forest"), audit=True, sample=None, expected_features=None):
+def run_baseline(train, validation, label, row_id, classes, normal, names=("decision_tree", "random_forest"), audit=True, sample=None, expected_features=None, failures=None):
     """(predictions, outputs): validate, audit the full tables, sample if asked (a smoke run), fit and score every model.
 
     outputs has error cases, report, confusion matrix, binary metrics, comparison, audit and metadata by name. Models are
-    checked before anything runs; the audit covers the full tables, before sampling.
+    checked before anything runs; the audit covers the full tables, before sampling. What a model is fitted on and its
+    predictions are kept (spark.catalog.clearCache lets them go), so that outputs score nothing twice and the seconds
+    are those of fitting and of scoring every row. failures is what the reader couldn't cast (contract.validate).
     """
     for name in names:
         models.make_model(name)
-    features = contract.validate(train, validation, label, expected_features, classes, (row_id,))
+    features = contract.validate(train, validation, label, expected_features, classes, (row_id,), failures)
     both = train.withColumn("split", F.lit("train")).unionByName(validation.withColumn("split", F.lit("validation")))
     annotation = None
     if audit:
@@ -58,13 +60,15 @@ def run_baseline(train, validation, label, row_id, classes, normal, names=("deci
     mode = "smoke" if sample else "full"
     if sample:
         train, validation = (splits.stratified_sample(d, label, row_id, n) for d, n in zip((train, validation), sample, strict=True))
+    train, validation = train.persist(), validation.persist()
     predictions, seconds = None, {}
     for name in names:
         began = time.monotonic()
         fitted = models.fit(train, features, label, name)
         done = time.monotonic()
         scored = models.predict(fitted, validation, label)
-        frame = evaluate.prediction_frame(scored, row_id, label, "predicted", "confidence", normal, name, mode)
+        frame = evaluate.prediction_frame(scored, row_id, label, "predicted", "confidence", normal, name, mode).persist()
+        frame.count()
         seconds[name] = (done - began, time.monotonic() - done)
         predictions = frame if predictions is None else predictions.unionByName(frame)
     if annotation is not None:
@@ -76,6 +80,10 @@ def run_baseline(train, validation, label, row_id, classes, normal, names=("deci
         "binary_metrics": evaluate.binary_metrics(predictions, mode),
         "model_comparison": evaluate.model_comparison(predictions, classes, mode, seconds),
         "audit_summary": overlap.audit_summary(both, features, label, "split", audit),
-        "run_metadata": run_metadata(train, validation, features, label, classes, normal, mode, {"models": ",".join(names)}),
     }
+    about = run_metadata(train, validation, features, label, classes, normal, mode, {"models": ",".join(names)})
+    mapping = F.create_map(*[F.lit(x) for c in classes for x in (c, "NORMAL" if c == normal else "ATTACK")])
+    written = F.array(*[F.lit(x) for x in sorted([*outputs, "run_metadata"])])
+    whole = about.crossJoin(outputs["audit_summary"].select(F.struct("*").alias("audit")))  # one row each
+    outputs["run_metadata"] = whole.withColumns({"binary_mapping": mapping, "outputs": written})
     return predictions, outputs

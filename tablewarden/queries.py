@@ -485,36 +485,65 @@ on(
 )
 on(_alerts, "alert_selection", f"WITH {_ALERTS} SELECT alert_id FROM alerts ORDER BY alert_id LIMIT 50 OFFSET 100", lambda d: alerts.alert_selection(d, offset=100, limit=50).select("alert_id"))
 
-_CONTENT = """content AS (SELECT event_id AS row_id, CASE event_id % 6 WHEN 0 THEN '{"observations": ["a"], "explanation": "b", "limitations": ["c"], "evidence_used": ["v"], "priority": null}'
-  WHEN 1 THEN '{"observations": [], "explanation": " ", "limitations": ["c"], "evidence_used": ["v", "v"], "priority": null}' WHEN 2 THEN props
-  WHEN 3 THEN props || ' trailing' WHEN 4 THEN '{"observations": ["a"], "explanation": "b", "limitations": ["c"], "evidence_used": ["x"], "priority": "high"}' ELSE '{"k": NaN}' END AS content FROM events)"""
-_CONTENT_SPARK = _CONTENT.split(" AS (", 1)[1].rsplit(" FROM events)", 1)[0].removeprefix("SELECT event_id AS row_id, ").removesuffix(" AS content")
-
-
-@query(
-    "answer_structure_errors",
-    f"""WITH {_CONTENT} SELECT row_id, unnest(CASE row_id % 6 WHEN 0 THEN []::VARCHAR[] WHEN 1 THEN ['OBSERVATIONS_EMPTY', 'EXPLANATION_EMPTY', 'EVIDENCE_USED_DUPLICATE']
-      WHEN 2 THEN CASE WHEN json_valid(content) THEN ['OBSERVATIONS_EMPTY', 'EXPLANATION_EMPTY', 'LIMITATIONS_EMPTY', 'EVIDENCE_USED_EMPTY'] ELSE ['NOT_JSON'] END
-      WHEN 4 THEN ['EVIDENCE_USED_UNKNOWN', 'PRIORITY_NOT_NULL'] ELSE ['NOT_JSON'] END) AS code FROM content""",
-)
+# Answers with parts that depend on the row: lists, text or something else, keys that lack or are too many.
+_ANSWER = """CASE WHEN user_id % 19 = 0 THEN props || ' trailing' WHEN user_id % 17 = 0 THEN '[' || props || ']' ELSE
+  '{"observations": ' || CASE user_id % 5 WHEN 0 THEN '[]' WHEN 1 THEN '"' || event_type || '"' WHEN 2 THEN '["' || event_type || '", {"nested": 1}]' ELSE '["' || event_type || '"]' END ||
+  CASE WHEN user_id % 7 = 0 THEN '' ELSE ', "explanation": ' || CASE event_type WHEN 'click' THEN '" "' WHEN 'view' THEN props ELSE '"' || event_type || '"' END END ||
+  ', "limitations": ["' || event_type || '"], "evidence_used": ' || CASE WHEN user_id % 3 = 0 THEN '["v", "v"]' WHEN user_id % 3 = 1 THEN '["' || event_type || '"]' ELSE '["user_id"]' END ||
+  CASE WHEN user_id % 11 = 0 THEN ', "extra": 1' ELSE '' END || ', "priority": ' || CASE WHEN user_id % 13 = 0 THEN '"high"' ELSE 'null' END || '}' END"""
+_KEYS = ("observations", "explanation", "limitations", "evidence_used", "priority")
+
+
+def _structure_sql() -> str:
+    """The rules of structure on the text of an answer, by JSON functions."""
+    kind = lambda c: f"json_type(j, '$.{c}')"
+    sound = lambda c: f"coalesce({kind(c)} = 'ARRAY' AND len(list_filter(json_extract(j, '$.{c}[*]'), lambda x: json_type(x) <> 'VARCHAR')) = 0, false)"
+    texts = lambda c: f"CASE WHEN {sound(c)} THEN json_extract_string(j, '$.{c}[*]') ELSE []::VARCHAR[] END"
+    empty = lambda c: f"len(list_filter({texts(c)}, lambda x: trim(x) <> '')) = 0"
+    used = texts("evidence_used")
+    rules = {f"{c.upper()}_EMPTY": empty(c) for c in ("observations", "limitations", "evidence_used")}
+    rules["EXPLANATION_EMPTY"] = f"coalesce({kind('explanation')} <> 'VARCHAR' OR trim(json_extract_string(j, '$.explanation')) = '', true)"
+    rules["EVIDENCE_USED_DUPLICATE"] = f"len(list_distinct({used})) < len({used})"
+    rules["EVIDENCE_USED_UNKNOWN"] = f"len(list_filter({used}, lambda x: x NOT IN ({', '.join(map(repr, V.FEATURES))}))) > 0"
+    rules["PRIORITY_NOT_NULL"] = f"coalesce({kind('priority')} <> 'NULL', false)"
+    rules["RESPONSE_LENGTH"] = f"length(content) > {answers.LONGEST}"
+    rules |= {f"KEY_MISSING:{c}": f"NOT list_contains(json_keys(j), '{c}')" for c in _KEYS}
+    rules["KEY_UNKNOWN"] = f"len(list_filter(json_keys(j), lambda x: x NOT IN ({', '.join(map(repr, _KEYS))}))) > 0"
+    rules |= {f"WRONG_TYPE:{c}": f"list_contains(json_keys(j), '{c}') AND NOT {sound(c)}" for c in ("observations", "limitations", "evidence_used")}
+    rules["WRONG_TYPE:explanation"] = f"list_contains(json_keys(j), 'explanation') AND coalesce({kind('explanation')} <> 'VARCHAR', true)"
+    each = ", ".join(f"CASE WHEN {rule} THEN '{code}' END" for code, rule in rules.items())
+    return f"""WITH said AS (SELECT event_id AS row_id, {_ANSWER} AS content FROM events),
+    parsed AS (SELECT *, CASE WHEN json_valid(content) AND json_type(content) = 'OBJECT' THEN content::JSON END AS j FROM said),
+    broken AS (SELECT row_id, unnest([{each}]) AS code FROM parsed WHERE j IS NOT NULL)
+    SELECT row_id, code FROM broken WHERE code IS NOT NULL UNION ALL SELECT row_id, 'NOT_JSON' FROM parsed WHERE j IS NULL"""
+
+
+@query("answer_structure_errors", _structure_sql())
 def answer_structure_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    content = V.table(spark, sf_dir, "events").select(F.col("event_id").alias("row_id"), F.expr(_CONTENT_SPARK).alias("content"))
+    content = V.table(spark, sf_dir, "events").select(F.col("event_id").alias("row_id"), F.expr(_ANSWER).alias("content"))
     return answers.structure_errors(content, "row_id", "content", V.FEATURES)
 
 
-_SENTENCES = """CASE row_id % 7 WHEN 0 THEN 'This confirms a DoS attack.' WHEN 1 THEN 'The prediction has not been confirmed.' WHEN 2 THEN 'No payloads are available; the flow used TCP.'
-  WHEN 3 THEN 'This traffic is a DoS attack.' WHEN 4 THEN 'Model confidence is high for this alert.' WHEN 5 THEN 'The record looks corrupted.'
-  ELSE 'It is not necessarily an attack, but the values prove the prediction.' END"""
+# What conversations say, with a sentence more that depends on the turn and its length.
+_SAID = """text || ' ' || CASE (length(text) + turn) % 9 WHEN 0 THEN 'The totals proved it' WHEN 1 THEN 'Nobody confirmed that, and it is not certain' WHEN 2 THEN 'A UDP burst, no payload'
+  WHEN 3 THEN 'The flow was an attack' WHEN 4 THEN 'I am ' || turn || ' % sure' WHEN 5 THEN 'Such a value is physically impossible' WHEN 6 THEN 'We cannot see port ' || length(text)
+  WHEN 7 THEN 'It might be normal, but it clearly indicates abuse' ELSE 'Nothing else' END || '.'"""
 
 
-@query(
-    "answer_claim_flags",
-    f"""WITH {_FLOWS} SELECT row_id, CASE row_id % 7 WHEN 0 THEN 'CONFIRMATION_CLAIM' WHEN 2 THEN 'INVENTED_NETWORK_DETAIL' WHEN 3 THEN 'ASSERTIVE_CLASSIFICATION' WHEN 4 THEN 'CONFIDENCE_CLAIM'
-    WHEN 5 THEN 'UNSUPPORTED_DATA_QUALITY_CLAIM' ELSE 'CONFIRMATION_CLAIM' END AS code FROM flows WHERE row_id % 7 <> 1""",
-)
+def _claims_sql() -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    made = {c: f"regexp_matches(clause, {quoted(claim)}) AND NOT regexp_matches(clause, {quoted(excuse)})" for c, (claim, excuse) in answers.CLAIMS.items()}
+    made["INVENTED_NETWORK_DETAIL"] = f"({made['INVENTED_NETWORK_DETAIL']}) OR regexp_matches(clause, {quoted(answers.CONCRETE)})"
+    made["UNSUPPORTED_DATA_QUALITY_CLAIM"] += " AND NOT noted"
+    each = ", ".join(f"CASE WHEN {rule} THEN '{code}' END" for code, rule in made.items())
+    return f"""WITH clauses AS (SELECT conv_id, turn, role = 'user' AS noted, unnest(string_split_regex(lower({_SAID}), {quoted(answers.CLAUSES)})) AS clause FROM conversations),
+    found AS (SELECT conv_id, turn, unnest([{each}]) AS code FROM clauses) SELECT DISTINCT conv_id, turn, code FROM found WHERE code IS NOT NULL"""
+
+
+@query("answer_claim_flags", _claims_sql())
 def answer_claim_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = V.flows(spark, sf_dir).select(V.ROW, F.expr(_SENTENCES.replace("prove the", "proved the")).alias("text"))
-    return answers.claim_flags(said, V.ROW, "text")
+    said = V.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr(_SAID).alias("said"), (F.col("role") == "user").alias("noted"))
+    return answers.claim_flags(said, ["conv_id", "turn"], "said", "noted")
 
 
 @query(

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,8 +48,14 @@ def read_labelled_parquet(spark: SparkSession, path: str, target: str, name: str
 
 def add_row_id(df: DataFrame, out: str = "row_id") -> DataFrame:
     """A 0-based position in reading order in front of the columns. Written once after reading, it is an ordinary column."""
-    schema = T.StructType([T.StructField(out, T.LongType(), False), *df.schema.fields])
-    return df.rdd.zipWithIndex().map(lambda x: (x[1], *x[0])).toDF(schema)
+    rows = df.select(F.struct(*df.columns).alias("_row"), F.monotonically_increasing_id().alias("_at"))
+    part = F.shiftright("_at", 33)  # the upper bits number the partition, the lower ones its rows
+    counts = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    ahead = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("_part", ahead.alias("_ahead"))  # a row per partition
+    placed = rows.join(F.broadcast(offsets), part == F.col("_part"))
+    number = F.col("_ahead") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.select(number.alias(out), *[F.col("_row")[c].alias(c) for c in df.columns])
 
 
 def preview(df: DataFrame, row_id: str, rows: int = 5000, shown: int = 20) -> DataFrame:

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 from tablewarden.operators import contract, duplicates, overlap, profile, splits
 from tablewarden.plans import runs
 
-N, D, P = "Normal Traffic", "DoS", "Port Scanning"
-TRAIN = [(1, 1.0, N), (1, 1.0, N), (2, 2.0, N), (2, 2.0, D), (3, 3.0, N), (4, 4.0, N), (5, 5.0, P), (6, 6.0, N), (9, 9.000001, D)]
-VALIDATION = [(3, 3.0, N), (4, 4.0, P), (7, 7.0, N), (7, 7.0, N), (8, 8.0, N), (8, 8.0, P), (6, 6.0, N), (6, 6.0, D), (2, 2.0, N), (9, 9.0, D)]
+CALM, BURST, PROBE = "calm", "burst", "probe"
+TRAIN = [(10, 0.5, CALM)] * 3 + [(11, 0.25, BURST), (11, 0.25, CALM), (12, 1.5, PROBE), (13, 2.5, BURST), (14, 3.5, CALM), (14, 3.5, PROBE), (14, 3.5, PROBE)]
+VALIDATION = [(10, 0.5, CALM), (11, 0.25, CALM), (12, 1.5, BURST), (20, 9.0, CALM), (20, 9.0, CALM), (13, 2.5, BURST), (13, 2.5, PROBE), (14, 3.5, PROBE)]
 FEATURES = ["f1", "f2"]
 
 
@@ -23,32 +23,43 @@ def vectors(spark, **k):
 
 def test_within_split_audit(spark):
     got = {r.split: r for r in overlap.within_split_audit(vectors(spark)).collect()}
-    assert tuple(got["train"])[1:] == (9, 1, 2, 7, 1, 2, 1)
-    assert tuple(got["validation"])[1:] == (10, 1, 3, 7, 2, 4, 2)
+    assert tuple(got["train"])[1:] == (10, 3, 5, 5, 2, 5, 2)
+    assert tuple(got["validation"])[1:] == (8, 1, 2, 6, 1, 2, 1)
 
 
 def test_multiple_label_sets(spark):
     v = vectors(spark)
-    assert [tuple(r) for r in overlap.multiple_label_sets(v, "t").collect()] == [(f"{D}|{N}", 1)]
-    assert [tuple(r) for r in overlap.multiple_label_sets(v, "v").collect()] == [(f"{D}|{N}", 1), (f"{N}|{P}", 1)]
+    assert [tuple(r) for r in overlap.multiple_label_sets(v, "t").collect()] == [("burst|calm", 1), ("calm|probe", 1)]
+    assert [tuple(r) for r in overlap.multiple_label_sets(v, "v").collect()] == [("burst|probe", 1)]
 
 
 def test_cross_split(spark):
     v = vectors(spark)
-    assert tuple(overlap.cross_split_overlap(v).first()) == (4, 1, 3, 5, 5)
-    assert [tuple(r) for r in overlap.same_label_overlap(v).collect()] == [(N, 1)]
-    assert [tuple(r) for r in overlap.conflicting_label_pairs(v).collect()] == [(f"{D}|{N}", N, 1), (N, f"{D}|{N}", 1), (N, P, 1)]
+    assert tuple(overlap.cross_split_overlap(v).first()) == (5, 1, 4, 6, 10)
+    assert [tuple(r) for r in overlap.same_label_overlap(v).collect()] == [(CALM, 1)]
+    pairs = [(BURST, "burst|probe", 1), ("burst|calm", CALM, 1), ("calm|probe", PROBE, 1), (PROBE, BURST, 1)]
+    assert [tuple(r) for r in overlap.conflicting_label_pairs(v).collect()] == pairs
+
+
+def test_vectors_with_nulls_and_labels_that_are_numbers(spark):
+    rows = [(None, 0.0, 1, "train"), (None, -0.0, 2, "validation"), (1, float("nan"), 1, "train"), (1, float("nan"), 1, "validation"), (2, 0.5, None, "train"), (3, 0.5, 3, "train")]
+    df = spark.createDataFrame(rows, "f1 int, f2 double, label int, split string")
+    got = {r.f1: r for r in overlap.vector_splits(df, FEATURES, "label", "split").collect()}
+    assert len(got) == 4 and (got[None].labels_t, got[None].labels_v, got[None].k) == ("1", "2", 2) and got[1].n_v == 1 and (got[2].k, got[2].labels_t) == (0, "")
+    assert tuple(overlap.cross_split_overlap(overlap.vector_counts(df, FEATURES, "label", "split")).first()) == (2, 1, 1, 2, 2)
+    assert [tuple(r) for r in overlap.conflicting_label_pairs(overlap.vector_splits(df, FEATURES, "label", "split")).collect()] == [("1", "2", 1)]
+    overlap.check_delimiter(df, "label")
 
 
 @pytest.mark.parametrize("train,first", [(TRAIN, 0), (TRAIN[::-1], 100)])
 def test_annotation(spark, train, first):
     df = both(spark, train=train, first_id=first)
-    got = overlap.overlap_annotation(df, FEATURES, "label", "row_id", "split").orderBy("row_id").collect()
-    assert [r.row_id for r in got] == list(range(first, first + 10))
-    assert [r.feature_vector_in_training for r in got] == [c == "T" for c in "TTFFFFTTTF"]
+    got = overlap.overlap_annotation(df.filter("split = 'train'").unionByName(df.filter("split = 'validation'")), FEATURES, "label", "row_id", "split").orderBy("row_id").collect()
+    assert [r.row_id for r in got] == list(range(first, first + 8))
+    assert "".join("FT"[r.feature_vector_in_training] for r in got) == "TTTFFTTT"
     short = {overlap.SAME_LABEL: "s", overlap.CONFLICTING: "c", overlap.NOT_IN_TRAINING: "n"}
-    assert "".join(short[r.overlap_label_relation] for r in got) == "scnnnnsccn"
-    assert got[8].training_labels_for_vector == f"{D}|{N}" and got[2].training_labels_for_vector == ""
+    assert "".join(short[r.overlap_label_relation] for r in got) == "sccnnscc"
+    assert got[1].training_labels_for_vector == "burst|calm" and got[3].training_labels_for_vector == ""
 
 
 def test_no_overlap_and_audit_document(spark):
@@ -56,7 +67,7 @@ def test_no_overlap_and_audit_document(spark):
     one = overlap.audit_summary(moved, FEATURES, "label", "split").first()
     assert one.cross.n_shared == 0 and one.conflicts == [] and one.same_label == {}
     one = overlap.audit_summary(both(spark), FEATURES, "label", "split").first()
-    assert one.train.n_rows == 9 and one.same_label == {N: 1} and len(one.conflicts) == 3
+    assert one.train.n_rows == 10 and one.same_label == {CALM: 1} and len(one.conflicts) == 4 and tuple(one.cross) == (5, 1, 4, 6, 10)
     assert overlap.audit_summary(moved, FEATURES, "label", "split", measured=False).columns == ["measured"]
 
 
@@ -137,6 +148,9 @@ def test_contract(spark):
     ):
         with pytest.raises(contract.ContractError, match=says):
             ok(train, bad)
+    failed = spark.createDataFrame([("a", 2), ("row_id", 1)], "column_name string, n long")
+    with pytest.raises(contract.ContractError, match="Non-numeric features in validation.*'a': 2"):
+        contract.validate(train, train, "label", None, None, ("row_id",), {"training": failed.filter("n < 2"), "validation": failed})
     with pytest.raises(contract.ContractError, match="Expected 3"):
         ok(train, train, n=3)
     with pytest.raises(contract.ContractError, match="training lacks"):
@@ -157,7 +171,9 @@ def test_baseline_run(spark):
         metrics = out["binary_metrics"].first()
         assert metrics.tp + metrics.tn + metrics.fp + metrics.fn == 30
         assert out["error_cases"].count() == metrics.total_errors
-        assert out["run_metadata"].first().n_train == 60
+        about = out["run_metadata"].first()
+        assert about.n_train == 60 and about.audit.measured == audit and about.binary_mapping == {"DDoS": "ATTACK", "DoS": "ATTACK", "Normal Traffic": "NORMAL"}
+        assert {"error_cases", "run_metadata"} <= set(about.outputs)
     assert kept[True] == kept[False]
     with pytest.raises(ValueError, match="unknown model"):
         runs.run_baseline(train, validation, "label", "row_id", classes, "Normal Traffic", names=("oracle",))

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewarden.operators.contract import ContractError
@@ -27,6 +28,8 @@ def test_missing_file_or_target(spark, tmp_path):
 def test_row_ids_and_preview(spark):
     df = tables.add_row_id(spark.createDataFrame([("a",), ("b",), ("c",)], "x string").coalesce(1))
     assert [tuple(r) for r in df.collect()] == [(0, "a"), (1, "b"), (2, "c")]
+    many = tables.add_row_id(spark.range(1000).select((F.col("id") * 3).alias("_at"), F.lit("r").alias("_row")).repartitionByRange(7, "_at"))
+    assert [tuple(r) for r in many.orderBy("row_id").collect()] == [(i, 3 * i, "r") for i in range(1000)]
     assert [r.row_id for r in tables.preview(df, "row_id", rows=2).collect()] == [0, 1]
 
 
