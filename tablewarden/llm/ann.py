@@ -11,10 +11,10 @@ from tablewarden.llm.common import materialise, number_of_parts, table
 
 K = 20
 #: Pivots are a bounded sample of the vectors; every vector is indexed by its PREFIX nearest pivots in order.
-PIVOTS = 512
+PIVOTS = 1024
 PREFIX = 64
 #: Of each shard, a query reranks exactly this share of the distinct vectors, at least RERANK_LEAST of them.
-RERANK_SHARE, RERANK_LEAST = 0.2, 512
+RERANK_SHARE, RERANK_LEAST = 0.15, 128
 SHARD_VECTORS, QUERY_BLOCK = 5000, 1000
 
 
@@ -33,7 +33,12 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 def nearest_pivots(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     """For each row of x the numbers of its nearest pivots (largest inner product), nearest first."""
-    order = np.argsort(-(x @ pivots.T), axis=1, kind="stable")[:, :prefix]
+    away = -(x @ pivots.T)
+    if prefix < away.shape[1]:  # only the nearest are put in order
+        some = np.sort(np.argpartition(away, prefix - 1, axis=1)[:, :prefix], axis=1)
+        order = np.take_along_axis(some, np.argsort(np.take_along_axis(away, some, axis=1), axis=1, kind="stable"), axis=1)
+    else:
+        order = np.argsort(away, axis=1, kind="stable")[:, :prefix]
     return order.astype("<i2")
 
 

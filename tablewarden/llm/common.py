@@ -15,10 +15,13 @@ UNSET_ROOT = "file:/tmp/checkpoints"
 def scratch_root(spark: SparkSession) -> str:
     """The folder for intermediate tables that driver and executors share.
 
-    It is the cluster's spark.checkpoint.dir. Only where that is unset (local tests) a folder under /tmp is taken.
+    It is the cluster's spark.checkpoint.dir. Only where that is unset and Spark runs on this machine alone (tests), a
+    folder under /tmp is taken. Each application has a folder of its own in it.
     """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return f"{(root or UNSET_ROOT).rstrip('/')}/tablewarden"
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
+    return f"{(root or UNSET_ROOT).rstrip('/')}/tablewarden/{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -38,7 +41,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def drop_scratch(spark: SparkSession, path: str | None = None) -> None:
-    """Delete one scratch path, or all of them, once no result that reads them is needed."""
+    """Delete one scratch path, or all of this application, once no result that reads them is needed."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path or scratch_root(spark))
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
