@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tablewarden.llm import exact_dedup, mixing, pieces, quality, simhash
-from tablewarden.llm.common import scratch_path, table
+from tablewarden.llm.common import drop_scratch, scratch_path, table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,10 +45,16 @@ ORACLE_SQL = None  # zstandard, SimHash and SentencePiece have no SQL form; test
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on documents; each result is written as Parquet and read again as the next one's docs."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages on documents; each result is written as Parquet and read again as the next one's docs.
+
+    A stage's rows are deleted once the next one's are written.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
         path = scratch_path(spark, f"pipeline-{k}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            drop_scratch(spark, before)
+        before = path
     return docs
