@@ -110,6 +110,57 @@ def _unpack_counts(raw: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(raw), "<i8")
 
 
+class Automaton:
+    """The weighted backoff automaton over the n-grams that a part's documents visit.
+
+    Grams are known by their index; c has their training counts. A gram of under the full order with a count is a
+    state, and there is the root. A gram of order 2 or more with a count is an arc, from the state of its context by
+    its last token; the root has an arc for each token. A failure arc leads from a state to the context without its
+    oldest token, at the cost of the weight which that shorter context has.
+    """
+
+    ROOT = -1
+
+    def __init__(self, at: list[np.ndarray], real: np.ndarray, c: np.ndarray, root_arc: np.ndarray, mu: float):
+        self.size, order = len(c), len(at)
+        seen = real & (c > 0)
+        logp, failure, source, last = root_arc.copy(), np.full(len(c), self.ROOT), np.zeros_like(c), np.zeros_like(c)
+        self.arcs: dict[int, int] = {}
+        full = np.zeros(len(c), bool)
+        full[at[-1]] = True
+        for k in range(1, order):
+            place = np.flatnonzero(seen[at[k]])
+            arc = at[k][place]
+            source[arc], last[arc], failure[arc] = at[k - 1][place - 1], at[0][place], at[k - 1][place]
+            own = np.zeros(len(c), bool)
+            own[arc] = True
+            arc = np.flatnonzero(own)
+            context = c[source[arc]]
+            logp[arc] = np.log10((c[arc] + mu * 10.0 ** logp[failure[arc]]) / (context + mu))
+            self.arcs.update(zip((source[arc] * self.size + last[arc]).tolist(), arc.tolist()))
+        # An arc ends in the longest state that its gram ends with: itself, or at full order its failure state.
+        target = np.where(seen & ~full, np.arange(len(c)), failure)
+        self.logp, self.failure, self.target = memoryview(logp), memoryview(failure), memoryview(target)
+        self.cost = memoryview(np.log10(mu / (c + mu)))
+
+    def walk(self, start: int, tokens: list[int]) -> float:
+        """The log10 probability of the tokens behind a start, in one pass from left to right."""
+        arcs, logp, failure, target, cost, size = self.arcs, self.logp, self.failure, self.target, self.cost, self.size
+        state, total = target[start], 0.0
+        for token in tokens:
+            while state != self.ROOT:
+                arc = arcs.get(state * size + token)
+                if arc is not None:
+                    break
+                total += cost[state]
+                state = failure[state]
+            else:
+                arc = token
+            total += logp[arc]
+            state = target[arc]
+        return total
+
+
 def score_texts(docs: DataFrame, train, text_col="text", id_col="doc_id", order: int = ORDER, mu: float = MU) -> DataFrame:
     """Per row of docs: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -175,17 +226,10 @@ def score_texts(docs: DataFrame, train, text_col="text", id_col="doc_id", order:
         h, doc, is_token = _stream(rows.text)
         keys, at = _distinct(_grams(h, is_token, order))
         c = np.concatenate([_unpack_counts(x) for x in answers.sort_values("bucket").counts])
-        v = int(answers.v.iloc[0])
-        root_arc = np.log10((c + 0.5) / (n + 0.5 * (v + 1)))  # by key, of the single tokens
-        logp = root_arc[at[0]]
-        for k in range(1, order):
-            before = np.r_[0, at[k - 1][:-1]]  # the state: the context that the traversal stands in
-            has_state = keys[at[k]] != 0
-            seen, context = c[at[k]], c[before]
-            failure = np.log10(mu / (context + mu))
-            with np.errstate(divide="ignore"):
-                arc = np.log10((seen + mu * 10.0**logp) / (context + mu))
-            logp = np.where(has_state, np.where(seen > 0, arc, failure + logp), logp)
+        root_arc = np.log10((c + 0.5) / (n + 0.5 * (int(answers.v.iloc[0]) + 1)))  # by key, of the single tokens
+        automaton = Automaton(at, keys != 0, c, root_arc, mu)
+        starts = np.flatnonzero(~is_token)
+        score = [automaton.walk(at[0][i], at[0][i + 1 : j].tolist()) for i, j in zip(starts, np.r_[starts[1:], len(h)])]
         here = lambda x: np.bincount(doc[is_token], weights=x[is_token], minlength=len(rows))
         return pd.DataFrame(
             {
@@ -195,7 +239,7 @@ def score_texts(docs: DataFrame, train, text_col="text", id_col="doc_id", order:
                 "n_known": here((c[at[0]] > 0).astype(float)).astype(np.int64),
                 "train_tokens": n,
                 "base_score": here(root_arc[at[0]]),
-                "score": here(logp),
+                "score": score,
             }
         )
 

@@ -194,6 +194,19 @@ def test_language_model_is_a_distribution():
     assert sum((follow[w] + mu * base[w]) / (3 + mu) for w in "abcz") == pytest.approx(1)
 
 
+def test_automaton_walks_states_and_failure_arcs():
+    """Grams: 0 start, 1 a, 2 b, 3 (never seen), 4 start-a, 5 a-b, 6 start-b, 7 a-3; at: which of them end where."""
+    c = np.array([4, 6, 3, 0, 4, 2, 0, 0])
+    at = [np.array([0, 1, 2, 0, 2, 0, 1, 3]), np.array([8, 4, 5, 8, 6, 8, 4, 7])]
+    root, mu = np.log10(np.array([1, 0.5, 0.3, 0.1, 1, 1, 1, 1, 1])), 2.0
+    real = np.arange(9) < 8
+    a = lm_score.Automaton(at, real, np.r_[c, 0], root, mu)
+    assert len(a.arcs) == 2 and list(a.failure[i] for i in (0, 1, 2, 4, 5)) == [-1, -1, -1, 1, 2]
+    assert 10 ** a.walk(0, [1, 2]) == pytest.approx((4 + mu * 0.5) / (4 + mu) * (2 + mu * 0.3) / (6 + mu))
+    assert 10 ** a.walk(0, [2]) == pytest.approx(mu / (4 + mu) * 0.3)
+    assert 10 ** a.walk(0, [1, 3, 1]) == pytest.approx((4 + mu * 0.5) / (4 + mu) * mu / (6 + mu) * 0.1 * 0.5)
+
+
 def test_language_model_edges(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     got = {r.doc_id: r for r in lm_score.score_texts(docs, F.lit(False)).collect()}
