@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewarden.llm.common import number_of_parts, table, word_count
+from tablewarden.llm.common import number_of_parts, table
 
 ORDER = 2
 #: Strength of the lower order in each context, in pseudo-counts.
@@ -179,9 +179,7 @@ def score_texts(docs: DataFrame, train, text_col="text", id_col="doc_id", order:
     states and arcs that its documents visit and goes through each document once, left to right.
     """
     trained = F.coalesce(train, F.lit(False))
-    n_rows, size, n = docs.agg(
-        F.count("*"), F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)), F.coalesce(F.sum(F.when(trained, word_count(F.col(text_col)) + 1)), F.lit(0))
-    ).first()
+    n_rows, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()
     weight = size + 64 * n_rows
     parts, buckets = number_of_parts(weight, PART_BYTES), number_of_parts(weight, BUCKET_BYTES)
     part = F.pmod(F.xxhash64(id_col, text_col), F.lit(parts)).cast("int")  # rows without an id are spread by their texts
@@ -216,17 +214,20 @@ def score_texts(docs: DataFrame, train, text_col="text", id_col="doc_id", order:
         return pd.DataFrame({"part": rows.part, "bucket": rows.bucket, "counts": [_pack_counts(total[a]) for a in np.split(at, ends[:-1])]})
 
     def seen_tokens(rows: pd.DataFrame) -> pd.DataFrame:
-        found = []
+        found, total = [], 0
         for raw, counts in zip(rows["keys"], rows["counts"], strict=True):
-            keys = _unpack(raw)
-            found.append(keys[((keys & np.uint64(3)) == TOKEN) & (_unpack_counts(counts) > 0)])
-        return pd.DataFrame({"v": [len(np.unique(np.concatenate(found)))]})
+            keys, c = _unpack(raw), _unpack_counts(counts)
+            known = ((keys & np.uint64(3)) == TOKEN) & (c > 0)
+            found.append(keys[known])
+            total += int(c[known].sum())
+        return pd.DataFrame({"v": [len(np.unique(np.concatenate(found)))], "n": [total]})
 
     def traverse(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         h, doc, is_token = _stream(rows.text)
         keys, at = _distinct(_grams(h, is_token, order))
         c = np.concatenate([_unpack_counts(x) for x in answers.sort_values("bucket").counts])
-        root_arc = np.log10((c + 0.5) / (n + 0.5 * (int(answers.v.iloc[0]) + 1)))  # by key, of the single tokens
+        n, v = int(answers.n.iloc[0]), int(answers.v.iloc[0])
+        root_arc = np.log10((c + 0.5) / (n + 0.5 * (v + 1)))  # by key, of the single tokens
         automaton = Automaton(at, keys != 0, c, root_arc, mu)
         starts = np.flatnonzero(~is_token)
         score = [automaton.walk(at[0][i], at[0][i + 1 : j].tolist()) for i, j in zip(starts, np.r_[starts[1:], len(h)])]
@@ -245,9 +246,10 @@ def score_texts(docs: DataFrame, train, text_col="text", id_col="doc_id", order:
 
     # Both readings of asked use one exchange, as do both of dealt.
     asked = dealt.groupBy("part").applyInPandas(ask, "bucket long, part int, keys binary, counts binary").repartition(buckets, "bucket")
-    vocabulary = asked.groupBy("bucket").applyInPandas(seen_tokens, "v long").agg(F.coalesce(F.sum("v"), F.lit(0)).alias("v"))
+    sums = [F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("v", "n")]
+    known = asked.groupBy("bucket").applyInPandas(seen_tokens, "v long, n long").agg(*sums)
     answered = asked.groupBy("bucket").applyInPandas(answer, "part int, bucket long, counts binary")
-    answers = answered.select("*", vocabulary.scalar().alias("v"))
+    answers = answered.withColumn("known", known.select(F.struct("v", "n")).scalar()).select("*", "known.v", "known.n").drop("known")
     scored = dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInPandas(
         traverse, "doc string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
