@@ -153,12 +153,14 @@ def test_scan_is_associative():
     assert np.array_equal(pieces.scan(m), np.array(want))
 
 
-def test_language_model_against_brute_force(spark):
+def test_language_model_against_brute_force(spark, monkeypatch):
     rng = random.Random(8)
     rows = [(i, " ".join(rng.choice(["The", "cat", "É", "sat", "on", "x1"]) for _ in range(rng.randrange(12)))) for i in range(60)] + [(100, None), (101, "unseenword"), (102, "a " * 30_000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     train = F.crc32(F.col("doc_id").cast("string")) % 5 != 1
-    for order, mu in ((2, 3.0), (3, 2.0)):
+    for order, mu, size in ((2, 3.0, 12 << 20), (3, 2.0, 8 << 10)):  # one part and bucket; several
+        monkeypatch.setattr(lm_score, "PART_BYTES", size)
+        monkeypatch.setattr(lm_score, "BUCKET_BYTES", 2 * size)
         got = {r.doc_id: r for r in lm_score.score_texts(docs, train, order=order, mu=mu).collect()}
         seqs = {i: ["<s>"] + "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in (t or "")).split() + ["</s>"] for i, t in rows}
         held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in seqs}
