@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewarden.llm.common import materialise, one_space, table
+from tablewarden.llm.common import materialise, number_of_parts, one_space, table
 
 PREFIX_CHARS = 64
 #: Surviving (length, prefix) groups are folded into numbered slots, so many for each group that few others share one at
 #: any size of the table. Up to MOST_SENT slots the set is sent to all tasks; a larger one is joined by a shuffle.
 SLOTS_PER_GROUP, LEAST_SLOTS, MOST_SENT = 8, 1 << 16, 1 << 20
+#: Rows that repeat one id and text are spread over so many tasks that each has about this many of them.
+ROWS_PER_SALT = 20_000
 
 
 def _sketch(docs: DataFrame, text_col: str, id_col: str, **more: Column) -> DataFrame:
@@ -101,16 +103,24 @@ def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
     Rows that repeat an id, with texts that are equal but for white space, are one document and give one row; rows
     without an id all stay unless a row with an id has their text. An empty table gives no rows; columns may bear any
     name. What goes is listed by id and hash of the normalised text, so the texts are dealt out by id: a text that fills
-    a third of the table is spread like any other.
+    a third of the table is spread like any other. A row that nothing repeats stays where it is: only where
+    the list is too large to be sent to all tasks are texts shuffled. Of rows that repeat id and text, one is picked by
+    partial aggregates.
     """
     survivors = _survivors(docs, text_col, id_col)
-    copies = survivors.join(_groups(survivors), "text_sha256").filter(~F.col("_id").eqNullSafe(F.col("keep_id")))
-    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))  # noqa: E731  no id is an empty text
-    dropped = materialise(copies.select(name("_id").alias("_key"), F.col("_short").alias("_hash")).distinct(), "exact-dropped")
+    name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))  # noqa: E731  no id is an empty text
+    grouped = survivors.join(_groups(survivors), "text_sha256").withColumn("_first", F.col("_id").eqNullSafe(F.col("keep_id")))
+    counted = grouped.groupBy(name("_id").alias("_key"), F.col("_short").alias("_hash"), "_first").count()
+    dropped = materialise(counted.filter("NOT _first OR (_key != '' AND count > 1)"), "exact-dropped")
     whole = docs.select(F.struct(*docs.columns).alias("_row"), name(id_col).alias("_key"), F.xxhash64(one_space(F.col(text_col))).alias("_hash"))
-    kept = whole.join(dropped, ["_key", "_hash"], "left_anti")
-    repeats = Window.partitionBy("_key", "_hash").orderBy("_key")
-    return kept.withColumn("_n", F.row_number().over(repeats)).filter("_n = 1 OR _key = ''").select("_row.*")
+    kept = whole.join(dropped, ["_key", "_hash"], "left_anti").select("_row")
+    repeated = dropped.filter("_first").select("_key", "_hash", "count")
+    if most := repeated.agg(F.max("count")).first()[0]:
+        salts = number_of_parts(most, ROWS_PER_SALT)
+        wanted = repeated.select("_key", "_hash", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("_salt"))
+        rows = whole.withColumn("_salt", F.monotonically_increasing_id() % salts).join(wanted, ["_key", "_hash", "_salt"], "left_semi")
+        kept = kept.unionByName(rows.dropDuplicates(["_key", "_hash"]).select("_row"))
+    return kept.select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

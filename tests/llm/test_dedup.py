@@ -262,3 +262,11 @@ def test_dedup_of_repeated_and_missing_ids(spark):
     assert len(got) == 3 and {(1, one), (5, unique)} < set(got) and got.count((None, other)) + got.count((None, near_other)) == 1
     spaced = spark.createDataFrame([(1, "a b"), (1, "a  b"), (2, "a\tb"), (3, "c"), (3, "d")], "doc_id long, text string")
     assert sorted((r.doc_id, r.text.split()) for r in exact_dedup.exact_dedup(spaced).collect()) == [(1, ["a", "b"]), (3, ["c"]), (3, ["d"])]
+
+
+def test_exact_dedup_of_rows_that_repeat_often(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "ROWS_PER_SALT", 3)
+    rows = [("x", "hot  text" if i % 2 else "hot text") for i in range(50)] + [("y", "hot text"), ("", "blank id"), (None, "blank id"), (None, "no id"), (None, "no id"), ("z", "own")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").repartition(4)
+    got = sorted((r.doc_id or "-", " ".join(r.text.split())) for r in exact_dedup.exact_dedup(docs).collect())
+    assert [(i, t) for i, t in got if i != "-"] == [("x", "hot text"), ("z", "own")] and [t for i, t in got if i == "-"] == ["blank id", "no id", "no id"]
