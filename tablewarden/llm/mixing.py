@@ -128,7 +128,8 @@ def mix(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_
     The list of ids grows with the table, so this is a shuffle at every size, by id and hashes of text and source: rows
     without an id are told apart by these and spread by them. A document of which the mix takes t of n words comes
     round(t / n) times. Rows alike in id (or without one), text and source share their copies evenly; only where that
-    leaves a remainder are they numbered, each such group in one place.
+    leaves a remainder are they numbered: rows within salted parts of a group, which are written once, behind the rows
+    of the parts before.
     """
     plan = _plan(docs, text_col, id_col, source_col, **options)
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))  # noqa: E731  rows without an id are told apart by the hashes
@@ -146,10 +147,15 @@ def mix(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_
     out = whole.join(times.filter("_total % _alike = 0"), keys).withColumn("_n", F.expr("_total div _alike"))
     ragged = times.filter("_total % _alike > 0")
     if not ragged.isEmpty():
-        number = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))
-        more = whole.join(ragged, keys).withColumn("_at", number)
+        more = whole.join(ragged, keys)
+        salts = number_of_parts(ragged.agg(F.max("_alike")).first()[0], ROWS_PER_BUCKET)
+        more = materialise(more.withColumn("_salt", F.floor(F.rand(0) * salts)), "mix-ragged")
+        ahead = Window.partitionBy(*keys).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
+        before = more.groupBy(*keys, "_salt").count().withColumn("_before", F.coalesce(F.sum("count").over(ahead), F.lit(0))).drop("count")
+        number = F.row_number().over(Window.partitionBy(*keys, "_salt").orderBy(F.lit(0)))
+        more = more.withColumn("_place", number).join(before, [*keys, "_salt"]).withColumn("_at", F.col("_before") + F.col("_place"))
         more = more.withColumn("_n", F.expr("_total div _alike + IF(_at <= _total % _alike, 1, 0)"))
-        out = out.unionByName(more.drop("_at").filter("_n > 0"))
+        out = out.unionByName(more.select(out.columns).filter("_n > 0"))
     return out.select("_row", F.explode(F.expr("sequence(1L, _n)"))).select("_row.*")
 
 

@@ -83,6 +83,14 @@ def test_mix_takes_rows_without_an_id(spark):
     assert mixed[None, "b", "same text here " * 5] == alike
 
 
+def test_mix_numbers_rows_alike_in_salted_parts(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "ROWS_PER_BUCKET", 3)
+    docs = spark.createDataFrame([(7, "same words of one id", "a")] * 40 + [(i, f"own words {i}", "b") for i in range(100, 130)], "doc_id long, text string, source string")
+    plan = mixing._plan(docs, "text", "doc_id", "source").collect()
+    want, mixed = sum(int(r.taken / r.size + 0.5) for r in plan if r.doc_id == 7), Counter(r.doc_id for r in mixing.mix(docs).collect())
+    assert mixed[7] == want and want % 40 and sum(mixed.values()) == sum(int(r.taken / r.size + 0.5) for r in plan)
+
+
 @pytest.fixture(scope="module")
 def model():
     return pieces.load(PATH), sentencepiece.SentencePieceProcessor(model_file=PATH)
