@@ -1,6 +1,6 @@
 """The corpus queries by name and, where DuckDB can express them, their SQL."""
 
-from tablewarden.llm import ann, exact_dedup, line_dedup, lm_score, mixing, pieces, quality, secrets, simhash, warc
+from tablewarden.llm import ann, centroids, exact_dedup, line_dedup, lm_score, mixing, pieces, quality, secrets, simhash, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
@@ -13,10 +13,12 @@ QUERIES = {
     "op8_warc_archives": warc.query,
     "op9_nearest_neighbours": ann.query,
     "op10_secret_scan": secrets.query,
+    "op11_centroid_clustering": centroids.query,
 }
 
 ORACLE_SQL = {
     "op1_exact_dedup": exact_dedup.ORACLE_SQL,
     "op2_line_dedup": line_dedup.ORACLE_SQL,
     "op3_source_mixing": mixing.ORACLE_SQL,
+    "op11_centroid_clustering": centroids.ORACLE_SQL,
 }
