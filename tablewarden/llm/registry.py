@@ -1,6 +1,6 @@
 """The corpus queries by name and, where DuckDB can express them, their SQL."""
 
-from tablewarden.llm import ann, centroids, exact_dedup, line_dedup, lm_score, mixing, pieces, quality, secrets, simhash, warc
+from tablewarden.llm import ann, centroids, exact_dedup, line_dedup, lm_score, mixing, pieces, quality, ranked, secrets, simhash, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_nearest_neighbours": ann.query,
     "op10_secret_scan": secrets.query,
     "op11_centroid_clustering": centroids.query,
+    "op12_ranked_search": ranked.query,
 }
 
 ORACLE_SQL = {
@@ -21,4 +22,5 @@ ORACLE_SQL = {
     "op2_line_dedup": line_dedup.ORACLE_SQL,
     "op3_source_mixing": mixing.ORACLE_SQL,
     "op11_centroid_clustering": centroids.ORACLE_SQL,
+    "op12_ranked_search": ranked.ORACLE_SQL,
 }
