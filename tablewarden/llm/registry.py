@@ -1,6 +1,6 @@
 """The corpus queries by name and, where DuckDB can express them, their SQL."""
 
-from tablewarden.llm import ann, centroids, exact_dedup, line_dedup, lm_score, mixing, pieces, quality, ranked, secrets, simhash, warc
+from tablewarden.llm import ann, centroids, exact_dedup, line_dedup, lm_score, mixing, pieces, pii, quality, ranked, secrets, simhash, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_secret_scan": secrets.query,
     "op11_centroid_clustering": centroids.query,
     "op12_ranked_search": ranked.query,
+    "op13_pii": pii.query,
 }
 
 ORACLE_SQL = {
