@@ -258,5 +258,6 @@ def score_texts(docs: DataFrame, train, text_col="text", id_col="doc_id", order:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents. A row without an id is held out: nothing is learned from it."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return score_texts(docs, F.crc32(F.col("doc_id").cast("string")) % FOLDS != HELD_OUT)

@@ -636,7 +636,7 @@ def encode(docs: DataFrame, path: str | None = None, ways: tuple[str, ...] | Non
     """
     path = path or public_tokenizers.path(DEFAULT_MODEL)
     ways = tuple(ways or ("merges" if load(path).kind == BPE else "lattice",))
-    others = [c for c in docs.columns if c != text_col and c not in {f"{w}_{c}" for w in ways for c in ("ids", "round_trip")}]
+    others = [c for c in docs.columns if c.lower() not in {text_col.lower(), *(f"{w}_{x}" for w in ways for x in ("ids", "round_trip"))}]
     row = F.struct(*others) if others else F.struct(F.lit(0))
     rows = docs.select(row.alias("row"), F.col(text_col).alias("text"))
     giant = F.length("text") > CHUNK
@@ -681,11 +681,17 @@ def decode(ids: DataFrame, path: str | None = None, ids_col: str = "ids", out: s
 
 
 def encode_stage(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """docs without text, with the model's own ids (binary, 32-bit numbers), n_tokens and round_trip."""
-    rows = encode(docs, path)
+    """docs without text, with the model's own ids (binary, 32-bit numbers), n_tokens and round_trip.
+
+    Columns of these three names, in any case, are replaced; all others come out as they are, those of encode's own names
+    too. A row comes out per row of docs; null and empty texts have no ids and 0 tokens; an empty table gives no rows.
+    """
+    others = [c for c in docs.columns if c.lower() not in ("text", "ids", "n_tokens", "round_trip")]
+    row = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.struct(F.lit(0))
+    rows = encode(docs.select(row.alias("user"), "text"), path)
     way = rows.columns[-1].removesuffix("_round_trip")
     return rows.select(
-        *[c for c in docs.columns if c not in ("text", "ids", "n_tokens", "round_trip")],
+        *[F.col("user")[c].alias(c) for c in others],
         F.col(f"{way}_ids").alias("ids"),
         (F.octet_length(f"{way}_ids") / 4).cast("long").alias("n_tokens"),
         F.col(f"{way}_round_trip").alias("round_trip"),

@@ -70,16 +70,18 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 3
 
 
 def _sample(docs: DataFrame, labels: DataFrame, text_col: str, id_col: str, label_col: str) -> pd.DataFrame:
-    """The bounded labelled sample: text, label, part ("dictionary" or "calibration")."""
+    """The bounded labelled sample: text, label, part. Of rows that repeat an id, the one with the least hash counts, so ids bound rows."""
     known = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(id_col, F.col(label_col).cast("int").alias("_y")).distinct()
     ranked = known.withColumn("_h", F.xxhash64(F.lit("quality"), id_col))
     half = F.pmod(F.col("_h"), F.lit(2))
     picked = [ranked.filter((half == 0) & (F.col("_y") == y)).orderBy("_h", id_col).limit(DICTIONARY_ROWS) for y in (1, 0)]
     picked.append(ranked.filter(half == 1).orderBy("_h", id_col).limit(CALIBRATION_ROWS))
     ids = picked[0].unionByName(picked[1]).unionByName(picked[2])
-    texts = docs.filter(F.octet_length(text_col) <= SAMPLE_TEXT_BYTES).select(id_col, text_col)
-    rows = texts.join(F.broadcast(ids), id_col)  # DICTIONARY_ROWS * 2 + CALIBRATION_ROWS rows at most
-    return rows.select(F.col(text_col).alias("text"), F.col("_y").alias("label"), half.alias("part"), "_h").toPandas().sort_values("_h")
+    texts = docs.filter(F.octet_length(text_col) <= SAMPLE_TEXT_BYTES).select(F.col(id_col).alias("_id"), F.struct(F.xxhash64(text_col), F.col(text_col).alias("text")).alias("_t"))
+    ids = ids.select(F.col(id_col).alias("_id"), F.col("_y").alias("label"), half.alias("part"), "_h")
+    rows = texts.join(F.broadcast(ids), "_id").groupBy("_id", "label", "part", "_h").agg(F.min("_t").alias("_t"))
+    got = rows.select("_t.text", "label", "part", "_h").toPandas()  # DICTIONARY_ROWS * 2 + CALIBRATION_ROWS rows at most
+    return got.sort_values(["_h", "label", "text"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, text_col="text", id_col="doc_id", label_col="quality") -> dict:
@@ -124,18 +126,23 @@ def training_labels(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Rows of docs that score at least threshold, with the columns of docs."""
-    named = docs.withColumn("_kept_score", F.col("score")) if "score" in docs.columns else docs
-    kept = score(named, fit(docs, training_labels(labels))).filter(F.col("score") >= threshold)
-    return kept.withColumn("score", F.col("_kept_score")).select(*docs.columns) if "score" in docs.columns else kept.select(*docs.columns)
+    """Rows of docs that score at least threshold, with the columns of docs, whatever their names.
+
+    Rows without an id, repeated rows and rows alike are judged each by its text; a null text is an empty one, whose score
+    is that of a zero difference. An empty table gives no rows.
+    """
+    whole = docs.select(F.struct("*").alias("_row"), F.col("text").alias("_text"))  # names inside the struct can't clash with a score
+    kept = score(whole, fit(docs, training_labels(labels)), "_text").filter(F.col("score") >= threshold)
+    return kept.select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents. A row without an id is held out: nothing is learned from it."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit(docs, training_labels(table(spark, sf_dir, "labels")))
     return score(docs, model).select(
         "doc_id",
-        (F.crc32(F.col("doc_id").cast("string")) % FOLDS == 0).alias("held_out"),
+        F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS == 0, F.lit(True)).alias("held_out"),
         "score",
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
     )

@@ -254,7 +254,7 @@ def links(nodes: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """doc id, fingerprint (signed long), component_id per row of docs.
+    """doc id, fingerprint (signed long), component_id per row of docs. Ids are of any type that has an order, as is component_id.
 
     Documents link if their fingerprints differ in at most max_distance bits; a component is what links reach, named
     by its smallest id. All documents of one fingerprint are one node, so copies cost no pairs. Null and blank texts
@@ -262,14 +262,14 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     rows that repeat an id may lie in several components; component_id is null if no row of the component has an id.
     An empty table gives no rows.
     """
-    return _components(docs, text_col, id_col, max_distance).select(id_col, F.col("fp").alias("fingerprint"), "component_id")
+    return _components(docs, text_col, id_col, max_distance).select(F.col("id").alias(id_col), F.col("fp").alias("fingerprint"), "component_id")
 
 
 def _components(docs: DataFrame, text_col: str, id_col: str, max_distance: int) -> DataFrame:
     """Per row of docs: id, _hash (of the text), fp, component_id, _keep (the row of its component that stays: _no_id, _id, _hash)."""
-    texts = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_hash"))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_hash"))
     prints = materialise(add_fingerprint(texts, "_text", "fp").drop("_text"), "simhash-prints")
-    first = F.min(F.struct(F.col(id_col).isNull().alias("_no_id"), F.col(id_col).alias("_id"), "_hash"))
+    first = F.min(F.struct(F.col("id").isNull().alias("_no_id"), F.col("id").alias("_id"), "_hash"))
     nodes = materialise(prints.groupBy("fp").agg(first.alias("_first")), "simhash-nodes")
     found = connected_components(links(nodes.select("fp", F.col("fp").alias("rep")), max_distance))
     rooted = nodes.join(found, nodes.fp == found.node, "left").select("fp", "_first", F.coalesce("component", "fp").alias("_root"))
@@ -284,13 +284,13 @@ def simhash_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
 
     Ids are compared with the text's hash, so of rows that repeat an id each stays or goes by its own component. Rows
     without an id come after all others; among rows alike in that, the smallest hash stays. Rows alike in id (or
-    without one) and text stay or go together.
+    without one) and text stay or go together. An empty table gives no rows.
     """
     found = _components(docs, text_col, id_col, max_distance)
-    name = lambda c: F.coalesce(F.col(c).cast("long").cast("string"), F.lit(""))
-    gone = ~(F.col(id_col).eqNullSafe(F.col("component_id")) & (F.col("_hash") == F.col("_keep._hash")))
-    dropped = materialise(found.filter(gone).select(name(id_col).alias("_key"), "_hash").distinct(), "simhash-dropped")
-    whole = docs.select(F.struct(*docs.columns).alias("_row"), name(id_col).alias("_key"), F.xxhash64(text_col).alias("_hash"))
+    name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))  # noqa: E731  no id is an empty text
+    gone = ~(F.col("id").eqNullSafe(F.col("component_id")) & (F.col("_hash") == F.col("_keep._hash")))
+    dropped = materialise(found.filter(gone).select(name("id").alias("_key"), "_hash").distinct(), "simhash-dropped")
+    whole = docs.select(F.struct("*").alias("_row"), name(id_col).alias("_key"), F.xxhash64(text_col).alias("_hash"))
     return whole.join(dropped, ["_key", "_hash"], "left_anti").select("_row.*")
 
 
