@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewarden.functions.columns import count_if, infinite, missing, without_nan
+from tablewarden.operators.quantiles import quantiles
 
 LABEL_NAMES = ("label", "class", "attack", "attack type", "attack_type", "target")
 #: Columns that one aggregate takes at once; a wider table is profiled in several passes of generated code.
@@ -54,24 +55,22 @@ def profile_nonnull(df: DataFrame) -> DataFrame:
 
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
-    """column_name, n, mean, std (of a sample), min, p25, p50, p75, max; exact quantiles between neighbours; NaN is skipped."""
+    """column_name, n, mean, std (of a sample), min, p25, p50, p75, max; exact quantiles between neighbours; NaN is skipped.
+
+    Two or three passes: one aggregate for all but the quantiles, then a distributed selection (quantiles.py).
+    """
 
     def value(c: str) -> Column:
         return without_nan(df, c).cast("double")
 
-    quartiles = [0.25, 0.5, 0.75]
-
-    def quantile(p: float):  # one aggregate a column gives all three
-        return lambda c: F.get(F.percentile(value(c), F.array(*map(F.lit, quartiles))), F.lit(quartiles.index(p)))
-
-    return _by_column(
+    figures = _by_column(
         df,
         columns,
-        {
-            "n": lambda c: F.count(value(c)), "mean": lambda c: F.avg(value(c)), "std": lambda c: F.stddev_samp(value(c)), "min": lambda c: F.min(value(c)),
-            "p25": quantile(0.25), "p50": quantile(0.5), "p75": quantile(0.75), "max": lambda c: F.max(value(c)),
-        },
-    )
+        {"n": lambda c: F.count(value(c)), "mean": lambda c: F.avg(value(c)), "std": lambda c: F.stddev_samp(value(c)), "min": lambda c: F.min(value(c)), "max": lambda c: F.max(value(c))},
+    ).collect()  # a row per column
+    parts = quantiles(df, columns, [0.25, 0.5, 0.75], {r.column_name: r.n for r in figures})
+    rows = [(r.column_name, r.n, r.mean, r.std, r.min, *parts[r.column_name], r.max) for r in figures]
+    return df.sparkSession.createDataFrame(rows, "column_name string, n long, mean double, std double, min double, p25 double, p50 double, p75 double, max double")
 
 
 def missing_counts(df: DataFrame, top: int | None = 20) -> DataFrame:
