@@ -1,4 +1,4 @@
-"""Screening of written answers: structure, claims, and numbers against evidence."""
+"""Screening of written answers: structure and claims (numbers against evidence are in quantities.py)."""
 
 from __future__ import annotations
 
@@ -15,7 +15,6 @@ TYPES = {"observations": ("ARRAY<STRING>", "ARRAY<VOID>"), "explanation": ("STRI
 #: What a clause is split at, and per code the words that claim and the words of a clause that excuse.
 CLAUSES = r"[;.!?]+(?:\s+|$)|,\s+(?:but|however|although|though|while|not)\s+|,\s+|\s+but\s+"
 NEGATED = r"\b(no|not|cannot|without|lacks?|unavailable|never|nor)\b"
-HEDGED = r"\b(not|no|cannot|would|needed to|require|possible|possibly|may|might|could|rather than (?:a )?(?:confirmed|confirming))\b"
 CLAIMS = {
     "CONFIRMATION_CLAIM": (
         r"\b(confirms?|confirmed|confirming|proves?|proved|definitely|certainly|undoubtedly|unquestionably|clearly indicates|without a doubt|is certain)\b",
@@ -30,14 +29,6 @@ CLAIMS = {
 }
 #: Concrete network values are refused even if negated.
 CONCRETE = r"\b([0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}|port [0-9]+)\b"
-#: Seconds of each unit of time, fixed values.
-UNITS = {
-    "us": 1e-6, "usec": 1e-6, "microsecond": 1e-6, "microseconds": 1e-6, "ms": 1e-3, "msec": 1e-3, "millisecond": 1e-3, "milliseconds": 1e-3,
-    "s": 1.0, "sec": 1.0, "second": 1.0, "seconds": 1.0, "min": 60.0, "minute": 60.0, "minutes": 60.0, "h": 3600.0, "hour": 3600.0, "hours": 3600.0,
-    "day": 86400.0, "days": 86400.0, "year": 31557600.0, "years": 31557600.0,
-}
-NUMBER = r"-?[0-9][0-9,]*(?:\.[0-9]+)?(?:\s|-)?[a-z]*"
-
 
 def structure_errors(answers: DataFrame, key: str, content: str, known_evidence: list[str]) -> DataFrame:
     """key, code: a row per rule that an answer breaks.
@@ -99,18 +90,3 @@ def claim_flags(answers: DataFrame, key: str | list[str], text: str, noted: str
             made = made & ~F.coalesce(F.col("_noted"), F.lit(False))
         codes.append(F.when(made, F.lit(code)))
     return clauses.select(*keys, F.explode(F.array_compact(F.array(*codes))).alias("code")).distinct()
-
-
-def ungrounded_numbers(answers: DataFrame, key: str, text: str, evidence: str) -> DataFrame:
-    """key, number: each written duration that isn't the evidence (seconds) within the rounding of the number as written.
-
-    A number without a unit of time must equal the evidence in seconds.
-    """
-    rows = answers.select(key, F.col(evidence).alias("_e"), F.explode(F.regexp_extract_all(F.lower(text), F.lit(NUMBER), F.lit(0))).alias("number"))
-    digits = F.regexp_replace(F.regexp_extract("number", r"^(-?[0-9][0-9,]*(?:\.[0-9]+)?)", 1), ",", "")
-    decimals = F.length(F.regexp_extract(digits, r"\.([0-9]+)$", 1))
-    units = F.create_map(*[F.lit(x) for pair in UNITS.items() for x in pair])
-    scale = F.coalesce(F.try_element_at(units, F.regexp_extract("number", "([a-z]+)$", 1)), F.lit(1.0))
-    apart = F.abs(digits.cast("double") * scale - F.col("_e"))
-    allowed = F.lit(0.5) * F.pow(F.lit(10.0), -decimals.cast("double")) * scale * (1 + 1e-9)
-    return rows.filter(apart > allowed).select(key, "number").distinct()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewarden import views as V
-from tablewarden.operators import alerts, answers, contract, duplicates, evaluate, models, overlap, profile, splits
+from tablewarden.operators import alerts, answers, contract, duplicates, evaluate, models, overlap, profile, quantities, splits
 from tablewarden.plans import runs
 from tablewarden.sources import tables
 
@@ -546,14 +546,47 @@ def answer_claim_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers.claim_flags(said, ["conv_id", "turn"], "said", "noted")
 
 
-@query(
-    "answer_numbers_ungrounded",
-    f"""WITH {_FLOWS} SELECT row_id, (v + CASE WHEN row_id % 3 = 0 THEN 1 ELSE 0 END) || CASE WHEN row_id % 2 = 0 THEN ' seconds' ELSE ' milliseconds' END AS number FROM flows
-    WHERE (row_id % 2 = 0 AND row_id % 3 = 0) OR (row_id % 2 = 1 AND abs((v + CASE WHEN row_id % 3 = 0 THEN 1 ELSE 0 END) * 0.001 - v) > 0.0005)""",
-)
+# Sentences about a record's evidence: Flow Duration (s) is v, Flow Bytes/s (B/s) is user_id, Total Fwd Packets (packets) is row_id % 50.
+_WRITTEN = """CASE row_id % 13 WHEN 0 THEN 'The session ran ' || v || ' seconds.' WHEN 1 THEN 'It ran ' || v * 1000 || 'ms in all.'
+  WHEN 2 THEN 'It ran ' || CAST(floor(v / 60) AS BIGINT) || ' min ' || v % 60 || ' s.' WHEN 3 THEN 'Flow Bytes/s was ' || (user_id + row_id % 2) || 'B/s.'
+  WHEN 4 THEN 'Total Fwd Packets was ' || v || ' packets.' WHEN 5 THEN 'The ' || (row_id % 6 + 4) || 'th observation is short.'
+  WHEN 6 THEN 'It sits at the ' || (row_id % 6 + 4) || 'th percentile.' WHEN 7 THEN 'It ran a few minutes.' WHEN 8 THEN 'It moved ' || user_id || ' kB.'
+  WHEN 9 THEN 'It ran ' || v || 'e1 seconds.' WHEN 10 THEN 'It ran roughly seventeen hours.' WHEN 11 THEN 'Seen were ' || (v + row_id % 3) || ' and ' || row_id % 50 || '.'
+  ELSE 'It ran ' || (v + 1) || ' seconds, and ' || row_id % 50 || ' packets were sent.' END"""
+
+
+def _numbers_sql() -> str:
+    """What is written, read from the sentences by a pattern for each way of writing: (number, dim, value, half)."""
+    ways = [
+        (r" ([0-9]+ seconds)", "'s'", "{1}", "0.5", r" ([0-9]+) seconds"),
+        (r"([0-9]+ms)", "'s'", "{1} / 1000", "0.0005", r"([0-9]+)ms"),
+        (r"([0-9]+ min [0-9]+ s)", "'s'", r"{1} * 60 + CAST(regexp_extract(text, 'min ([0-9]+) s', 1) AS DOUBLE)", "0.5", r"([0-9]+) min"),
+        (r"([0-9]+B/s)", "'B/s'", "{1}", "0.5", r"([0-9]+)B/s"),
+        (r"([0-9]+ packets)", "'packets'", "{1}", "0.5", r"([0-9]+) packets"),
+        (r"([0-9]+th percentile)", "'?'", "{1}", "0.5", r"([0-9]+)th percentile"),
+        (r"(a few minutes)", "'s'", "360", "180", None),
+        (r"([0-9]+ kB)", "'B'", "{1} * 1000", "500", r"([0-9]+) kB"),
+        (r"([0-9]+e1 seconds)", "'s'", "{1} * 10", "5", r"([0-9]+)e1"),
+        (r"(seventeen hours)", "'s'", "61200", "1800", None),
+        (r"were ([0-9]+) and", "''", "{1}", "0.5", r"were ([0-9]+) and"),
+        (r"and ([0-9]+)\.", "''", "{1}", "0.5", r"and ([0-9]+)\."),
+    ]
+    each = []
+    for pattern, dim, value, half, digits in ways:
+        value = value.replace("{1}", f"CAST(regexp_extract(text, '{digits}', 1) AS DOUBLE)") if digits else value
+        each.append(f"SELECT row_id, text, regexp_extract(text, '{pattern}', 1) AS number, {dim} AS dim, {value} AS value, {half} AS half FROM said WHERE regexp_matches(text, '{pattern}')")
+    return f"""WITH {_FLOWS}, said AS (SELECT row_id, {_WRITTEN} AS text FROM flows), written AS ({' UNION ALL '.join(each)}),
+    evidence AS (SELECT row_id, 'Flow Duration' AS feature, 's' AS unit, v AS is FROM flows UNION ALL SELECT row_id, 'Flow Bytes/s', 'B/s', user_id FROM flows UNION ALL SELECT row_id, 'Total Fwd Packets', 'packets', row_id % 50 FROM flows),
+    one AS (SELECT row_id, text, max(feature) AS feature FROM said JOIN evidence USING (row_id) WHERE contains(text, feature) GROUP BY row_id, text),
+    numbered AS (SELECT *, count(*) OVER (PARTITION BY row_id) AS n FROM written)
+    SELECT DISTINCT row_id, number FROM numbered w WHERE NOT EXISTS (SELECT 1 FROM evidence e LEFT JOIN one USING (row_id) WHERE e.row_id = w.row_id AND w.dim IN ('', e.unit)
+      AND abs(e.is - w.value) <= w.half AND (n > 1 OR one.feature IS NULL OR one.feature = e.feature))"""
+
+
+@query("answer_numbers_ungrounded", _numbers_sql())
 def answer_numbers_ungrounded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = F.col(V.ROW)
-    number = (F.col("v") + F.when(i % 3 == 0, 1).otherwise(0)).cast("string")
-    text = F.concat(F.lit("The flow lasted about "), number, F.when(i % 2 == 0, " seconds.").otherwise(" milliseconds."))
-    said = V.flows(spark, sf_dir).select(V.ROW, text.alias("text"), F.col("v").cast("double").alias("seconds"))
-    return answers.ungrounded_numbers(said, V.ROW, "text", "seconds")
+    rows = V.flows(spark, sf_dir)
+    features = {"Flow Duration": ("s", F.col("v")), "Flow Bytes/s": ("B/s", F.col("user_id")), "Total Fwd Packets": ("packets", F.col(V.ROW) % 50)}
+    each = [F.struct(F.lit(f).alias("feature"), F.lit(unit).alias("unit"), value.cast("double").alias("value")) for f, (unit, value) in features.items()]
+    evidence = rows.select(V.ROW, F.explode(F.array(*each)).alias("_e")).select(V.ROW, "_e.*")
+    return quantities.ungrounded(rows.select(V.ROW, F.expr(_WRITTEN).alias("text")), [V.ROW], "text", evidence)
