@@ -117,6 +117,10 @@ def on(view, name: str, sql: str, f):
 
 
 # Profiles
+@query("row_positions", "SELECT row_number() OVER () - 1 AS row_id, event_id, event_type FROM events")
+def row_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.add_row_id(V.table(spark, sf_dir, "events").select("event_id", "event_type"))
+
 
 on(V.flows, "preview_rows", f"WITH {_FLOWS} SELECT * FROM flows WHERE row_id < 5000 ORDER BY row_id LIMIT 20", lambda d: tables.preview(d, V.ROW))
 on(

@@ -47,15 +47,28 @@ def read_labelled_parquet(spark: SparkSession, path: str, target: str, name: str
 
 
 def add_row_id(df: DataFrame, out: str = "row_id") -> DataFrame:
-    """A 0-based position in reading order in front of the columns. Written once after reading, it is an ordinary column."""
-    rows = df.select(F.struct(*df.columns).alias("_row"), F.monotonically_increasing_id().alias("_at"))
-    part = F.shiftright("_at", 33)  # the upper bits number the partition, the lower ones its rows
-    counts = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
-    ahead = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("_part", ahead.alias("_ahead"))  # a row per partition
-    placed = rows.join(F.broadcast(offsets), part == F.col("_part"))
-    number = F.col("_ahead") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    return placed.select(number.alias(out), *[F.col("_row")[c].alias(c) for c in df.columns])
+    """A 0-based position in front of the columns: files by path, rows as they stand in them. Written once after reading, it is an ordinary column.
+
+    However Spark cuts files into blocks and packs these into tasks, a block's rows are read one after the other, so a
+    row's place in its block is how far its running number is from the block's first. Blocks are counted, their counts summed
+    up by path and start: a row per block, and no sort of the rows. A table that isn't read from files counts along its partitions.
+    Rows of files that were dealt anew since they were read (a sort, a repartition) raise an error: number them first.
+    """
+    at = F.monotonically_increasing_id()
+    try:
+        source = df.metadataColumn("_metadata")
+        block = [source["file_path"].alias("_a"), source["file_block_start"].alias("_b")]
+        rows, hint = df.select(F.struct("*").alias("_row"), at.alias("_at"), *block), (lambda x: x)
+    except AnalysisException:
+        hint = F.broadcast  # a row per partition
+        rows = df.select(F.struct("*").alias("_row"), at.alias("_at"), F.lit("").alias("_a"), F.shiftright(at, 33).alias("_b"))  # the upper bits number the partition
+    before = Window.orderBy("_a", "_b").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy("_a", "_b").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"), F.max("_at").alias("_last"))
+    moved = F.raise_error(F.concat(F.lit("rows were dealt anew since they were read, number them first: "), "_a"))
+    shift = F.when(F.col("_last") - F.col("_first") + 1 == F.col("_n"), F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).otherwise(moved.cast("long"))
+    blocks = blocks.select("_a", "_b", shift.alias("_shift"))
+    placed = rows.join(hint(blocks), ["_a", "_b"])
+    return placed.select((F.col("_at") + F.col("_shift")).alias(out), "_row.*")
 
 
 def preview(df: DataFrame, row_id: str, rows: int = 5000, shown: int = 20) -> DataFrame:

@@ -44,3 +44,33 @@ def test_outputs(spark, tmp_path):
     tables.write_model_outputs({"predictions": spark.createDataFrame([("m", 1)], "model_name string, n int")}, folder, "smoke")
     back = spark.read.parquet(f"{folder}/predictions").first()
     assert back.run_mode == "smoke" and back.model_name == "m"
+
+
+@pytest.fixture
+def split_sizes(spark):
+    names = ["spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"]
+    old = {n: spark.conf.get(n) for n in names}
+    yield lambda n: [spark.conf.set(k, v) for k, v in zip(names, (n, 64))]
+    for n, v in old.items():
+        spark.conf.set(n, v)
+
+
+@pytest.mark.parametrize("kind", ["csv", "parquet"])
+def test_row_ids_follow_the_files(spark, tmp_path, split_sizes, kind):
+    """Several files of unlike size, cut and packed in many ways: positions are those of a plain reader, however files are split."""
+    import pandas as pd
+
+    want = []
+    for name, n in (("a", 5), ("b", 3000), ("c", 0), ("d", 1), ("e", 700)):
+        rows = [(f"{name}{i}", "z" * (i % 40)) for i in range(n)]
+        want += [r[0] for r in rows]
+        frame = pd.DataFrame(rows, columns=["x", "_metadata_of_mine"], dtype="str")
+        frame.to_csv(tmp_path / f"{name}.csv", index=False) if kind == "csv" else frame.to_parquet(tmp_path / f"{name}.parquet", row_group_size=100)
+    for size in (400, 5000, 1 << 27):
+        split_sizes(size)
+        df = spark.read.option("header", True).schema("x string, _metadata_of_mine string").format(kind).load(str(tmp_path))
+        got = tables.add_row_id(df.withColumn("_at", F.lit(1))).orderBy("row_id").collect()
+        assert [(r.row_id, r.x) for r in got] == list(enumerate(want))
+    split_sizes(400)
+    with pytest.raises(Exception, match="number them first"):
+        tables.add_row_id(df.repartition(5)).collect()
