@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewarden.functions.columns import count_if, match_nulls
+from tablewarden.functions.repeats import FLAG, may_repeat
 from tablewarden.operators.contract import ContractError
 
 DELIMITER = "|"
@@ -32,23 +33,22 @@ def _sets(label: str) -> list[Column]:
 
 
 def _vectors(df: DataFrame, features: list[str], label: str, split: str, names: dict[str, str], with_sets: bool) -> DataFrame:
-    """A row per vector. Vectors meet by value, but only those whose 64-bit key occurs more than once are shuffled.
+    """A row per vector. Vectors meet by value, but only those are shuffled whose 64-bit key may occur more than once.
 
-    The keys are counted first. A row whose key is alone is a vector of its own and becomes a row as it stands; the
-    others are grouped by all features, so keys that collide cost a little and change nothing. Which keys occur more
-    than once is a table that Spark sends to all tasks only below its broadcast threshold.
+    A row whose key is alone is a vector of its own and becomes a row as it stands; the others (may_repeat has them all, and
+    few more, at every size and with broadcasts by statistics off) are grouped by all features, so keys that collide cost
+    a little and change nothing.
     """
-    rows = df.filter(F.col(split).isin(*names.values())).withColumn("_key", F.xxhash64(*features))
-    often = rows.groupBy("_key").count().filter("count > 1").select("_key")
+    rows = may_repeat(df.filter(F.col(split).isin(*names.values())), features)
     counts = [count_if(F.col(split) == s).alias(f"n_{a}") for a, s in names.items()]
-    pairs = rows.join(often, "_key", "left_semi").groupBy(*features, label).agg(*counts)
+    pairs = rows.filter(FLAG).groupBy(*features, label).agg(*counts)
     together = pairs.groupBy(*features).agg(*_figures(label), *(_sets(label) if with_sets else []))
     one = {a: (F.col(split) == s).cast("long") for a, s in names.items()}
     labelled = F.col(label).isNotNull().cast("long")
     alone = [labelled.alias("k")] + [e.alias(f"{c}_{a}") for a, n in one.items() for c, e in (("n", n), ("pairs", n), ("most", n), ("k", n * labelled))]
     if with_sets:
         alone += [F.when(F.col(split) == s, F.coalesce(F.col(label).cast("string"), F.lit(""))).otherwise("").alias(f"labels_{a}") for a, s in names.items()]
-    return together.unionByName(rows.join(often, "_key", "left_anti").select(*features, *alone))
+    return together.unionByName(rows.filter(~F.col(FLAG)).select(*features, *alone))
 
 
 def vector_counts(df: DataFrame, features: list[str], label: str, split: str, train: str = "train", validation: str = "validation") -> DataFrame:
@@ -138,8 +138,12 @@ def overlap_annotation(df: DataFrame, features: list[str], label: str, row_id: s
     The relation is same_label_in_training only if the training set as text equals the row's own label, so a vector
     with several training labels always conflicts.
     """
-    pairs = df.filter(F.col(split) == train).groupBy(*features).agg(F.array_join(F.array_sort(F.collect_set(F.col(label).cast("string"))), DELIMITER).alias("_t"))
-    rows = match_nulls(df.filter(F.col(split) == validation), pairs, features, "left")
+    both = may_repeat(df.filter(F.col(split).isin(train, validation)), features)
+    met = both.filter(FLAG).drop(FLAG)
+    pairs = met.filter(F.col(split) == train).groupBy(*features).agg(F.array_join(F.array_sort(F.collect_set(F.col(label).cast("string"))), DELIMITER).alias("_t"))
+    rows = match_nulls(met.filter(F.col(split) == validation), pairs, features, "left")
+    alone = both.filter(~F.col(FLAG) & (F.col(split) == validation)).drop(FLAG).withColumn("_t", F.lit(None).cast("string"))
+    rows = rows.unionByName(alone)
     relation = F.when(F.col("_t").isNull(), NOT_IN_TRAINING).when(F.col("_t") == F.col(label).cast("string"), SAME_LABEL).otherwise(CONFLICTING)
     return rows.select(
         row_id, F.col("_t").isNotNull().alias("feature_vector_in_training"), F.coalesce("_t", F.lit("")).alias("training_labels_for_vector"), relation.alias("overlap_label_relation")
