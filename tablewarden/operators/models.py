@@ -1,43 +1,35 @@
-"""Tree baselines on Spark ML."""
+"""The tree baselines by name."""
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
-from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+import math
+
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from tablewarden.operators import trees
 from tablewarden.operators.evaluate import prediction_confidence
 
 SEED = 42
-#: Spark ML grows trees to a depth of 30 at most and on binned splits, so figures differ from unlimited trees. A level of
-#: a forest costs a pass over the table for each group of nodes that fits in memory, so the forest stops at 12 by default.
+#: Both grow until leaves are pure; a forest's node looks at the square root of the number of features. Fixed values.
 CONFIGS = {
-    "decision_tree": lambda: DecisionTreeClassifier(seed=SEED, maxDepth=30, maxBins=128),
-    "random_forest": lambda: RandomForestClassifier(seed=SEED, numTrees=100, maxDepth=12, maxBins=128),
+    "decision_tree": lambda n: {"trees": 1, "bootstrap": False, "most": n},
+    "random_forest": lambda n: {"trees": 100, "bootstrap": True, "most": max(1, math.isqrt(n))},
 }
 
 
-def make_model(name: str):
+def make_model(name: str, n_features: int = 1) -> dict:
+    """The settings of a model; an unknown name is an error."""
     if name not in CONFIGS:
         raise ValueError(f"unknown model {name!r}; there are {sorted(CONFIGS)}")
-    return CONFIGS[name]()
+    return CONFIGS[name](n_features)
 
 
-def fit(train: DataFrame, features: list[str], label: str, name: str, **settings) -> PipelineModel:
-    """A fitted pipeline; labels are indexed by name. Rows must meet the contract (no NaN, no null)."""
-    indexer = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc", handleInvalid="error")
-    estimator = make_model(name).setParams(featuresCol="_features", labelCol="_label", predictionCol="_predicted", probabilityCol="_probability", **settings)
-    return Pipeline(stages=[indexer, VectorAssembler(inputCols=features, outputCol="_features"), estimator]).fit(train)
+def fit(train: DataFrame, features: list[str], label: str, name: str, **settings) -> trees.Forest:
+    """A fitted model. Rows must meet the contract (no NaN, no null)."""
+    return trees.fit(train, features, label, **({"seed": SEED} | make_model(name, len(features)) | settings))
 
 
-def predict(model: PipelineModel, df: DataFrame, label: str) -> DataFrame:
+def predict(model: trees.Forest, df: DataFrame, label: str) -> DataFrame:
     """df with predicted and confidence."""
-    classes = list(model.stages[0].labels)
-    assembled = model.stages[1].transform(df)
-    scored = model.stages[2].transform(assembled)
-    names = F.array(*map(F.lit, classes))
-    rows = scored.withColumn("predicted", F.get(names, F.col("_predicted").cast("int"))).withColumn("_p", vector_to_array("_probability"))
-    return prediction_confidence(rows, classes, "_p", "predicted").select(*df.columns, "predicted", "confidence")
+    rows = trees.predict(model, df).withColumnRenamed("__predicted", "predicted")
+    return prediction_confidence(rows, model.classes, "__p", "predicted").select(*df.columns, "predicted", "confidence")
