@@ -19,11 +19,16 @@ MICROSECONDS = ("s", 1_000_000)
 
 
 def alert_table(predictions: DataFrame, features: DataFrame, allowlist: list[str], run_id: str, dataset: str, row_id: str = "row_id") -> DataFrame:
-    """A row per attack prediction: alert_id, run_id, dataset, detector, row id, predicted class, evidence in allowlist order."""
+    """A row per attack prediction: alert_id, run_id, dataset, detector, row id, predicted class, evidence in allowlist order.
+
+    No prediction is lost: one whose record has no features, or has them more than once, fails the query (input_errors lists them all).
+    """
     hits = predictions.filter("predicted_binary = 'ATTACK'")
     digits = F.col("validation_row_index").cast("string")
     digits = F.when(F.length(digits) < 7, F.lpad(digits, 7, "0")).otherwise(digits)
-    rows = hits.join(features.select(F.col(row_id).alias("validation_row_index"), *allowlist), "validation_row_index")
+    evidence = features.groupBy(F.col(row_id).alias("validation_row_index")).agg(F.count("*").alias("_n"), *[F.first(c).alias(c) for c in allowlist])
+    wrong = F.raise_error(F.concat(F.lit("features of record "), F.coalesce(digits, F.lit("null")), F.lit(" occur so often: "), F.coalesce(F.col("_n"), F.lit(0)).cast("string")))
+    rows = hits.join(evidence, "validation_row_index", "left").filter(F.when(F.coalesce(F.col("_n"), F.lit(0)) == 1, True).otherwise(wrong.cast("boolean")))
     return rows.select(
         F.concat_ws(":", F.lit(run_id), "model_name", digits).alias("alert_id"),
         F.lit(run_id).alias("run_id"), F.lit(dataset).alias("dataset"), F.col("model_name").alias("detector"),
@@ -31,6 +36,24 @@ def alert_table(predictions: DataFrame, features: DataFrame, allowlist: list[str
     )
 
 
+def input_errors(predictions: DataFrame, features: DataFrame, row_id: str = "row_id") -> DataFrame:
+    """row id, code: what keeps predictions and features from matching one to one, from counts by record on both sides.
+
+    FEATURES_MISSING, FEATURES_REPEATED, PREDICTIONS_MISSING (no model has the record), PREDICTIONS_FEWER (not all models
+    have it), PREDICTIONS_REPEATED (a model has it twice). Null ids are one record. Empty tables on both sides give no rows.
+    """
+    at = "validation_row_index"
+    models = predictions.agg(F.count_distinct("model_name").alias("_m"))
+    p = predictions.groupBy(F.col(at).alias("_p")).agg(F.count("*").alias("_n"), F.count_distinct("model_name").alias("_k"))
+    f = features.groupBy(F.col(row_id).alias("_f")).agg(F.count("*").alias("_c"))
+    both = p.join(f, F.col("_p").eqNullSafe(F.col("_f")), "full_outer").crossJoin(F.broadcast(models))  # one row
+    codes = F.array(
+        F.when(F.col("_c").isNull(), "FEATURES_MISSING"), F.when(F.col("_c") > 1, "FEATURES_REPEATED"), F.when(F.col("_n").isNull(), "PREDICTIONS_MISSING"),
+        F.when(F.col("_k") < F.col("_m"), "PREDICTIONS_FEWER"), F.when(F.col("_n") > F.col("_k"), "PREDICTIONS_REPEATED"),
+    )
+    return both.select(F.coalesce("_p", "_f").alias(row_id), F.explode(F.array_compact(codes)).alias("code"))
+
+
 def refuse_ground_truth(columns: list[str]) -> None:
     """Alert input never holds the true class, not even for a run without alerts."""
     if bad := [c for c in columns if c in GROUND_TRUTH]:

@@ -64,7 +64,7 @@ def annotate(predictions: DataFrame, annotation: DataFrame, row_id: str = "row_i
 
 
 def error_cases(predictions: DataFrame, features: DataFrame, row_id: str = "row_id") -> DataFrame:
-    """Misclassified records once, with their untouched features and error_category."""
+    """Misclassified records once, with their untouched features and error_category. One without features fails the query."""
     wrong = predictions.filter(~F.col("correct_multiclass_prediction"))
     category = (
         F.when(F.col("binary_error_type") == "FP", "binary_false_positive")
@@ -74,7 +74,9 @@ def error_cases(predictions: DataFrame, features: DataFrame, row_id: str = "row_
     kept = features.withColumnRenamed(row_id, "validation_row_index")
     first = [c for c in kept.columns if c != "validation_row_index"]
     rest = [c for c in predictions.columns if c not in ("validation_row_index", "correct_multiclass_prediction")]
-    return wrong.withColumn("error_category", category).join(kept, "validation_row_index").select("validation_row_index", *first, *rest, "error_category")
+    lost = F.raise_error(F.concat(F.lit("no features of record "), F.coalesce(F.col("validation_row_index").cast("string"), F.lit("null"))))
+    met = wrong.withColumn("error_category", category).join(kept.withColumn("_has", F.lit(True)), "validation_row_index", "left")
+    return met.filter(F.coalesce(F.col("_has"), lost.cast("boolean"))).select("validation_row_index", *first, *rest, "error_category")
 
 
 def pair_table(predictions: DataFrame) -> DataFrame:

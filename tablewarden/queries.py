@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewarden import views as V
-from tablewarden.operators import alerts, answers, contract, duplicates, evaluate, models, overlap, profile, quantities, splits
+from tablewarden.operators import alerts, answers, contract, duplicates, evaluate, merkle, models, overlap, profile, quantities, splits
 from tablewarden.plans import runs
 from tablewarden.sources import tables
 
@@ -418,6 +418,25 @@ def _alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 on(_alerts, "alert_table", f"WITH {_ALERTS} SELECT * FROM alerts", lambda d: d)
 
 
+@query(
+    "alert_input_errors",
+    f"""WITH {_PREDS}, p AS (SELECT validation_row_index AS k, count(*) AS n, count(DISTINCT model_name) AS m FROM (
+      SELECT validation_row_index, model_name FROM preds WHERE NOT (model_name = 'decision_tree' AND validation_row_index % 127 = 0) AND validation_row_index % 211 <> 0
+      UNION ALL SELECT validation_row_index, model_name FROM preds WHERE validation_row_index % 131 = 0 AND validation_row_index % 211 <> 0) GROUP BY 1),
+    f AS (SELECT row_id AS k, count(*) AS n FROM (SELECT row_id FROM flows WHERE row_id % 83 <> 0 UNION ALL SELECT row_id FROM flows WHERE row_id % 101 = 0 AND row_id % 83 <> 0) GROUP BY 1),
+    b AS (SELECT k AS row_id, p.n AS n, p.m AS m, f.n AS c FROM p FULL JOIN f USING (k))
+    SELECT row_id, 'FEATURES_MISSING' AS code FROM b WHERE c IS NULL UNION ALL SELECT row_id, 'FEATURES_REPEATED' FROM b WHERE c > 1 UNION ALL SELECT row_id, 'PREDICTIONS_MISSING' FROM b WHERE n IS NULL
+    UNION ALL SELECT row_id, 'PREDICTIONS_FEWER' FROM b WHERE m < 2 UNION ALL SELECT row_id, 'PREDICTIONS_REPEATED' FROM b WHERE n > m""",
+)
+def alert_input_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both sides with records left out and repeated at intervals."""
+    p, f, i = V.predictions(spark, sf_dir), V.flows(spark, sf_dir), F.col("validation_row_index")
+    p = p.filter(i % 211 != 0)
+    p = p.filter((F.col("model_name") != "decision_tree") | (i % 127 != 0)).unionByName(p.filter(i % 131 == 0))
+    f = f.filter(F.col(V.ROW) % 83 != 0)
+    return alerts.input_errors(p, f.unionByName(f.filter(F.col(V.ROW) % 101 == 0)), V.ROW)
+
+
 @query(
     "alert_contract_errors",
     f"""WITH {_ALERTS}, {_DIRTY}, odd AS (SELECT a.alert_id, CASE WHEN a.row_id % 89 = 0 THEN 'other' ELSE a.detector END AS detector, d.value
@@ -468,6 +487,29 @@ on(
     UNION ALL SELECT f.row_id, 'changed:v' FROM flows f JOIN r USING (row_id) WHERE r.r.v <> f.v""",
     lambda d: alerts.tamper_diff(d, _tampered(d), V.ROW, ["user_id", "v", "event_type"]),
 )
+_FORGED = _TAMPERED + """, forged AS (
+  SELECT * FROM after UNION ALL SELECT row_id, user_id, v + 3, event_type FROM flows WHERE row_id % 661 = 0 UNION ALL SELECT row_id, user_id, v, 'forged' FROM flows WHERE row_id % 1009 = 0
+), placed AS (SELECT *, row_number() OVER (ORDER BY row_id, v, event_type) - 1 AS place FROM forged),
+moved AS (SELECT row_id, user_id, v, event_type, CASE WHEN place % 500 = 10 THEN place + 1 WHEN place % 500 = 11 THEN place - 1 ELSE place END AS place FROM placed)"""
+
+
+@query(
+    "tamper_localised",
+    f"""WITH {_FORGED}, s AS (SELECT row_id, count(*) AS n FROM flows GROUP BY 1), r AS (SELECT row_id, count(*) AS n FROM moved GROUP BY 1), b AS (SELECT row_id, coalesce(s.n, 0) AS s, coalesce(r.n, 0) AS r FROM s FULL JOIN r USING (row_id)),
+    o AS (SELECT row_id, lag(row_id) OVER (ORDER BY place) AS before FROM moved)
+    SELECT row_id, CASE WHEN r = 0 THEN 'missing' WHEN s = 0 THEN 'fabricated' WHEN r > s THEN 'repeated' ELSE 'lost' END AS change FROM b WHERE r <> s
+    UNION ALL SELECT DISTINCT m.row_id, 'changed:v' FROM moved m JOIN flows f ON f.row_id = m.row_id WHERE f.v <> m.v UNION ALL SELECT DISTINCT m.row_id, 'changed:event_type' FROM moved m JOIN flows f ON f.row_id = m.row_id WHERE f.event_type <> m.event_type
+    UNION ALL SELECT DISTINCT row_id, 'reordered' FROM o WHERE row_id < before UNION ALL SELECT NULL, 'counts:processed' FROM (SELECT count(*) AS n FROM flows) WHERE n <> 12345""",
+)
+def tamper_localised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was changed in a copy with changed, missing, repeated, fabricated, forged and moved rows and a wrong count, found by hash trees."""
+    d = V.flows(spark, sf_dir)
+    d.createOrReplaceTempView("tw_flows")
+    sql = _FORGED[len(_FLOWS) + 2 :].replace("flows", "tw_flows")
+    result = spark.sql(f"WITH {sql} SELECT * FROM moved")
+    return merkle.localise(d, result, V.ROW, ["user_id", "v", "event_type"], position="place", claimed={"processed": 12345})
+
+
 on(
     V.flows, "dataset_diff",
     f"""WITH {_TAMPERED} SELECT *, 'removed' AS change FROM (FROM flows EXCEPT ALL FROM after) UNION ALL SELECT *, 'added' FROM (FROM after EXCEPT ALL FROM flows)""",
