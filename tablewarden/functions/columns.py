@@ -1,10 +1,10 @@
-"""Missing and infinite values, ratios, label sets, null-safe joins, stable ranks."""
+"""Missing and infinite values, ratios, label sets, null-safe joins."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,19 +58,3 @@ def match_nulls(left: DataFrame, right: DataFrame, columns: list[str], how: str)
 def display_hash(columns: list[str]) -> Column:
     """A 64-bit hash to show, never to decide by: nulls are marked, so a null doesn't vanish from it."""
     return F.xxhash64(*[e for c in columns for e in (F.col(c).isNull(), F.col(c))])
-
-
-def stable_rank(df: DataFrame, group: str, row_id: str, seed: int, out: str = "rank") -> DataFrame:
-    """1, 2, ... within each group, in the order of MD5(seed:row_id), then row_id.
-
-    Ranked in two steps: rows are counted by group and the first three digits of the hash, the counts summed up, and
-    rows ranked within (group, digits). So the largest class is spread over 4,096 sorts, not one.
-    """
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.col(row_id).cast("string")))
-    rows = df.withColumn("_key", key).withColumn("_slot", F.substring("_key", 1, 3))
-    ahead = Window.partitionBy(group).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    counts = rows.groupBy(group, "_slot").agg(F.count("*").alias("_n"))
-    offsets = counts.select(group, "_slot", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead"))
-    within = Window.partitionBy(group, "_slot").orderBy("_key", row_id)
-    ranked = match_nulls(rows, offsets, [group, "_slot"], "inner").withColumn(out, F.col("_ahead") + F.row_number().over(within))
-    return ranked.drop("_key", "_slot", "_ahead")

@@ -7,8 +7,8 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewarden.functions.columns import match_nulls, stable_rank
 from tablewarden.operators.contract import ContractError
+from tablewarden.operators.cuts import place
 
 SEED = 42
 
@@ -31,31 +31,29 @@ def stratified_split(df: DataFrame, label: str, row_id: str, seed: int = SEED) -
     """df with split: 15 % test, then 15/85 of the rest validation, the rest train; sizes are rounded up.
 
     Per class the parts are proportional (largest remainder); within a class the order of MD5(seed:row_id) decides,
-    so the result depends neither on partitions nor on the order of rows.
+    so the result depends neither on partitions nor on the order of rows. No row is sorted or shuffled: the keys at the ends of
+    the parts are found by counting, and each row is compared with them.
     """
     counts = df.groupBy(label).agg(F.count("*").alias("n"))
     total = F.sum("n").over(Window.partitionBy())
     counts = counts.withColumn("n_test", F.expr("(15 * sum(n) over () + 99) div 100"))
     counts = _quota(counts, label, "n_test", "n", "test").withColumn("left_over", F.col("n") - F.col("test"))
     counts = counts.withColumn("n_validation", F.floor((15 * (total - F.col("n_test")) + 84) / 85))
-    quota = _quota(counts, label, "n_validation", "left_over", "validation").select(label, "test", "validation")
-    ranked = match_nulls(stable_rank(df, label, row_id, seed, "_rank"), F.broadcast(quota), [label], "inner")  # a row per class
-    split = F.when(F.col("_rank") <= F.col("test"), "test").when(F.col("_rank") <= F.col("test") + F.col("validation"), "validation").otherwise("train")
-    return ranked.withColumn("split", split).drop("_rank", "test", "validation")
+    quota = _quota(counts, label, "n_validation", "left_over", "validation").select(label, "test", "validation").collect()  # a row per class
+    parts = place(df, label, row_id, seed, {r[label]: [("test", r.test), ("validation", r.test + r.validation)] for r in quota}, "split")
+    return parts.withColumn("split", F.when(F.col("split") == "", "train").otherwise(F.col("split")))
 
 
 def stratified_sample(df: DataFrame, label: str, row_id: str, rows: int, seed: int = SEED) -> DataFrame:
     """rows rows of df, proportional by class; all of df if it has no more. A class that would be lost is an error.
 
-    Only (row id, label) are ranked; the other columns are fetched for the rows chosen.
+    Rows are compared with the key at which their class's share ends; none is sorted or shuffled.
     """
     counts = df.groupBy(label).agg(F.count("*").alias("n"))
-    quota = _quota(counts.withColumn("_rows", F.least(F.lit(rows).cast("long"), F.sum("n").over(Window.partitionBy()))), label, "_rows", "n", "take")
-    if lost := [r[0] for r in quota.filter("take = 0").select(label).collect()]:  # classes
+    quota = _quota(counts.withColumn("_rows", F.least(F.lit(rows).cast("long"), F.sum("n").over(Window.partitionBy()))), label, "_rows", "n", "take").collect()  # a row per class
+    if lost := [r[label] for r in quota if r["take"] == 0]:
         raise ContractError(f"A sample of {rows} rows loses the classes {sorted(map(str, lost))}")
-    ranked = stable_rank(df.select(row_id, label), label, row_id, seed, "_rank")
-    chosen = match_nulls(ranked, F.broadcast(quota.select(label, "take")), [label], "inner").filter("_rank <= take").select(row_id)
-    return df.join(chosen, row_id, "left_semi")
+    return place(df, label, row_id, seed, {r[label]: [("in", r["take"])] for r in quota}, "__part").filter("__part = 'in'").drop("__part")
 
 
 def overlap(df: DataFrame, columns: list[str], split: str, splits: list[str]) -> DataFrame:
