@@ -38,12 +38,10 @@ _INDEX = {name: {s: i for i, s in enumerate(a)} for name, a in (ENCODINGS | OTHE
 _SETS = [(name, frozenset(a), {s: i for i, s in enumerate(a)}) for name, a in ENCODINGS.items()]
 BASE = pa.list_(pa.string())
 FOUND = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("stratum", pa.string()), ("step", pa.int32())]))
-#: A token stays a candidate if the battery's combined p value (the chance that random symbols look this odd) isn't below this.
-BATTERY_P = 0.001
 #: False discoveries allowed among the tokens reported, in each stratum of encoding and length.
 FALSE_DISCOVERY_RATE = 0.01
 LENGTHS = (16, 24, 32, 48, 64, 128)
-#: Scores (powers of ten of the likelihood ratio) are counted in steps of a tenth, from 0 to 100.
+#: Scores (powers of ten of the evidence) are counted in steps of a tenth, from 0 to 100.
 STEPS, MOST_POWER = 10, 100
 #: Weight, in symbols, of the case and digit transitions beside the counted successors of a symbol.
 BACKOFF = 20
@@ -53,8 +51,7 @@ PRIOR = 10
 DRAWN, APART = 10_000, 0.001
 
 
-def _upper_normal(z: float) -> float:
-    return 0.5 * math.erfc(z / math.sqrt(2))
+_upper_normal = np.vectorize(lambda z: 0.5 * math.erfc(z / math.sqrt(2)), otypes=[float])
 
 
 def infer_encoding(token: str) -> tuple[str, dict] | None:
@@ -65,34 +62,36 @@ def infer_encoding(token: str) -> tuple[str, dict] | None:
     return next(((name, index) for name, symbols, index in _SETS if own <= symbols), None)
 
 
-def battery(token: str, index: dict) -> tuple[float, int]:
-    """(combined p value of the three tests under random symbols, sum of squared symbol counts).
+def battery_rows(at: np.ndarray, size: int) -> np.ndarray:
+    """Combined p value of the three tests for each row of symbol numbers, all rows of one length, under random symbols.
 
     Chi-squared uniformity over the alphabet, runs above and below the middle, and serial correlation of neighbours;
     the p values are combined by Fisher's method (chi-squared with six degrees of freedom).
     """
-    n, size = len(token), len(index)
-    squares = sum(k * k for k in Counter(token).values())
-    chi = max(size * squares / n - n, 1e-9)
+    m, n = at.shape
     k = size - 1
-    p = [_upper_normal(((chi / k) ** (1 / 3) - (1 - 2 / (9 * k))) / math.sqrt(2 / (9 * k)))]
-    at = [index[s] for s in token]
-    high = [2 * i >= size for i in at]
-    a = sum(high)
+    counts = np.bincount((np.arange(m)[:, None] * size + at).ravel(), minlength=m * size).reshape(m, size)
+    chi = np.maximum(size * (counts.astype(float) ** 2).sum(axis=1) / n - n, 1e-9)
+    uniform = _upper_normal(((chi / k) ** (1 / 3) - (1 - 2 / (9 * k))) / math.sqrt(2 / (9 * k)))
+    high = 2 * at >= size
+    a = high.sum(axis=1).astype(float)
     b = n - a
-    if a and b:
-        runs = 1 + sum(x != y for x, y in zip(high, high[1:]))
-        mean = 2 * a * b / n + 1
-        var = (mean - 1) * (mean - 2) / (n - 1)
-        p.append(2 * _upper_normal(abs(runs - mean) / math.sqrt(var)) if var > 0 else 1.0)
-    else:
-        p.append(2.0 ** (1 - n))
-    m = sum(at) / n
-    var = sum((i - m) ** 2 for i in at)
-    r = sum((i - m) * (j - m) for i, j in zip(at, at[1:])) / var if var else 1.0
-    p.append(2 * _upper_normal(abs(r) * math.sqrt(n)))
-    half = -sum(math.log(max(q, 1e-300)) for q in p)
-    return math.exp(-half) * (1 + half + half * half / 2), squares
+    changes = 1 + (high[:, 1:] != high[:, :-1]).sum(axis=1)
+    mean = 2 * a * b / n + 1
+    var = (mean - 1) * (mean - 2) / (n - 1)
+    runs = np.where(var > 0, 2 * _upper_normal(np.abs(changes - mean) / np.sqrt(np.where(var > 0, var, 1))), 1.0)
+    runs = np.where(a * b > 0, runs, 2.0 ** (1 - n))
+    off = at - at.mean(axis=1, keepdims=True)
+    total = (off * off).sum(axis=1)
+    r = np.where(total > 0, (off[:, 1:] * off[:, :-1]).sum(axis=1) / np.where(total > 0, total, 1), 1.0)
+    serial = 2 * _upper_normal(np.abs(r) * math.sqrt(n))
+    half = -sum(np.log(np.maximum(q, 1e-300)) for q in (uniform, runs, serial))
+    return np.exp(-half) * (1 + half + half * half / 2)
+
+
+def battery(token: str, index: dict) -> float:
+    """The battery's p value of one token."""
+    return float(battery_rows(np.array([[index[s] for s in token]]), len(index))[0])
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -119,13 +118,8 @@ def infer_kind(token: str) -> tuple[str, str]:
 
 
 def candidates(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, token as read) of the tokens that the battery takes for random symbols."""
-    out = []
-    for m in TOKEN.finditer(text):
-        kind, token = infer_kind(m.group())
-        if battery(token, _INDEX[kind])[0] >= BATTERY_P:
-            out.append((m.start(), m.end(), kind, token))
-    return out
+    """(start, end, kind, token as read) of all tokens."""
+    return [(m.start(), m.end(), *infer_kind(m.group())) for m in TOKEN.finditer(text)]
 
 
 def pair_counts(text: str) -> np.ndarray:
@@ -160,10 +154,20 @@ def likelihood_ratios(pairs: np.ndarray, own: int = 1) -> dict[str, np.ndarray]:
     return out
 
 
+def evidence(ratios: dict[str, np.ndarray], kind: str, at: np.ndarray) -> np.ndarray:
+    """Steps of the evidence that each row of symbol numbers is random, 0 if there is none.
+
+    Powers of ten of the likelihood ratio of random symbols against ordinary text, and of the battery's p value: a token
+    that random symbols would hardly ever look like loses as much as it is unlikely.
+    """
+    ratio = ratios[kind][at[:, :-1], at[:, 1:]].sum(axis=1)
+    battery_power = np.log10(np.maximum(battery_rows(at, len(ratios[kind])), 1e-300))
+    return (STEPS * np.clip(ratio + battery_power, 0.0, MOST_POWER)).astype(int)
+
+
 def score(ratios: dict[str, np.ndarray], kind: str, token: str) -> int:
-    """Steps of log10 of the likelihood ratio of random symbols against ordinary text, 0 if ordinary text is likelier."""
-    at = [_INDEX[kind][s] for s in token]
-    return int(STEPS * min(max(ratios[kind][at[:-1], at[1:]].sum(), 0.0), MOST_POWER))
+    """The evidence of one token."""
+    return int(evidence(ratios, kind, np.array([[_INDEX[kind][s] for s in token]]))[0])
 
 
 def _stratum(kind: str, n: int) -> str:
@@ -174,7 +178,7 @@ def ordinary_reach(ratios: dict[str, np.ndarray], stratum: str) -> int:
     """The step that random tokens of the stratum's least length hardly ever score less than. ratios are those of new tokens."""
     kind, n = stratum.split("/")
     at = np.random.default_rng(0).integers(0, len(ratios[kind]), (DRAWN, int(n)))
-    return int(STEPS * min(np.quantile(ratios[kind][at[:, :-1], at[:, 1:]].sum(1), APART), MOST_POWER))
+    return int(np.quantile(evidence(ratios, kind, at), APART, method="lower"))
 
 
 def _spread(total: float, n: float, reach: float) -> float:
@@ -190,8 +194,8 @@ def _spread(total: float, n: float, reach: float) -> float:
 def thresholds(histogram: pd.DataFrame, reaches: dict[str, int], rate: float = FALSE_DISCOVERY_RATE) -> dict[str, int]:
     """Benjamini-Hochberg by stratum, from counts of tokens by step of score: the least step that is reported.
 
-    Were ordinary tokens drawn from the corpus's symbol pairs, a ratio of 10 ** x would have a chance of at most
-    10 ** -x. They aren't quite, so the fall of the chance is taken from the stratum's ordinary tokens: those that score more
+    Were ordinary tokens drawn from the corpus's symbol pairs, evidence of 10 ** x would have a chance of at most
+    10 ** -x, since the battery only takes away from the ratio. They aren't quite, so the fall of the chance is taken from the stratum's ordinary tokens: those that score more
     than 0 and less than random ones do. It is never taken to be steeper than for symbol pairs, and as steep where random
     tokens may score 0 themselves, as numbers do.
     """
@@ -219,10 +223,9 @@ def find_secrets(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     """Per row of docs: id, n_assign, n_access, n_hex, base_sha256, spans (kind:start:end, comma-joined).
 
     Spans of the kinds assign, access and hex follow fixed patterns, leftmost and without overlap per kind. A further
-    span, random, is a token of 16 or more symbols that (1) passes a battery of tests for random symbols and (2) is
-    likelier as random symbols than as ordinary text: the p value of its likelihood ratio against the corpus's own
-    symbol pairs is among those that Benjamini-Hochberg reports within its encoding and length class, over all
-    documents. Numbers, words of one case and mixtures of alphabets have strata of their own. Null is an empty text:
+    span, random, is a token of 16 or more symbols whose evidence (the p value of a battery of chi-squared, runs and serial
+    correlation tests under random symbols, times the likelihood ratio of random symbols against the corpus's own symbol pairs) has a
+    chance among ordinary tokens that Benjamini-Hochberg reports within its encoding and length class, over all documents. Numbers, words of one case and mixtures of alphabets have strata of their own. Null is an empty text:
     no spans. A row comes out per row of docs, with its id as it is (null, repeated or of any type); other columns are
     left out; an empty table gives no rows. Every text is read whole, twice: pairs are counted, then tokens are scored; what leaves are counts,
     spans and scores. The pair counts (128 x 128) and the histogram (strata times steps) have fixed sizes.

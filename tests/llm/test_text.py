@@ -279,10 +279,10 @@ def test_randomness_battery(spark):
     for k in keys:
         name, index = secrets.infer_encoding(k)
         assert name == "base62"
-    ps = [secrets.battery(k, secrets.infer_encoding(k)[1])[0] for k in keys]
+    ps = [secrets.battery(k, secrets.infer_encoding(k)[1]) for k in keys]
     assert sum(p < 0.001 for p in ps) <= 1
     repeated = "Ab1" * 14
-    assert secrets.battery(repeated, secrets.infer_encoding(repeated)[1])[0] < 0.001
+    assert secrets.battery(repeated, secrets.infer_encoding(repeated)[1]) < 0.001
     assert secrets.infer_encoding("internationalization") is None and secrets.infer_encoding("4111111111111111") is None
     prose = [" ".join(rng.choice(["some", "ordinary", "words", "of", "text", "internationalization", "Nonsense"]) for _ in range(60)) for _ in range(200)]
     rows = [(i, t + (" " + keys[i] if i < 60 else "")) for i, t in enumerate(prose)]
@@ -365,29 +365,101 @@ def test_random_spans_against_brute_force(spark):
             own.insert(30, planted[i])
         rows.append((i, " ".join(own)))
     got = {r.doc_id: r.spans for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    # Counted over all texts in plain Python: pairs of symbols, tokens that pass the battery, scores, thresholds.
-    pairs = np.zeros(128 * 128)
-    for _, text in rows:
-        for a, b in zip(text, text[1:]):
-            pairs[128 * ord(a) + ord(b)] += 1
-    ratios, unseen = secrets.likelihood_ratios(pairs), secrets.likelihood_ratios(pairs, 0)
-    steps, where = Counter(), []
-    for i, text in rows:
-        for m in re.finditer(r"[A-Za-z0-9+/_-]{16,}", text):
-            kind, token = secrets.infer_kind(m.group())
-            if secrets.battery(token, secrets._INDEX[kind])[0] >= 0.001:
-                total = sum(ratios[kind][secrets._INDEX[kind][a], secrets._INDEX[kind][b]] for a, b in zip(token, token[1:]))
-                stratum = f"{kind}/{max(n for n in secrets.LENGTHS if n <= len(token))}"
-                step = int(10 * min(max(total, 0.0), 100))
-                steps[stratum, step] += 1
-                where.append((i, m.start(), m.end(), stratum, step))
-    histogram = pd.DataFrame([(s, k, n) for (s, k), n in steps.items()], columns=["stratum", "step", "n"])
-    least = secrets.thresholds(histogram, {s: secrets.ordinary_reach(unseen, s) for s in histogram.stratum.unique()})
-    want = {(i, f"random:{a}:{b}") for i, a, b, s, k in where if s in least and k >= least[s]}
+    want = plain_random_spans(rows)
     assert {(i, x) for i, spans in got.items() for x in spans.split(",") if x.startswith("random")} == want
     assert len({i for i, _ in want} & set(planted)) >= 27 and {i for i, _ in want} <= set(planted)
 
 
+def plain_battery(at, size):
+    """The three tests and Fisher's method, one token at a time."""
+    n, above = len(at), lambda z: 0.5 * math.erfc(z / math.sqrt(2))
+    chi = max(sum((c - n / size) ** 2 / (n / size) for c in [at.count(i) for i in range(size)]), 1e-9)
+    k = size - 1
+    p = [above(((chi / k) ** (1 / 3) - 1 + 2 / (9 * k)) / math.sqrt(2 / (9 * k)))]
+    high = [i >= size / 2 for i in at]
+    a, b = high.count(True), high.count(False)
+    mean, runs = 1 + 2 * a * b / n, 1 + sum(x is not y for x, y in zip(high, high[1:]))
+    var = (mean - 1) * (mean - 2) / (n - 1)
+    p.append(2.0 ** (1 - n) if not a * b else 2 * above(abs(runs - mean) / math.sqrt(var)) if var > 0 else 1.0)
+    m = sum(at) / n
+    square = sum((i - m) ** 2 for i in at)
+    r = sum((i - m) * (j - m) for i, j in zip(at, at[1:])) / square if square else 1.0
+    p.append(2 * above(abs(r) * math.sqrt(n)))
+    x = -sum(math.log(max(q, 1e-300)) for q in p)
+    return math.exp(-x) * (1 + x + x * x / 2)
+
+
+def plain_random_spans(rows):
+    """What the method reports, in plain Python: nothing but the module's constants is taken from it."""
+    alphabets = secrets.ENCODINGS | secrets.OTHERS
+    pairs = Counter(p for _, text in rows for p in zip(text, text[1:]))
+
+    def read(token):
+        if token.isdigit():
+            return "digits", token
+        if token.isalpha() and (token.isupper() or token.islower()):
+            return ("upper26" if token.isupper() else "lower26"), token
+        if token.isalpha() and token[1:].islower():
+            return "capitalised", token.lower()
+        return next(((k, token) for k, a in secrets.ENCODINGS.items() if set(token) <= set(a)), ("mixture", token))
+
+    def chances(kind, own):
+        """log10 of how much likelier each pair is among random symbols than in the corpus."""
+        symbols = alphabets[kind]
+        group = {s: "l" if s.islower() else "u" if s.isupper() else "d" if s.isdigit() else "o" for s in symbols}
+        moves, single = Counter(), Counter(symbols)
+        for a in symbols:
+            for b in symbols:
+                moves[group[a], group[b]] += pairs[a, b]
+                single[b] += pairs[a, b]
+        groups = set(group.values())
+        whole = {g: sum(moves[g, h] + 1 for h in groups) for g in groups}
+        mass = {g: sum(single[s] for s in symbols if group[s] == g) for g in groups}
+        out = {}
+        for a in symbols:
+            row = {b: max(pairs[a, b] - own, 0) + secrets.BACKOFF * (moves[group[a], group[b]] + 1) / whole[group[a]] * single[b] / mass[group[b]] for b in symbols}
+            total = sum(row.values())
+            out |= {(a, b): -math.log10(len(symbols) * w / total) for b, w in row.items()}
+        return out
+
+    known: dict = {}
+
+    def score(kind, token, own=1):
+        if (kind, own) not in known:
+            known[kind, own] = chances(kind, own)
+        ratio = sum(known[kind, own][p] for p in zip(token, token[1:]))
+        p = plain_battery([alphabets[kind].index(s) for s in token], len(alphabets[kind]))
+        return int(10 * min(max(ratio + math.log10(max(p, 1e-300)), 0), secrets.MOST_POWER))
+
+    found: dict = {}
+    for i, text in rows:
+        for m in re.finditer("[A-Za-z0-9+/_-]{16,}", text):
+            kind, token = read(m.group())
+            found.setdefault((kind, max(n for n in secrets.LENGTHS if n <= len(token))), []).append((score(kind, token), i, f"random:{m.start()}:{m.end()}"))
+    model, tails, reach = 10 / math.log(10), {}, {}
+    for (kind, n), own in found.items():
+        drawn = np.random.default_rng(0).integers(0, len(alphabets[kind]), (secrets.DRAWN, n))
+        scores = sorted(score(kind, "".join(alphabets[kind][j] for j in row), 0) for row in drawn)
+        reach[kind, n] = scores[int(secrets.APART * (len(scores) - 1))]
+        if low := [s + 0.5 for s, _, _ in own if 0 < s < reach[kind, n]]:
+            mean, top = sum(low) / len(low), reach[kind, n]
+            a, b = min(mean, top), float(top)
+            for _ in range(60):
+                mid = math.sqrt(a * b)
+                a, b = (mid, b) if mid - top / math.expm1(min(top / mid, 700)) < mean else (a, mid)
+            tails[kind, n] = (len(low), max(model, b))
+    lent = sum(n * spread / reach[x] for x, (n, spread) in tails.items()) / (sum(n for n, _ in tails.values()) + secrets.PRIOR)
+    want = set()
+    for x, own in found.items():
+        n, spread = tails.get(x, (0, 0.0))
+        spread = (n * spread + secrets.PRIOR * max(model, lent * reach[x])) / (n + secrets.PRIOR)
+        own.sort(reverse=True)
+        last = max((k for k, (s, _, _) in enumerate(own, 1) if math.exp(-s / spread) * len(own) <= secrets.FALSE_DISCOVERY_RATE * k), default=0)
+        least = own[last - 1][0] if last else math.inf
+        want |= {(i, span) for s, i, span in own if s >= least}
+    return want
+
+
 def test_queries_have_their_columns(spark):
     sf = "/root/testdata/sf0.001"
     n = spark.read.parquet(f"{sf}/documents.parquet").count()
