@@ -8,10 +8,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import pytest
 import sentencepiece
+import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 from tablewarden.llm import lm_score, mixing, pieces, quality, secrets
@@ -333,21 +334,40 @@ def test_ids_come_out_as_they_are(spark):
     assert coded.filter("merges_round_trip").count() == 5
 
 
+def plain_quality(docs, labels):
+    """Scores by the same method in plain Python; nothing but the module's constants is taken from it."""
+    key = lambda i: int.from_bytes(xxhash.xxh64_digest(i.to_bytes(8, "little"), seed=xxhash.xxh64_intdigest(b"quality", seed=42)), "big", signed=True)
+    known = sorted((key(i), y, i) for i, y in set(labels) if zlib.crc32(str(i).encode()) % 5 != 0)
+    texts = {i: (t or "").encode() for i, t in docs if t is not None and len(t.encode()) <= quality.SAMPLE_TEXT_BYTES}
+    sides = {y: [i for h, q, i in known if h % 2 == 0 and q == y][: quality.DICTIONARY_ROWS] for y in (1, 0)}
+    rest = [(i, y) for h, y, i in known if h % 2][: quality.CALIBRATION_ROWS]
+    cut = lambda t: [t[k : k + quality.PIECE] for k in range(0, len(t), quality.PIECE)]
+    pack = []
+    for y in (1, 0):
+        learned = zstandard.train_dictionary(quality.DICTIONARY_BYTES, [p for i in sides[y] if i in texts for p in cut(texts[i])])
+        pack.append(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(learned.as_bytes()), level=quality.LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False))
+
+    def gaps(raw):
+        good, bad = (sum(len(c.compress(p)) for p in cut(raw)) for c in pack)
+        return [1.0, (bad - good) / max(1, len(raw)), (bad - good) / max(1, bad + good)]
+
+    x, y = np.array([gaps(texts[i]) for i, _ in rest if i in texts]), np.array([v for i, v in rest if i in texts])
+    w = np.zeros(3)
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        w += np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + 1e-3 * np.eye(3), x.T @ (y - p) - 1e-3 * w)
+    return {i: 1 / (1 + math.exp(-max(-30, min(30, float(np.dot(gaps((t or "").encode()), w)))))) for i, t in docs}
+
+
 def test_quality_score_against_brute_force(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = {r.doc_id: r for r in quality.query(spark, "/root/testdata/sf0.01").collect()}
-    model = quality.fit(docs, labels.filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0))
-    pack = [quality._compressor(model[k]) for k in ("good", "bad")]
-    truth, right = dict(labels.select("doc_id", "quality").collect()), []
-    for i, text in docs.select("doc_id", "text").collect():
-        raw, sizes = (text or "").encode(), []
-        for c in pack:
-            sizes.append(sum(len(c.compress(raw[k : k + quality.PIECE])) for k in range(0, len(raw), quality.PIECE)))
-        gap = sizes[1] - sizes[0]
-        x = model["weights"][0] + model["weights"][1] * gap / max(1, len(raw)) + model["weights"][2] * gap / max(1, sum(sizes))
-        assert got[i].score == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, x)))), abs=1e-9)
+    truth = dict(labels.select("doc_id", "quality").collect())
+    want, right = plain_quality([tuple(r) for r in docs.select("doc_id", "text").collect()], list(truth.items())), []
+    assert set(got) == set(want)
+    for i, score in want.items():
         held = zlib.crc32(str(i).encode()) % 5 == 0
-        assert (got[i].held_out, got[i].predicted) == (held, int(got[i].score >= 0.3))
+        assert got[i].score == pytest.approx(score, abs=1e-6) and (got[i].held_out, got[i].predicted) == (held, int(got[i].score >= 0.3))
         if held and i in truth:
             right.append(got[i].predicted == truth[i])
     assert sum(right) >= 0.9 * len(right)
