@@ -1,4 +1,4 @@
-"""Screening of written answers: structure and claims (numbers against evidence are in quantities.py)."""
+"""The structure of written answers (claims are in claims.py, numbers against evidence in quantities.py)."""
 
 from __future__ import annotations
 
@@ -12,23 +12,6 @@ FIELD_LONGEST = {"observations": 500, "explanation": 2000, "limitations": 500, "
 #: What the parts of an answer may be, as the schema of a parsed value says.
 TYPES = {"observations": ("ARRAY<STRING>", "ARRAY<VOID>"), "explanation": ("STRING",), "limitations": ("ARRAY<STRING>", "ARRAY<VOID>"), "evidence_used": ("ARRAY<STRING>", "ARRAY<VOID>")}
 
-#: What a clause is split at, and per code the words that claim and the words of a clause that excuse.
-CLAUSES = r"[;.!?]+(?:\s+|$)|,\s+(?:but|however|although|though|while|not)\s+|,\s+|\s+but\s+"
-NEGATED = r"\b(no|not|cannot|without|lacks?|unavailable|never|nor)\b"
-CLAIMS = {
-    "CONFIRMATION_CLAIM": (
-        r"\b(confirms?|confirmed|confirming|proves?|proved|definitely|certainly|undoubtedly|unquestionably|clearly indicates|without a doubt|is certain)\b",
-        r"\b(not|no|cannot|would|needed to|require|rather than (?:a )?(?:confirmed|confirming))\b",
-    ),
-    "CONFIDENCE_CLAIM": (r"\b(confidence|probability|[0-9.]+ ?% sure|percent sure)\b", r"\b(no|not|without any)\b"),
-    "ASSERTIVE_CLASSIFICATION": (
-        r"\b(this|it|this traffic|this flow|the traffic|the flow) (?:is|was) (?:a|an) (?:dos|ddos|port scan|attack|brute force|bot|web attack)", r"\b(not|possible|possibly|may|might|could)\b",
-    ),
-    "INVENTED_NETWORK_DETAIL": (r"\b([0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}|port [0-9]+)\b|\b(syn flood|tcp|udp|syn|payloads?)\b", NEGATED),
-    "UNSUPPORTED_DATA_QUALITY_CLAIM": (r"\b(corrupted|corruption|physically impossible|measurement error)\b", r"\b(no|not|cannot)\b"),
-}
-#: Concrete network values are refused even if negated.
-CONCRETE = r"\b([0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}|port [0-9]+)\b"
 
 def structure_errors(answers: DataFrame, key: str, content: str, known_evidence: list[str]) -> DataFrame:
     """key, code: a row per rule that an answer breaks.
@@ -72,21 +55,3 @@ def structure_errors(answers: DataFrame, key: str, content: str, known_evidence:
         )
     )
     return parsed.select(key, F.explode(F.when(F.col("a").isNull(), F.array(F.lit("NOT_JSON"))).otherwise(codes)).alias("code"))
-
-
-def claim_flags(answers: DataFrame, key: str | list[str], text: str, noted: str | None = None) -> DataFrame:
-    """key, code of the claims that an answer makes: a clause that claims and neither negates nor hedges.
-
-    Where noted (a boolean column) says that a note on data quality was supplied, talking of quality is no claim.
-    """
-    keys = [key] if isinstance(key, str) else key
-    clauses = answers.select(*keys, (F.col(noted) if noted else F.lit(False)).alias("_noted"), F.explode(F.split(F.lower(text), CLAUSES)).alias("clause"))
-    codes = []
-    for code, (claim, excuse) in CLAIMS.items():
-        made = F.col("clause").rlike(claim) & ~F.col("clause").rlike(excuse)
-        if code == "INVENTED_NETWORK_DETAIL":
-            made = made | F.col("clause").rlike(CONCRETE)
-        if code == "UNSUPPORTED_DATA_QUALITY_CLAIM":
-            made = made & ~F.coalesce(F.col("_noted"), F.lit(False))
-        codes.append(F.when(made, F.lit(code)))
-    return clauses.select(*keys, F.explode(F.array_compact(F.array(*codes))).alias("code")).distinct()

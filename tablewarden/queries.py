@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewarden import views as V
-from tablewarden.operators import alerts, answers, contract, duplicates, evaluate, merkle, models, overlap, profile, quantities, splits
+from tablewarden.operators import alerts, answers, claims, contract, duplicates, evaluate, merkle, models, overlap, profile, quantities, splits
 from tablewarden.plans import runs
 from tablewarden.sources import tables
 
@@ -570,26 +570,33 @@ def answer_structure_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers.structure_errors(content, "row_id", "content", V.FEATURES)
 
 
-# What conversations say, with a sentence more that depends on the turn and its length.
-_SAID = """text || ' ' || CASE (length(text) + turn) % 9 WHEN 0 THEN 'The totals proved it' WHEN 1 THEN 'Nobody confirmed that, and it is not certain' WHEN 2 THEN 'A UDP burst, no payload'
-  WHEN 3 THEN 'The flow was an attack' WHEN 4 THEN 'I am ' || turn || ' % sure' WHEN 5 THEN 'Such a value is physically impossible' WHEN 6 THEN 'We cannot see port ' || length(text)
-  WHEN 7 THEN 'It might be normal, but it clearly indicates abuse' ELSE 'Nothing else' END || '.'"""
+# What conversations say, with a sentence more that depends on the turn and its length; which claim that makes is known.
+_SENTENCES = [
+    ("The totals proved it", "CONFIRMATION_CLAIM"), ("Nobody confirmed that, and it is not certain", None), ("A UDP burst, no payload", "INVENTED_NETWORK_DETAIL"), ("The flow was an attack", "ASSERTIVE_CLASSIFICATION"),
+    ("I am 80 % sure", "CONFIDENCE_CLAIM"), ("Such figures look corrupted to me", "UNSUPPORTED_DATA_QUALITY_CLAIM"), ("We cannot see port 4433", "INVENTED_NETWORK_DETAIL"),
+    ("It might be normal, but it clearly indicates abuse", "CONFIRMATION_CLAIM"), ("Nothing else", None), ("More logs would be needed to prove intent", None), ("There are no flags, payloads, or TCP details", None),
+    ("Payloads are not available, however SYN was set", "INVENTED_NETWORK_DETAIL"), ("Rather than a confirmed case, it looks routine", None), ("Rather than guess, this confirms abuse", "CONFIRMATION_CLAIM"),
+    ("The flow is possibly an attack", None), ("No sign of corruption, no measurement error", None), ("Payloads and SYN counts are unavailable", None),
+]
+_PICKED = f"(length(text) + turn) % {len(_SENTENCES)}"
+_SAID = "text || '. ' || CASE " + _PICKED + " " + " ".join(f"WHEN {i} THEN '{s}'" for i, (s, _) in enumerate(_SENTENCES)) + " END || '.'"
 
 
-def _claims_sql() -> str:
-    quoted = lambda x: "'" + x.replace("'", "''") + "'"
-    made = {c: f"regexp_matches(clause, {quoted(claim)}) AND NOT regexp_matches(clause, {quoted(excuse)})" for c, (claim, excuse) in answers.CLAIMS.items()}
-    made["INVENTED_NETWORK_DETAIL"] = f"({made['INVENTED_NETWORK_DETAIL']}) OR regexp_matches(clause, {quoted(answers.CONCRETE)})"
-    made["UNSUPPORTED_DATA_QUALITY_CLAIM"] += " AND NOT noted"
-    each = ", ".join(f"CASE WHEN {rule} THEN '{code}' END" for code, rule in made.items())
-    return f"""WITH clauses AS (SELECT conv_id, turn, role = 'user' AS noted, unnest(string_split_regex(lower({_SAID}), {quoted(answers.CLAUSES)})) AS clause FROM conversations),
-    found AS (SELECT conv_id, turn, unnest([{each}]) AS code FROM clauses) SELECT DISTINCT conv_id, turn, code FROM found WHERE code IS NOT NULL"""
-
-
-@query("answer_claim_flags", _claims_sql())
+@query(
+    "answer_claim_flags",
+    f"""WITH c AS (SELECT conv_id, turn, role, CASE {_PICKED} {' '.join(f"WHEN {i} THEN '{c}'" for i, (_, c) in enumerate(_SENTENCES) if c)} END AS code FROM conversations WHERE text IS NOT NULL)
+    SELECT DISTINCT conv_id, turn, code FROM c WHERE code IS NOT NULL AND NOT (code = 'UNSUPPORTED_DATA_QUALITY_CLAIM' AND role = 'user')""",
+)
 def answer_claim_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The SQL says what each sentence claims, not how that is found; conversations themselves make no claims."""
     said = V.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr(_SAID).alias("said"), (F.col("role") == "user").alias("noted"))
-    return answers.claim_flags(said, ["conv_id", "turn"], "said", "noted")
+    return claims.claim_flags(said, ["conv_id", "turn"], "said", "noted")
+
+
+@query("conversation_claims", "SELECT conv_id, turn, 'NONE' AS code FROM conversations WHERE false")
+def conversation_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as they stand: every row that comes out is a false alarm."""
+    return claims.claim_flags(V.table(spark, sf_dir, "conversations"), ["conv_id", "turn"], "text")
 
 
 # Sentences about a record's evidence: Flow Duration (s) is v, Flow Bytes/s (B/s) is user_id, Total Fwd Packets (packets) is row_id % 50.
