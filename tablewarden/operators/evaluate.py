@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tablewarden.functions.columns import count_if, ratio
 from tablewarden.operators.contract import ContractError
 
+#: Names of the binary classes, and below those of the columns and categories of a record.
 NORMAL, ATTACK = "NORMAL", "ATTACK"
 ROUND = 6
 
@@ -84,8 +85,33 @@ def pair_table(predictions: DataFrame) -> DataFrame:
     return predictions.groupBy("model_name", F.col("actual_attack_type").alias("actual"), F.col("predicted_attack_type").alias("predicted")).agg(F.count("*").alias("n"))
 
 
+def observe_pairs(frame: DataFrame, classes: list[str], model: str) -> tuple[DataFrame, Observation]:
+    """frame with its pair table counted along the way, whatever it is written to next."""
+    seen = Observation(f"pairs of {model}")
+    actual, said = F.col("actual_attack_type"), F.col("predicted_attack_type")
+    cells = [count_if((actual == a) & (said == b)).alias(f"{i},{j}") for i, a in enumerate(classes) for j, b in enumerate(classes)]
+    return frame.observe(seen, F.count(F.lit(1)).alias("n"), *cells), seen
+
+
+def observed_pairs(spark: SparkSession, seen: dict[str, Observation], classes: list[str]) -> DataFrame:
+    """The pair table of frames that were written once; a label outside classes is an error."""
+    rows = []
+    for model, observation in seen.items():
+        got = observation.get
+        cells = [(model, classes[int(k.split(",")[0])], classes[int(k.split(",")[1])], n) for k, n in got.items() if k != "n"]
+        if sum(c[3] for c in cells) != got["n"]:
+            raise ContractError(f"{got['n'] - sum(c[3] for c in cells)} predictions of {model} hold labels outside {classes}")
+        rows += [c for c in cells if c[3]]
+    return spark.createDataFrame(rows, "model_name string, actual string, predicted string, n long")
+
+
+def _pairs(predictions: DataFrame) -> DataFrame:
+    """A pair table as it is; predictions are counted."""
+    return predictions if predictions.columns == ["model_name", "actual", "predicted", "n"] else pair_table(predictions)
+
+
 def _per_class(predictions: DataFrame, classes: list[str]) -> DataFrame:
-    pairs = pair_table(predictions)
+    pairs = _pairs(predictions)
     side = lambda c, own, other: pairs.select("model_name", F.col(c).alias("class"), own.alias("tp"), F.col("n").alias(other))
     hit = F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0)
     rows = side("actual", hit, "support").withColumn("said", F.lit(0)).unionByName(side("predicted", F.lit(0), "said").withColumn("support", F.lit(0)))
@@ -126,21 +152,27 @@ def multiclass_summary(predictions: DataFrame, classes: list[str]) -> DataFrame:
 def confusion_matrix(predictions: DataFrame, classes: list[str]) -> DataFrame:
     """model_name, actual_attack_type, a column per predicted class; empty cells are 0, all classes have a row."""
     names = predictions.sparkSession.createDataFrame([(c,) for c in classes], "actual_attack_type string")
-    pairs = pair_table(predictions)
+    pairs = _pairs(predictions)
     blank = pairs.select("model_name").distinct().crossJoin(F.broadcast(names))
     cells = pairs.groupBy("model_name", F.col("actual").alias("actual_attack_type")).pivot("predicted", classes).agg(F.sum("n"))
     return blank.join(cells, ["model_name", "actual_attack_type"], "left").fillna(0, classes)
 
 
-def binary_metrics(predictions: DataFrame, run_mode: str = "full") -> DataFrame:
-    """Per model: tp, tn, fp, fn, six rates (0 where the denominator is), attack-to-attack errors and all errors."""
+def binary_metrics(predictions: DataFrame, run_mode: str = "full", normal: str | None = None) -> DataFrame:
+    """Per model: tp, tn, fp, fn, six rates (0 where the denominator is), attack-to-attack errors and all errors.
+
+    predictions may be a pair table, for which normal names the class that is no attack.
+    """
+    rows = predictions.withColumn("n", F.lit(1))
+    if normal:
+        rows = _pairs(predictions).withColumn("binary_error_type", binary_error_type(to_binary(F.col("actual"), normal), to_binary(F.col("predicted"), normal)))
+        rows = rows.withColumn("correct_multiclass_prediction", F.col("actual") == F.col("predicted"))
     kind = F.col("binary_error_type")
     wrong = ~F.col("correct_multiclass_prediction")
-    counts = predictions.groupBy("model_name").agg(
-        *[count_if(kind == k).alias(k.lower()) for k in ("TP", "TN", "FP", "FN")],
-        count_if(wrong & (kind == "TP")).alias("attack_to_attack_errors"),
-        count_if(wrong).alias("total_errors"),
-    )
+    total = lambda test: F.sum(F.when(test, F.col("n")).otherwise(0)).cast("long")
+    counts = rows.groupBy("model_name").agg(
+        *[total(kind == k).alias(k.lower()) for k in ("TP", "TN", "FP", "FN")], total(wrong & (kind == "TP")).alias("attack_to_attack_errors"), total(wrong).alias("total_errors"),
+    )
     tp, tn, fp, fn = map(F.col, ("tp", "tn", "fp", "fn"))
     rates = {
         "accuracy": ratio(tp + tn, tp + tn + fp + fn), "precision": ratio(tp, tp + fp), "recall": ratio(tp, tp + fn), "f1": ratio(2 * tp, 2 * tp + fp + fn),
@@ -152,13 +184,15 @@ def binary_metrics(predictions: DataFrame, run_mode: str = "full") -> DataFrame:
     )
 
 
-def model_comparison(predictions: DataFrame, classes: list[str], run_mode: str = "full", seconds: dict[str, tuple[float, float]] | None = None) -> DataFrame:
-    """A row per model: rows, multiclass and binary figures; with seconds, fit and predict times by model."""
+def model_comparison(
+    predictions: DataFrame, classes: list[str], run_mode: str = "full", seconds: dict[str, tuple[float, float]] | None = None, normal: str | None = None
+) -> DataFrame:
+    """A row per model: rows, multiclass and binary figures; with seconds, fit and predict times by model. normal as in binary_metrics."""
     multi = multiclass_summary(predictions, classes)
-    binary = binary_metrics(predictions, run_mode).drop("positive_class")
+    binary = binary_metrics(predictions, run_mode, normal).drop("positive_class")
     for c in ("accuracy", "precision", "recall", "f1"):
         binary = binary.withColumnRenamed(c, f"binary_{c}")
-    out = predictions.groupBy("model_name").agg(F.count("*").alias("n_rows")).join(multi, "model_name").join(binary, "model_name")
+    out = _pairs(predictions).groupBy("model_name").agg(F.sum("n").alias("n_rows")).join(multi, "model_name").join(binary, "model_name")
     if seconds:
         times = predictions.sparkSession.createDataFrame([(m, *t) for m, t in seconds.items()], "model_name string, fit_seconds double, predict_seconds double")
         out = out.join(F.broadcast(times), "model_name", "left")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from tablewarden.functions.columns import count_if
+from tablewarden.functions.scratch import materialise
 from tablewarden.operators import contract, duplicates, evaluate, models, overlap, profile, splits
 from tablewarden.sources import tables
 
@@ -26,18 +28,33 @@ def clean_table(df: DataFrame, label: str, row_id: str) -> dict[str, DataFrame]:
     }
 
 
-def run_metadata(train: DataFrame, validation: DataFrame, features: list[str], label: str, classes: list[str], normal: str, run_mode: str, parameters: dict[str, str]) -> DataFrame:
-    """One row: run_mode, counts, class distributions (maps), features, classes, normal class, parameters."""
+def observe_classes(df: DataFrame, label: str, classes: list[str], name: str) -> tuple[DataFrame, Observation]:
+    """df with its rows by class counted along the way, whatever it is written to next."""
+    seen = Observation(f"classes of {name}")
+    return df.observe(seen, F.count(F.lit(1)).alias("n"), *[count_if(F.col(label) == c).alias(c) for c in classes]), seen
 
-    def side(df: DataFrame, name: str) -> DataFrame:
-        counts = profile.class_distribution_ordered(df, label, classes).filter(F.col("n") > 0)
-        return counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias(f"n_{name}"), F.map_from_entries(F.array_sort(F.collect_list(F.struct(label, "n")))).alias(f"{name}_distribution"))
 
-    one = side(train, "train").crossJoin(side(validation, "validation"))  # one row each
+def _counts(df: DataFrame, label: str, classes: list[str]) -> dict[str, int]:
+    """Rows by class, a row per class from the table, and under None all rows with a label."""
+    rows = {r[label]: r.n for r in profile.class_distribution_ordered(df, label, classes).collect()}
+    return rows | {None: sum(rows.values())}
+
+
+def run_metadata(
+    train: DataFrame, validation: DataFrame, features: list[str], label: str, classes: list[str], normal: str, run_mode: str, parameters: dict[str, str], seen: tuple[dict, dict] | None = None
+) -> DataFrame:
+    """One row: run_mode, counts, class distributions (maps), features, classes, normal class, parameters.
+
+    seen has both tables' rows by class and under None their number, where they were counted while being written.
+    """
+    sides = dict(zip(("train", "validation"), seen or (_counts(train, label, classes), _counts(validation, label, classes))))
     listed = lambda xs: F.array(*map(F.lit, xs))
-    return one.select(
-        F.lit(run_mode).alias("run_mode"), "*", listed(features).alias("features"), listed(classes).alias("classes"), F.lit(normal).alias("normal_class"),
-        F.create_map(*[F.lit(str(x)) for kv in sorted(parameters.items()) for x in kv]).alias("parameters") if parameters else F.create_map().cast("map<string,string>").alias("parameters"),
+    kept = {name: {c: n for c, n in counts.items() if c is not None and n} for name, counts in sides.items()}
+    mapped = lambda counts, kind: F.create_map(*[F.lit(x) for kv in sorted(counts.items()) for x in kv]).cast(kind)
+    each = [e for name in sides for e in (F.lit(sides[name][None]).cast("long").alias(f"n_{name}"), mapped(kept[name], "map<string,bigint>").alias(f"{name}_distribution"))]
+    return train.sparkSession.range(1).select(
+        F.lit(run_mode).alias("run_mode"), *each, listed(features).alias("features"), listed(classes).alias("classes"), F.lit(normal).alias("normal_class"),
+        mapped({str(k): str(v) for k, v in parameters.items()}, "map<string,string>").alias("parameters"),
     )
 
 
@@ -45,9 +62,10 @@ def run_baseline(train, validation, label, row_id, classes, normal, names=("deci
     """(predictions, outputs): validate, audit the full tables, sample if asked (a smoke run), fit and score every model.
 
     outputs has error cases, report, confusion matrix, binary metrics, comparison, audit and metadata by name. Models are
-    checked before anything runs; the audit covers the full tables, before sampling. What a model is fitted on and its
-    predictions are kept (spark.catalog.clearCache lets them go), so that outputs score nothing twice and the seconds
-    are those of fitting and of scoring every row. failures is what the reader couldn't cast (contract.validate).
+    checked before anything runs; the audit covers the full tables, before sampling. Both tables and each model's predictions are
+    written once, to the shared folder; counts by class and the table of (actual, predicted) are observed while that is
+    done, so no figure takes a second pass, and the seconds are those of fitting and of scoring every row alone. failures is what the
+    reader couldn't cast (contract.validate).
     """
     for name in names:
         models.make_model(name)
@@ -60,30 +78,38 @@ def run_baseline(train, validation, label, row_id, classes, normal, names=("deci
     mode = "smoke" if sample else "full"
     if sample:
         train, validation = (splits.stratified_sample(d, label, row_id, n) for d, n in zip((train, validation), sample, strict=True))
-    train, validation = train.persist(), validation.persist()
-    predictions, seconds = None, {}
+    written, counts = [], []
+    for name, df in (("train", train), ("validation", validation)):
+        observed, seen = observe_classes(df, label, classes, name)
+        written.append(materialise(observed, f"run-{name}"))
+        got = seen.get
+        counts.append({c: got[c] for c in classes} | {None: got["n"]})
+    train, validation = written
+    predictions, seconds, observations = None, {}, {}
     for name in names:
         began = time.monotonic()
         fitted = models.fit(train, features, label, name)
         done = time.monotonic()
         scored = models.predict(fitted, validation, label)
-        frame = evaluate.prediction_frame(scored, row_id, label, "predicted", "confidence", normal, name, mode).persist()
-        frame.count()
+        frame = evaluate.prediction_frame(scored, row_id, label, "predicted", "confidence", normal, name, mode)
+        observed, observations[name] = evaluate.observe_pairs(frame, classes, name)
+        frame = materialise(observed, f"run-{name}")
         seconds[name] = (done - began, time.monotonic() - done)
         predictions = frame if predictions is None else predictions.unionByName(frame)
+    pairs = evaluate.observed_pairs(train.sparkSession, observations, classes)
     if annotation is not None:
         predictions = evaluate.annotate(predictions, annotation, row_id)
     outputs = {
         "error_cases": evaluate.error_cases(predictions, validation.select(row_id, *features), row_id),
-        "classification_report": evaluate.classification_report(predictions, classes, mode),
-        "confusion_matrix": tables.add_leading(evaluate.confusion_matrix(predictions, classes), run_mode=mode),
-        "binary_metrics": evaluate.binary_metrics(predictions, mode),
-        "model_comparison": evaluate.model_comparison(predictions, classes, mode, seconds),
+        "classification_report": evaluate.classification_report(pairs, classes, mode),
+        "confusion_matrix": tables.add_leading(evaluate.confusion_matrix(pairs, classes), run_mode=mode),
+        "binary_metrics": evaluate.binary_metrics(pairs, mode, normal),
+        "model_comparison": evaluate.model_comparison(pairs, classes, mode, seconds, normal),
         "audit_summary": overlap.audit_summary(both, features, label, "split", audit),
     }
-    about = run_metadata(train, validation, features, label, classes, normal, mode, {"models": ",".join(names)})
+    about = run_metadata(train, validation, features, label, classes, normal, mode, {"models": ",".join(names)}, tuple(counts))
     mapping = F.create_map(*[F.lit(x) for c in classes for x in (c, "NORMAL" if c == normal else "ATTACK")])
-    written = F.array(*[F.lit(x) for x in sorted([*outputs, "run_metadata"])])
+    named = F.array(*[F.lit(x) for x in sorted([*outputs, "run_metadata"])])
     whole = about.crossJoin(outputs["audit_summary"].select(F.struct("*").alias("audit")))  # one row each
-    outputs["run_metadata"] = whole.withColumns({"binary_mapping": mapping, "outputs": written})
+    outputs["run_metadata"] = whole.withColumns({"binary_mapping": mapping, "outputs": named})
     return predictions, outputs
