@@ -159,7 +159,8 @@ def forest(bucket: np.ndarray, probe: np.ndarray, fp: np.ndarray, max_distance:
     """A spanning forest (row, root row) of the verified links within each bucket; rows sorted by bucket, probes last.
 
     Links between an indexed row and any row of its bucket count. At most one edge a row comes out, however many
-    links a bucket has.
+    links a bucket has. Rows that are known to be connected aren't compared, so a dense bucket costs little more than its rows; one
+    of many rows without links costs all its pairs.
     """
     n = len(bucket)
     first = np.r_[True, bucket[1:] != bucket[:-1]] if n else np.zeros(0, bool)
@@ -190,11 +191,15 @@ def forest(bucket: np.ndarray, probe: np.ndarray, fp: np.ndarray, max_distance:
         indexed = s + np.flatnonzero(~probe[s:e])
         for i in range(0, len(indexed), block):
             rows = indexed[i : i + block]
-            for j in range(s, e, block):
-                cols = np.arange(j, min(e, j + block))
-                a, b = np.nonzero(np.bitwise_count(code[rows][:, None] ^ code[cols][None, :]) <= max_distance)
-                apart = root[rows[a]] != root[cols[b]]
-                join(rows[a[apart]], cols[b[apart]])
+            trees, sizes = np.unique(root[rows], return_counts=True)
+            main = trees[sizes.argmax()]  # rows of one tree needn't meet the rest of it: in a dense bucket that is nearly all
+            within = root[rows] == main
+            for own, others in ((rows[within], s + np.flatnonzero(root[s:e] != main)), (rows[~within], np.arange(s, e))):
+                for j in range(0, len(others) if len(own) else 0, block):
+                    cols = others[j : j + block]
+                    a, b = np.nonzero(np.bitwise_count(code[own][:, None] ^ code[cols][None, :]) <= max_distance)
+                    apart = root[own[a]] != root[cols[b]]
+                    join(own[a[apart]], cols[b[apart]])
     moved = np.flatnonzero(root != np.arange(n))
     return moved, root[moved]
 

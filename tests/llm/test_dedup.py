@@ -270,3 +270,27 @@ def test_exact_dedup_of_rows_that_repeat_often(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id string, text string").repartition(4)
     got = sorted((r.doc_id or "-", " ".join(r.text.split())) for r in exact_dedup.exact_dedup(docs).collect())
     assert [(i, t) for i, t in got if i != "-"] == [("x", "hot text"), ("z", "own")] and [t for i, t in got if i == "-"] == ["blank id", "no id", "no id"]
+
+
+def test_dense_bucket_costs_little(spark):
+    """100,000 fingerprints alike in 44 bits: one component, found in seconds; the same components as all pairs give on a part."""
+    import time
+
+    rng = np.random.default_rng(7)
+    codes = (np.int64(0x5A5) << 40) | rng.choice(1 << 20, 100_000, replace=False).astype(np.int64)
+    began = time.monotonic()
+    moved, root = simhash.forest(np.zeros(len(codes), np.int64), np.zeros(len(codes), bool), codes, 4)
+    assert time.monotonic() - began < 30 and len(moved) == len(codes) - 1 and (root == 0).all()
+    some = np.sort(rng.choice(1 << 44, 3000, replace=False)).astype(np.int64)
+    some[1::3] = some[::3][: len(some[1::3])] ^ 0b101
+    moved, root = simhash.forest(np.zeros(3000, np.int64), np.zeros(3000, bool), some, 4, block=64)
+    whole = np.arange(3000)
+    near = np.bitwise_count(some.view(np.uint64)[:, None] ^ some.view(np.uint64)[None, :]) <= 4
+    while True:
+        new = np.array([whole[near[i]].min() for i in range(3000)])
+        if (new == whole).all():
+            break
+        whole = new
+    got = np.arange(3000)
+    got[moved] = root
+    assert (got == whole).all()
