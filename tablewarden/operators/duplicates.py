@@ -6,6 +6,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewarden.functions.columns import count_if, display_hash, label_set, match_nulls
+from tablewarden.functions.repeats import FLAG, may_repeat
+
+#: What marked rows carry: rows of their (vector, label), labels of their vector.
+PAIR, LABELS = "__pair_rows", "__vector_labels"
+
+
+def marked(df: DataFrame, features: list[str], label: str) -> tuple[DataFrame, DataFrame]:
+    """(alone, met): rows whose vector no other row has, as they stand, and all others with PAIR and LABELS.
+
+    Only rows whose vector may repeat are shuffled, once, to meet the counts of their vector; those are combined on the map side first.
+    A few of them are alone after all and say so by their counts.
+    """
+    rows = may_repeat(df, features)
+    met = rows.filter(FLAG).drop(FLAG)
+    pairs = met.groupBy(*features, label).agg(F.count("*").alias(PAIR))
+    groups = pairs.groupBy(*features).agg(F.count(label).alias(LABELS))
+    marks = match_nulls(pairs, groups, features, "inner")
+    return rows.filter(~F.col(FLAG)).drop(FLAG), match_nulls(met, marks, [*features, label], "inner").select(*df.columns, PAIR, LABELS)
 
 
 def pair_counts(df: DataFrame, features: list[str], label: str) -> DataFrame:
@@ -28,13 +46,15 @@ def exact_duplicate_counts(df: DataFrame, features: list[str], label: str) -> Da
 
 def exact_duplicate_records(df: DataFrame, features: list[str], label: str) -> DataFrame:
     """All rows of groups of equal rows."""
-    return match_nulls(df, pair_counts(df, features, label).filter("n > 1").drop("n"), [*features, label], "left_semi")
+    _, met = marked(df, features, label)
+    return met.filter(F.col(PAIR) > 1).drop(PAIR, LABELS)
 
 
 def extra_duplicate_rows(df: DataFrame, features: list[str], label: str, row_id: str) -> DataFrame:
     """The copies after the first by row id."""
-    first = df.groupBy(*features, label).agg(F.min(row_id).alias("_first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
-    return match_nulls(df, first, [*features, label], "inner").filter(F.col(row_id) > F.col("_first")).drop("_first")
+    copies = exact_duplicate_records(df, features, label)
+    first = copies.groupBy(*features, label).agg(F.min(row_id).alias("__first"))
+    return match_nulls(copies, first, [*features, label], "inner").filter(F.col(row_id) > F.col("__first")).drop("__first")
 
 
 def by_class(records: DataFrame, label: str) -> DataFrame:
@@ -64,7 +84,8 @@ def group_size_histogram(df: DataFrame, features: list[str], label: str) -> Data
 
 def conflicting_records(df: DataFrame, features: list[str], label: str, with_hash: bool = False) -> DataFrame:
     """All rows of conflicting vectors, with a hash of the vector to show if wanted."""
-    out = match_nulls(df, conflicting_vectors(df, features, label).select(*features), features, "left_semi")
+    _, met = marked(df, features, label)
+    out = met.filter(F.col(LABELS) > 1).drop(PAIR, LABELS)
     return out.withColumn("vector_hash", display_hash(features)) if with_hash else out
 
 
@@ -76,7 +97,8 @@ def conflict_label_pairs(df: DataFrame, features: list[str], label: str, separat
 
 def drop_conflicting(df: DataFrame, features: list[str], label: str) -> DataFrame:
     """df without any row of a conflicting vector."""
-    return match_nulls(df, conflicting_vectors(df, features, label).select(*features), features, "left_anti")
+    alone, met = marked(df, features, label)
+    return alone.unionByName(met.filter(F.col(LABELS) <= 1).drop(PAIR, LABELS))
 
 
 def drop_extra_copies(df: DataFrame, features: list[str], label: str, row_id: str) -> DataFrame:
@@ -88,19 +110,30 @@ def drop_extra_copies(df: DataFrame, features: list[str], label: str, row_id: st
 
 def clean(df: DataFrame, features: list[str], label: str, row_id: str) -> DataFrame:
     """Conflicting vectors go first, then later copies; in this order no vector is left twice."""
-    return drop_extra_copies(drop_conflicting(df, features, label), features, label, row_id)
+    return clean_marked(*marked(df, features, label), features, label, row_id)
+
+
+def clean_marked(alone: DataFrame, met: DataFrame, features: list[str], label: str, row_id: str) -> DataFrame:
+    return alone.unionByName(drop_extra_copies(met.filter(F.col(LABELS) <= 1).drop(PAIR, LABELS), features, label, row_id))
 
 
 def clean_postcheck(df: DataFrame, features: list[str], label: str, row_id: str) -> DataFrame:
     """n_before, n_after_conflicts, n_after_dedup, n_exact_left, n_vectors_left; the last two must be 0."""
-    groups = vector_groups(df, features, label)
-    figures = groups.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("n_before"),
-        F.coalesce(F.sum(F.when(F.col("n_labels") <= 1, F.col("n"))), F.lit(0)).alias("n_after_conflicts"),
-    )
-    left = vector_groups(clean(df, features, label, row_id), features, label).agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("n_after_dedup"),
+    return postcheck_marked(*marked(df, features, label), features, label, row_id)
+
+
+def postcheck_marked(alone: DataFrame, met: DataFrame, features: list[str], label: str, row_id: str) -> DataFrame:
+    """The post-check from marked rows: what is alone has no copy anywhere, so only the others are grouped again."""
+    single = alone.agg(F.count("*").alias("_alone"))
+    figures = met.agg(F.count("*").alias("_met"), count_if(F.col(LABELS) <= 1).alias("_sound"))
+    kept = drop_extra_copies(met.filter(F.col(LABELS) <= 1).drop(PAIR, LABELS), features, label, row_id)
+    left = vector_groups(kept, features, label).agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("_kept"),
         F.coalesce(F.sum(F.when(F.col("most") > 1, F.col("n"))), F.lit(0)).alias("n_exact_left"),
         F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("n_vectors_left"),
     )
-    return figures.crossJoin(F.broadcast(left))  # one row each
+    one = single.crossJoin(F.broadcast(figures)).crossJoin(F.broadcast(left))  # one row each
+    return one.select(
+        (F.col("_alone") + F.col("_met")).alias("n_before"), (F.col("_alone") + F.col("_sound")).alias("n_after_conflicts"), (F.col("_alone") + F.col("_kept")).alias("n_after_dedup"),
+        "n_exact_left", "n_vectors_left",
+    )

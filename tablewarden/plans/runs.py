@@ -7,24 +7,32 @@ import time
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from tablewarden.functions.columns import count_if
+from tablewarden.functions.columns import count_if, display_hash
 from tablewarden.functions.scratch import materialise
 from tablewarden.operators import contract, duplicates, evaluate, models, overlap, profile, splits
 from tablewarden.sources import tables
 
 
 def clean_table(df: DataFrame, label: str, row_id: str) -> dict[str, DataFrame]:
-    """The record sets of a quality audit by name, and the cleaned table."""
+    """The record sets of a quality audit by name, and the cleaned table.
+
+    Rows whose vector may repeat are marked once, with one shuffle of them, and written to the shared folder; record sets are
+    filters on these, and rows that are alone stay where they are.
+    """
     features = profile.feature_columns(df, label, (row_id,))
+    alone, met = duplicates.marked(df, features, label)
+    met = materialise(met, "clean-marked")
+    plain = lambda rows: rows.drop(duplicates.PAIR, duplicates.LABELS)
+    conflicting = plain(met.filter(F.col(duplicates.LABELS) > 1))
     return {
         "missing": profile.missing_counts(df),
         "infinite": profile.infinite_counts(df),
         "class_distribution": profile.class_distribution(df, label),
-        "duplicate_records": duplicates.exact_duplicate_records(df, features, label),
-        "conflicting_records": duplicates.conflicting_records(df, features, label, with_hash=True),
-        "conflict_label_pairs": duplicates.conflict_label_pairs(df, features, label),
-        "clean": duplicates.clean(df, features, label, row_id),
-        "postcheck": duplicates.clean_postcheck(df, features, label, row_id),
+        "duplicate_records": plain(met.filter(F.col(duplicates.PAIR) > 1)),
+        "conflicting_records": conflicting.withColumn("vector_hash", display_hash(features)),
+        "conflict_label_pairs": duplicates.conflict_label_pairs(conflicting, features, label),
+        "clean": duplicates.clean_marked(alone, met, features, label, row_id),
+        "postcheck": duplicates.postcheck_marked(alone, met, features, label, row_id),
     }
 
 

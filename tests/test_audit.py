@@ -184,3 +184,35 @@ def test_clean_plan(spark):
     df = spark.createDataFrame([(0, 1, "a"), (1, 1, "a"), (2, 2, "b")], "row_id long, f int, label string")
     out = runs.clean_table(df, "label", "row_id")
     assert out["clean"].count() == 2 and out["duplicate_records"].count() == 2
+
+
+def test_marked_rows_give_the_record_sets_of_plain_grouping(spark):
+    """A vector that fills a third of the table, conflicts, copies, nulls and repeated row ids, with broadcasts by statistics off."""
+    import random
+    from collections import Counter
+
+    draw = random.Random(6)
+    rows = [(i, 1.0, "hot", "ab"[i % 50 == 0]) for i in range(300)] + [(300 + i, float(draw.randint(0, 400)), draw.choice(["x", "y", None]), draw.choice(["a", "b", None])) for i in range(600)]
+    rows += [(900, -1.0, "t", "a"), (900, -1.0, "t", "a"), (None, -2.0, "t", "a"), (None, -2.0, "t", "a")]
+    df = spark.createDataFrame(rows, "row_id long, f double, g string, label string").repartition(5)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = runs.clean_table(df, "label", "row_id")
+        got = {k: Counter(tuple(r)[:4] for r in out[k].collect()) for k in ("duplicate_records", "conflicting_records", "clean")}
+        check = out["postcheck"].first()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    pairs, labels = Counter(r[1:] for r in rows), {}
+    for r in rows:
+        labels.setdefault(r[1:3], set()).update({r[3]} - {None})
+    assert got["duplicate_records"] == Counter(r for r in rows if pairs[r[1:]] > 1)
+    assert got["conflicting_records"] == Counter(r for r in rows if len(labels[r[1:3]]) > 1)
+    sound = [r for r in rows if len(labels[r[1:3]]) <= 1]
+    assert Counter(r[1:] for r in got["clean"].elements()) == Counter(dict.fromkeys((r[1:] for r in sound), 1))
+    first = {}
+    for r in sound:
+        if r[0] is not None:
+            first[r[1:]] = min(first.get(r[1:], r[0]), r[0])
+    assert all(r[0] == first[r[1:]] for r in got["clean"] if r[1:] in first)
+    assert (check.n_before, check.n_after_conflicts, check.n_after_dedup, check.n_exact_left) == (len(rows), len(sound), len(set(r[1:] for r in sound)), 0)
