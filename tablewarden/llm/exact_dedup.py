@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablewarden.functions.repeats import FLAG, flag_keys
 from tablewarden.llm.common import materialise, number_of_parts, one_space, table
 
 PREFIX_CHARS = 64
-#: Surviving (length, prefix) groups are folded into numbered slots, so many for each group that few others share one at
-#: any size of the table. Up to MOST_SENT slots the set is sent to all tasks; a larger one is joined by a shuffle.
-SLOTS_PER_GROUP, LEAST_SLOTS, MOST_SENT = 8, 1 << 16, 1 << 20
 #: Rows that repeat one id and text are spread over so many tasks that each has about this many of them.
 ROWS_PER_SALT = 20_000
 
@@ -29,23 +27,15 @@ def _shared(sketch: DataFrame) -> DataFrame:
     return materialise(prefixes.select("_len", "_prefix"), "exact-prefixes")
 
 
-def _slots(groups: int) -> int:
-    return max(LEAST_SLOTS, 1 << (SLOTS_PER_GROUP * groups).bit_length())
-
-
 def _survivors(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
     """_id, _short (hash of the normalised text), text_sha256 of the rows that share length and prefix with another row.
 
-    Only these rows get a full hash, and few others: those that share a slot with them.
+    Only these rows get a full hash, and few others: those whose (length, prefix) falls on a bit of these. Texts stay where they are.
     """
     shared = _shared(_sketch(docs, text_col, id_col))
-    n = _slots(shared.count())
-    slot = lambda length, prefix: F.pmod(F.xxhash64(length, prefix), F.lit(n))
-    slots = materialise(shared.select(slot(F.col("_len"), F.col("_prefix")).alias("_slot")).distinct(), "exact-slots")
-    rows = docs.select(F.col(id_col).alias("_id"), one_space(F.col(text_col)).alias("_flat")).withColumn(
-        "_slot", slot(F.length("_flat"), F.xxhash64(F.substring("_flat", 1, PREFIX_CHARS)))
-    )
-    rows = rows.join(F.broadcast(slots) if n <= MOST_SENT else slots, "_slot", "left_semi")
+    rows = docs.select(F.col(id_col).alias("_id"), one_space(F.col(text_col)).alias("_flat"))
+    group = F.xxhash64(F.length("_flat"), F.xxhash64(F.substring("_flat", 1, PREFIX_CHARS)))
+    rows = flag_keys(rows, group, shared.select(F.xxhash64("_len", "_prefix").alias("k"))).filter(FLAG)
     return materialise(rows.select("_id", F.xxhash64("_flat").alias("_short"), F.sha2("_flat", 256).alias("text_sha256")), "exact-survivors")
 
 
@@ -113,7 +103,8 @@ def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
     counted = grouped.groupBy(name("_id").alias("_key"), F.col("_short").alias("_hash"), "_first").count()
     dropped = materialise(counted.filter("NOT _first OR (_key != '' AND count > 1)"), "exact-dropped")
     whole = docs.select(F.struct(*docs.columns).alias("_row"), name(id_col).alias("_key"), F.xxhash64(one_space(F.col(text_col))).alias("_hash"))
-    kept = whole.join(dropped, ["_key", "_hash"], "left_anti").select("_row")
+    listed = flag_keys(whole, F.xxhash64("_key", "_hash"), dropped.select(F.xxhash64("_key", "_hash").alias("k")))
+    kept = listed.filter(~F.col(FLAG)).select("_row").unionByName(listed.filter(FLAG).join(dropped, ["_key", "_hash"], "left_anti").select("_row"))
     repeated = dropped.filter("_first").select("_key", "_hash", "count")
     if most := repeated.agg(F.max("count")).first()[0]:
         salts = number_of_parts(most, ROWS_PER_SALT)

@@ -13,6 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablewarden.functions.repeats import FLAG, flag_keys
 from tablewarden.llm.common import materialise, number_of_parts, table
 from tablewarden.llm.components import connected_components
 
@@ -289,14 +290,17 @@ def simhash_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
 
     Ids are compared with the text's hash, so of rows that repeat an id each stays or goes by its own component. Rows
     without an id come after all others; among rows alike in that, the smallest hash stays. Rows alike in id (or
-    without one) and text stay or go together. An empty table gives no rows.
+    without one) and text stay or go together. An empty table gives no rows. Only rows that may go, by bitmaps of what goes, are dealt
+    out by id; the others stay where they are.
     """
     found = _components(docs, text_col, id_col, max_distance)
     name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))  # noqa: E731  no id is an empty text
     gone = ~(F.col("id").eqNullSafe(F.col("component_id")) & (F.col("_hash") == F.col("_keep._hash")))
     dropped = materialise(found.filter(gone).select(name("id").alias("_key"), "_hash").distinct(), "simhash-dropped")
     whole = docs.select(F.struct("*").alias("_row"), name(id_col).alias("_key"), F.xxhash64(text_col).alias("_hash"))
-    return whole.join(dropped, ["_key", "_hash"], "left_anti").select("_row.*")
+    listed = flag_keys(whole, F.xxhash64("_key", "_hash"), dropped.select(F.xxhash64("_key", "_hash").alias("k")))
+    kept = listed.filter(FLAG).join(dropped, ["_key", "_hash"], "left_anti").select("_row")
+    return kept.union(listed.filter(~F.col(FLAG)).select("_row")).select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

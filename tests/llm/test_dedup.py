@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tablewarden.functions import repeats
 from tablewarden.llm import exact_dedup, line_dedup, simhash
 from tablewarden.llm.components import connected_components
 
@@ -230,13 +231,29 @@ def test_lines_of_repeated_ids_and_taken_names(spark):
 
 
 def test_few_rows_get_their_full_hash_at_any_size(spark, monkeypatch):
-    monkeypatch.setattr(exact_dedup, "LEAST_SLOTS", 1)
+    """The bitmaps let few rows through that are alone, at both sizes; where they are full all pass, and nothing else changes."""
     shares = []
-    for n, sent in ((400, 1 << 20), (6400, 1 << 20), (6400, 1)):
-        monkeypatch.setattr(exact_dedup, "MOST_SENT", sent)
+    for n, bits in ((400, 1 << 31), (12800, 1 << 31), (12800, repeats.PAGE)):
+        monkeypatch.setattr(repeats, "MOST_BITS", bits)
+        monkeypatch.setattr(repeats, "BITS_A_KEY", 16 if bits > repeats.PAGE else 1)
         docs = make(spark, [f"{i:08} text of one length" for i in range(n)] + [f"{i:08} text of one length" for i in range(n // 20)])
         shares.append(exact_dedup._survivors(docs, "text", "doc_id").count() / docs.count())
-    assert all(0.09 < s < 0.3 for s in shares) and abs(shares[0] - shares[1]) < 0.05 and shares[1] == shares[2]
+        assert exact_dedup.exact_dedup(docs).count() == n
+    assert all(0.09 < s < 0.2 for s in shares)
+
+
+def test_no_join_shuffles_texts(spark):
+    """With broadcasts by statistics off, rows that aren't listed as copies go through no exchange."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = make(spark, [f"text {i % 900}" for i in range(1000)])
+        kept = exact_dedup.exact_dedup(docs)
+        assert kept.count() == 900 and kept.select("text").distinct().count() == 900
+        first = kept._jdf.queryExecution().executedPlan().toString().split("Union", 1)[1].split("LeftAnti", 1)[0]
+        assert "BroadcastHashJoin" in first and "hashpartitioning(_key" not in first
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
 def test_queries_of_dedup(spark):
