@@ -11,11 +11,13 @@ from tablewarden.llm.common import materialise, number_of_parts, table
 
 K = 20
 #: Pivots are a bounded sample of the vectors; every vector is indexed by its PREFIX nearest pivots in order.
-PIVOTS = 1024
-PREFIX = 64
+PIVOTS = 4096
+PREFIX = 48
 #: Of each shard, a query reranks exactly this share of the distinct vectors, at least RERANK_LEAST of them.
 RERANK_SHARE, RERANK_LEAST = 0.15, 128
 SHARD_VECTORS, QUERY_BLOCK = 5000, 1000
+#: Vectors that meet all pivots at once.
+INDEXED_AT_ONCE = 500
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -83,8 +85,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "ve
         p = held.value
         for rows in batches:
             x = np.stack([np.asarray(v, np.float64) for v in rows.embedding]) if len(rows) else np.zeros((0, p.shape[1]))
-            perm = nearest_pivots(x, p, min(PREFIX, len(p)))
-            yield pd.DataFrame({"vec_id": rows.vec_id, "x": [r.tobytes() for r in x], "perm": [r.tobytes() for r in perm]})
+            perm = [nearest_pivots(x[k : k + INDEXED_AT_ONCE], p, min(PREFIX, len(p))) for k in range(0, len(x), INDEXED_AT_ONCE)]
+            yield pd.DataFrame({"vec_id": rows.vec_id, "x": [r.tobytes() for r in x], "perm": [r.tobytes() for part in perm for r in part]})
 
     schema = "vec_id long, x binary, perm binary"
     n, m = kept.count(), asked.count()
