@@ -129,7 +129,8 @@ def mix(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_
     without an id are told apart by these and spread by them. A document of which the mix takes t of n words comes
     round(t / n) times. Rows alike in id (or without one), text and source share their copies evenly; only where that
     leaves a remainder are they numbered: rows within salted parts of a group, which are written once, behind the rows
-    of the parts before.
+    of the parts before. Which of them gets one copy more hangs on the layout, so reruns may differ in that where their other
+    columns differ. An empty table gives no rows.
     """
     plan = _plan(docs, text_col, id_col, source_col, **options)
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))  # noqa: E731  rows without an id are told apart by the hashes

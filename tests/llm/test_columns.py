@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tablewarden.llm import exact_dedup, lm_score, mixing, pieces, pii, quality, ranked, secrets, simhash
+from tablewarden.llm import exact_dedup, lm_score, mixing, pieces, pii, quality, ranked, registry, secrets, simhash
 
 #: Names that the operators use or used inside, in several cases.
 NAMES = [
@@ -78,3 +78,22 @@ def test_stages_of_empty_tables(spark):
     none, unlabelled = docs.limit(0), labels.limit(0)
     for out in (quality.quality_filter(none, unlabelled), exact_dedup.exact_dedup(none), simhash.simhash_dedup(none), mixing.mix(none), pieces.encode_stage(none)):
         assert out.count() == 0
+
+
+def test_queries_have_their_columns_and_rows(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = {t: spark.read.parquet(f"{sf}/{t}.parquet").count() for t in ("documents", "pages", "embeddings")}
+    long, text = "bigint", "string"
+    wanted = {
+        "op2_line_dedup": ({"doc_id": long, "n_lines": long, "n_kept": long, "kept_sha256": text}, rows["documents"]),
+        "op4_sentencepiece": ({"doc_id": long, "n_tokens": long, "ids_sha256": text, "round_trip": "boolean", "lattice_tokens": long, "lattice_sha256": text, "lattice_round_trip": "boolean"}, rows["documents"]),
+        "op8_warc_archives": ({"page_id": long, "payload_bytes": long, "payload_digest": text, "record_type": text, "refers_to": long}, rows["pages"]),
+        "op9_nearest_neighbours": ({"query_id": long, "rank": "int", "vec_id": long, "score": "double"}, None),
+        "op11_centroid_clustering": ({"vec_id": long, "cluster": "int", "distance": long, "cluster_inertia": long, "inertia": long, "centroid_sha256": text}, rows["embeddings"]),
+        "op12_ranked_search": ({"item_id": long, "rank": "int", "doc_id": long, "score": long}, None),
+        "op13_pii": ({"doc_id": long, "n_email": long, "n_ip": long, "n_card": long, "n_phone": long, "base_sha256": text, "spans": text}, rows["documents"]),
+    }
+    for name, (columns, n) in wanted.items():
+        got = registry.QUERIES[name](spark, sf)
+        assert dict(got.dtypes) == columns, name
+        assert n is None or got.count() == n, name
