@@ -97,7 +97,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "ve
     visits = visits.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
 
     def visit(rows: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        asked_of, found_ids, found_scores = [], [np.zeros(0, np.int64)], [np.zeros(0)]
         if len(rows) and len(asking):
             rows = rows.sort_values("vec_id")
             groups = rows.groupby("x", sort=False)  # equal vectors are one entry of the index
@@ -123,8 +123,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "ve
                 scores = np.repeat(score, sizes)
                 scores, mine = scores[mine != query], mine[mine != query]
                 best = np.lexsort((mine, -scores))[:k]
-                out.append(pd.DataFrame({"query_id": query, "vec_id": mine[best], "score": scores[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+                asked_of.append((query, len(best)))
+                found_ids.append(mine[best])
+                found_scores.append(scores[best])
+        queries = np.repeat([q for q, _ in asked_of], [n for _, n in asked_of]) if asked_of else np.zeros(0, np.int64)
+        return pd.DataFrame({"query_id": queries, "vec_id": np.concatenate(found_ids), "score": np.concatenate(found_scores)})
 
     found = indexed.groupBy("shard", "block").cogroup(visits.groupBy("shard", "block")).applyInPandas(visit, "query_id long, vec_id long, score double")
     by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
