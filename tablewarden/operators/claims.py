@@ -88,7 +88,8 @@ def claim_flags(answers: DataFrame, key: str | list[str], text: str, noted: str
     plain = F.regexp_replace(F.lower(text), r"\b(e\.g|i\.e|etc)\.", " ")
     tokens = F.transform(F.regexp_extract_all(plain, F.lit(_TOKEN), F.lit(0)), lambda t: F.struct(t.alias("t"), _classes(t).alias("c")))
     no, zero = F.lit(False), F.lit(0)
-    start = F.struct(no.alias("negated"), no.alias("hedged"), zero.alias("rather"), zero.alias("subject"), zero.alias("waiting"), zero.alias("said"), F.lit("").alias("p1"), F.lit("").alias("p2"))
+    numbers = [zero.alias(name) for name in ("rather", "subject", "waiting", "said")]
+    start = F.struct(no.alias("negated"), no.alias("hedged"), *numbers, F.lit("").alias("p1"), F.lit("").alias("p2"))
     said = F.aggregate(tokens, start, _step, lambda acc: acc["said"].bitwiseOR(acc["waiting"]))
     excused = F.coalesce(F.col(noted), no) if noted else no
     rows = answers.select(*keys, F.when(excused, said.bitwiseAND(F.lit(~_QUALITY))).otherwise(said).alias("_said"))

@@ -77,7 +77,10 @@ def place(df: DataFrame, group: str, row_id: str, seed: int, wanted: dict, out:
     table = [(g, *[cuts.get((g, name)) for name in names]) for g in wanted]
     held = spark.createDataFrame(table, f"_g {kind}, " + ", ".join(f"c{i} {entry}" for i in range(len(names))))  # a row per group
     met = match_nulls(whole, F.broadcast(held), ["_g"], "left")
-    at = lambda i, tie: F.when(F.col("_key") < F.col(f"c{i}.key"), F.lit(names[i])).when((F.col("_key") == F.col(f"c{i}.key")) & (tie <= F.col(f"c{i}.take")), F.lit(names[i]))
+
+    def at(i: int, tie: Column) -> Column:
+        cut = F.col(f"c{i}.key")
+        return F.when((F.col("_key") < cut) | ((F.col("_key") == cut) & (tie <= F.col(f"c{i}.take"))), F.lit(names[i]))
 
     def part(tie: Column) -> Column:
         return F.coalesce(*[at(i, tie) for i in range(len(names))], F.lit("")).alias(out)

@@ -44,7 +44,8 @@ def tree(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     for level in range(1, ROOT + 1):
         below = levels[-1].select(_parent(level).alias("up"), "n", F.struct("node", "digest").alias("c"))
         joined = F.array_join(F.transform(F.array_sort(F.collect_list("c")), lambda c: F.concat_ws(":", c["node"].cast("string"), c["digest"])), ",")  # FANOUT at most
-        levels.append(below.groupBy("up").agg(F.sum("n").alias("n"), F.sha2(joined, 256).alias("digest")).select(F.lit(level).alias("level"), F.col("up").alias("node"), "n", "digest"))
+        above = below.groupBy("up").agg(F.sum("n").alias("n"), F.sha2(joined, 256).alias("digest"))
+        levels.append(above.select(F.lit(level).alias("level"), F.col("up").alias("node"), "n", "digest"))
     return materialise(reduce(DataFrame.unionByName, levels), "merkle")
 
 

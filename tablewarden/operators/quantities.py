@@ -6,10 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Small numbers in words, multipliers, seconds of units of time, vague counts as [least, greatest].
-ONES = ["zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen"]
+ONES = [
+    "zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine",
+    "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen",
+]
 TENS = ["twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety"]
 MULTIPLIERS = {"hundred": 1e2, "thousand": 1e3, "million": 1e6, "billion": 1e9, "trillion": 1e12}
-VAGUE = {"a couple of": (2.0, 2.0), "a few": (3.0, 9.0), "several": (3.0, 10.0), "dozens of": (24.0, 120.0), "some": (2.0, float("inf")), "many": (3.0, float("inf")), "for": (2.0, float("inf"))}
+VAGUE = {
+    "a couple of": (2.0, 2.0), "a few": (3.0, 9.0), "several": (3.0, 10.0), "dozens of": (24.0, 120.0),
+    "some": (2.0, float("inf")), "many": (3.0, float("inf")), "for": (2.0, float("inf")),
+}
 TIME = {
     r"(?i)n(ano)?s(ec(ond)?s?)?": 1e-9, r"(?i)(u|micro)s(ec(ond)?s?)?": 1e-6, r"(?i)m(illi)?s(ec(ond)?s?)?": 1e-3, r"(?i)s(ec(ond)?s?)?": 1.0,
     r"(?i)min(ute)?s?": 60.0, r"(?i)h(r|our)?s?": 3600.0, r"(?i)days?": 86400.0, r"(?i)weeks?": 604800.0, r"(?i)months?": 2629746.0, r"(?i)years?": 31557600.0,
@@ -166,6 +172,8 @@ def ungrounded(answers: DataFrame, keys: list[str], text: str, evidence: DataFra
         F.max(F.col("_named") & F.col("_fits")).alias("_own"), F.max("n_in_sentence").alias("_n"),
     ]
     judged = met.groupBy(*keys, "sentence", "place", "number", "dim", "low", "high").agg(*figures)
-    constant = (F.col("dim") == "") & F.coalesce(F.exists(F.array(*map(F.lit, map(float, constants))), lambda c: (c >= F.col("low")) & (c <= F.col("high"))), F.lit(False)) if constants else F.lit(False)
+    constant = F.lit(False)
+    for c in constants:
+        constant = constant | ((F.col("dim") == "") & F.lit(float(c)).between(F.col("low"), F.col("high")))
     good = F.when((F.col("_names") == 1) & (F.col("_n") == 1), F.col("_own")).otherwise(F.col("_any")) | constant
     return judged.filter(~good).select(*keys, "number").distinct()

@@ -130,14 +130,17 @@ def _level(rows: DataFrame, big: DataFrame, k: int, most: int, n_features: int,
     inside = Window.partitionBy(*node, "feature", "r").orderBy("x")
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     left = [(F.col(f"b{c}") + F.sum(f"c{c}").over(upto)).cast("double").alias(f"l{c}") for c in range(k)]
-    cuts = values.join(ranges, [*node, "feature", "r"]).select(*node, "order", "feature", "x", *left, F.coalesce(F.lead("x").over(inside), F.col("next_low")).alias("next")).filter("next IS NOT NULL")
+    following = F.coalesce(F.lead("x").over(inside), F.col("next_low")).alias("next")
+    cuts = values.join(ranges, [*node, "feature", "r"]).select(*node, "order", "feature", "x", *left, following).filter("next IS NOT NULL")
     total = rows.groupBy(*node).agg(*sums).select(*node, *[F.col(f"c{c}").cast("double").alias(f"t{c}") for c in range(k)])
     square = lambda cs: sum((c * c for c in cs[1:]), cs[0] * cs[0])
     whole = lambda cs: sum(cs[1:], cs[0])
     ls = [F.col(f"l{c}") for c in range(k)]
     rs = [F.col(f"t{c}") - F.col(f"l{c}") for c in range(k)]
     score = square(ls) / whole(ls) + square(rs) / whole(rs)
-    scored = cuts.join(F.broadcast(total.join(F.broadcast(big.select(*node)), node)), node).select(*node, "order", "feature", F.struct(score.alias("s"), (-F.col("x")).alias("x"), "next").alias("cut"))
+    wholes = total.join(F.broadcast(big.select(*node)), node)  # a row per node of many rows
+    cut = F.struct(score.alias("s"), (-F.col("x")).alias("x"), "next").alias("cut")
+    scored = cuts.join(F.broadcast(wholes), node).select(*node, "order", "feature", cut)
     each = scored.groupBy(*node, "feature").agg(F.first("order").alias("order"), F.max("cut").alias("cut"))  # a row per node and feature that isn't constant
     if most < n_features:
         place = F.array_position("order", F.col("feature"))
@@ -236,7 +239,8 @@ def probabilities(forest: Forest, df: DataFrame) -> DataFrame:
     k = len(forest.classes)
     vectors = materialise(df.select(_vector(forest.features).alias("f")).distinct(), "trees-asked")
     salts = max(1, -(-vectors.count() // PREDICTED_AT_ONCE))
-    rows = vectors.select(F.explode(F.sequence(F.lit(0), F.lit(forest.trees - 1))).alias("tree"), F.lit("").alias("path"), "f", F.pmod(F.xxhash64("f"), F.lit(salts)).cast("int").alias("salt"))
+    every_tree, salt = F.explode(F.sequence(F.lit(0), F.lit(forest.trees - 1))), F.pmod(F.xxhash64("f"), F.lit(salts)).cast("int")
+    rows = vectors.select(every_tree.alias("tree"), F.lit("").alias("path"), "f", salt.alias("salt"))
     for splits in forest.tops:
         rows = _descend(rows, splits, False)
     nodes = forest.nodes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
