@@ -29,10 +29,11 @@ def _lines(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
     flat = F.col(text_col)
     for blank in BLANKS:
         flat = flat if blank == "\n" else F.replace(flat, F.lit(blank), F.lit(" "))
-    flat = F.when(F.contains(flat, F.lit("  ")), F.regexp_replace(flat, "\x20{2,}", " ")).otherwise(flat)
     rows = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-    # The id and hash are columns before lines are dealt out, so that no line carries the text along.
+    # The id and hash are columns before lines are dealt out, so that no line carries the text along. Lines are taken apart before
+    # runs of spaces are looked for, so that a run costs its line, not its text.
     rows = rows.select(_document(id_col, text_col).alias("doc"), F.split(flat, "\n", -1).alias("lines")).select("doc", F.posexplode("lines").alias("no", "line"))
+    rows = rows.withColumn("line", F.when(F.contains("line", F.lit("  ")), F.regexp_replace("line", "\x20{2,}", " ")).otherwise(F.col("line")))
     return rows.withColumn("line", F.trim("line")).filter("line <> ''")
 
 
