@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,13 +28,16 @@ def _lines(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
 
     doc is the id and a hash of the text, so rows that repeat an id with another text are documents of their own.
     """
-    flat = F.col(text_col)
-    for blank in BLANKS:
-        flat = flat if blank == "\n" else F.replace(flat, F.lit(blank), F.lit(" "))
+    others = [blank for blank in BLANKS if blank != "\n"]
+    flat = F.col("line")
+    for blank in others:
+        flat = F.replace(flat, F.lit(blank), F.lit(" "))
+    any_other = reduce(lambda a, b: a | b, [F.contains("line", F.lit(blank)) for blank in others])
     rows = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
     # The id and hash are columns before lines are dealt out, so that no line carries the text along. Lines are taken apart before
-    # runs of spaces are looked for, so that a run costs its line, not its text.
-    rows = rows.select(_document(id_col, text_col).alias("doc"), F.split(flat, "\n", -1).alias("lines")).select("doc", F.posexplode("lines").alias("no", "line"))
+    # other white space is looked for, so that it costs its line, not its text; to look for a blank is cheaper than to replace it.
+    rows = rows.select(_document(id_col, text_col).alias("doc"), F.split(F.col(text_col), "\n", -1).alias("lines")).select("doc", F.posexplode("lines").alias("no", "line"))
+    rows = rows.withColumn("line", F.when(any_other, flat).otherwise(F.col("line")))
     rows = rows.withColumn("line", F.when(F.contains("line", F.lit("  ")), F.regexp_replace("line", "\x20{2,}", " ")).otherwise(F.col("line")))
     return rows.withColumn("line", F.trim("line")).filter("line <> ''")
 
@@ -44,11 +49,12 @@ def _key(line: Column) -> dict[str, Column]:
 
 def _halves(line: Column, n: Column) -> Column:
     """Keys of which two lines within one edit share one: the first half and the rest, as for the shorter line's length n or n - 1."""
-    out = []
+    out, raw, plain = [], line.cast("binary"), F.octet_length(line) == n
     for m in (n, n - 1):
-        half = F.floor(m / 2).cast("int")
-        out.append(F.xxhash64(F.lit("first"), m, F.left(line, half)))
-        out.append(F.xxhash64(F.lit("rest"), m, F.right(line, m - half)))
+        half, rest = F.floor(m / 2).cast("int"), F.ceil(m / 2).cast("int")
+        # Where each character is one byte, places in the bytes are known without a walk over the characters.
+        out.append(F.xxhash64(F.lit("first"), m, F.when(plain, F.substr(raw, F.lit(1), half)).otherwise(F.left(line, half).cast("binary"))))
+        out.append(F.xxhash64(F.lit("rest"), m, F.when(plain, F.substr(raw, n - rest + 1)).otherwise(F.right(line, rest).cast("binary"))))
     return F.array(*out)
 
 
