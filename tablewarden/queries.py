@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewarden import views as V
+from tablewarden.functions.numbering import numbered
 from tablewarden.operators import alerts, answers, claims, contract, duplicates, evaluate, merkle, models, overlap, profile, quantities, splits
 from tablewarden.plans import runs
 from tablewarden.sources import tables
@@ -509,8 +510,10 @@ def tamper_localised(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What was changed in a copy with changed, missing, repeated, fabricated, forged and moved rows and a wrong count, found by hash trees."""
     d = V.flows(spark, sf_dir)
     d.createOrReplaceTempView("tw_flows")
-    sql = _FORGED[len(_FLOWS) + 2 :].replace("flows", "tw_flows")
-    result = spark.sql(f"WITH {sql} SELECT * FROM moved")
+    sql = _FORGED[len(_FLOWS) + 2 : _FORGED.index(", placed AS")].replace("flows", "tw_flows")
+    placed = numbered(spark.sql(f"WITH {sql} SELECT * FROM forged"), [V.ROW, "v", "event_type"], "place")
+    place = F.col("place")
+    result = placed.withColumn("place", F.when(place % 500 == 10, place + 1).when(place % 500 == 11, place - 1).otherwise(place))
     return merkle.localise(d, result, V.ROW, ["user_id", "v", "event_type"], position="place", claimed={"processed": 12345})
 
 

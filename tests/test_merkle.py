@@ -1,8 +1,11 @@
 """Hash trees of tables, and what they say about a copy."""
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tablewarden import queries
+from tablewarden.functions.numbering import numbered
 from tablewarden.operators import alerts, evaluate, merkle
 
 FIELDS = ["x", "y"]
@@ -74,3 +77,21 @@ def test_error_cases_need_features(spark):
     assert [r.v for r in evaluate.error_cases(p, f).collect()] == [3.0]
     with pytest.raises(Exception, match="no features of record"):
         evaluate.error_cases(p, f.filter("row_id = 7")).collect()
+
+
+def test_rows_are_numbered_by_ranges(spark):
+    """As row_number does, but in many tasks; equal keys and nulls included."""
+    df = spark.range(20_000).select((F.col("id") * 7919 % 5003).alias("k"), F.when(F.col("id") % 11 != 0, F.col("id") % 13).alias("x"))
+    got = numbered(df, ["k", "x"], "at")
+    want = df.withColumn("at", F.row_number().over(Window.orderBy("k", "x")) - 1)
+    assert got.exceptAll(want).count() == 0 and got.count() == 20_000
+    assert numbered(df.limit(0), ["k"], "at").count() == 0
+    plan = numbered(df, ["k", "x"], "at")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
+
+
+def test_no_window_over_all_rows_in_tamper_localised(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(merkle, "localise", lambda source, result, *a, **k: seen.append(result) or result)
+    queries.QUERIES["tamper_localised"](spark, "/root/testdata/sf0.001")
+    assert "Window" not in seen[0]._jdf.queryExecution().optimizedPlan().toString()
