@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tablewarden.llm.common import materialise, table
+from tablewarden.llm.common import materialise, number_of_parts, table
 
 #: Base patterns by kind, in the order in which spans are listed. Possessive, and begun only where a run begins (or
 #: the last match ended), which finds the same spans in linear time and without recursion.
@@ -42,8 +44,8 @@ REACH = 16 * len(GENERATORS)
 CUES = ("mail|contact|write", "phone|tel|call|fax|mobile|ring", "card|visa|credit|pay|account", r"\bip\b|host|server|address|login")
 CONTEXT = 24
 
-#: The trees see at most so many distinct feature vectors of each class, half of them for training, half for calibration.
-SAMPLE_ROWS = 20_000
+#: Distinct feature vectors that one task of the training holds.
+PART_ROWS = 100_000
 ROUNDS, DEPTH, RATE = 20, 4, 0.3
 #: A generator's spans are taken down to the last score, in steps of 1 / STEPS, at which base spans cover so large a share of each step's
 #: candidates, and so many in all. The rest is mostly data written otherwise, so the share is no rate of errors.
@@ -210,24 +212,21 @@ def score_sql(model, f: str) -> str:
 def fit(found: DataFrame) -> tuple[str, dict[int, float]]:
     """(score as SQL over x.f, least score by kind), from all candidates: trees on one half of the documents, thresholds on the other.
 
-    Each half has at most SAMPLE_ROWS / 2 feature vectors of a class, chosen by hash. Without candidates of both classes no
-    score and no thresholds come out, and so no spans.
+    Every distinct feature vector of a half counts. Without candidates of both classes no score and no thresholds come out, and so
+    no spans.
     """
-    counted = materialise(labelled(found), "pii-labelled").withColumn("h", F.xxhash64(F.lit("pii"), "f"))
-    sample = None
-    for y in (0, 1):
-        for half in (0, 1):
-            part = counted.filter((F.col("y") == y) & (F.col("half") == half)).orderBy("h", "f").limit(SAMPLE_ROWS // 2)
-            sample = part if sample is None else sample.unionByName(part)
-    sample = materialise(sample.coalesce(1), "pii-sample")
-    rows = sample.groupBy("half").agg(F.countDistinct("y").alias("classes")).collect()  # two rows
-    if {r.half: r.classes for r in rows} != {0: 2, 1: 2}:
+    counted = materialise(labelled(found), "pii-labelled")
+    rows = {r.half: r for r in counted.groupBy("half").agg(F.count("*").alias("n"), F.countDistinct("y").alias("classes")).collect()}  # two rows
+    if {half: r.classes for half, r in rows.items()} != {0: 2, 1: 2}:
         return "0.0D", {}
-    train = sample.filter("half = 0").orderBy("h", "f", "y").coalesce(1)
+    train = counted.filter("half = 0").withColumn("h", F.xxhash64(F.lit("pii"), "f"))
+    train = train.repartition(number_of_parts(rows[0].n, PART_ROWS), "h").sortWithinPartitions("h", "f", "y")
     train = train.select(array_to_vector(F.col("f").cast("array<double>")).alias("features"), F.col("y").cast("double").alias("label"), (1 + F.log2("n")).alias("w"))
-    model = GBTClassifier(maxIter=ROUNDS, maxDepth=DEPTH, stepSize=RATE, maxBins=MOST + 1, seed=1, weightCol="w").fit(train)
+    # Spark ML takes its thresholds from maxBins ** 2 rows; features have MOST + 1 values at most, so with more bins each still gets its own.
+    bins = max(MOST + 1, math.isqrt(rows[0].n) + 1)
+    model = GBTClassifier(maxIter=ROUNDS, maxDepth=DEPTH, stepSize=RATE, maxBins=bins, seed=1, weightCol="w").fit(train)
     sql = score_sql(model, "x.f")
-    scored = sample.filter("half = 1").select(F.struct("f").alias("x"), "y", "n").select(F.expr(sql).alias("score"), F.col("x.f")[0].alias("kind"), "y", "n")
+    scored = counted.filter("half = 1").select(F.struct("f").alias("x"), "y", "n").select(F.expr(sql).alias("score"), F.col("x.f")[0].alias("kind"), "y", "n")
     levels = scored.groupBy("kind", F.floor(F.col("score") * STEPS).alias("step"))
     levels = levels.agg(F.min("score").alias("score"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("y")).alias("good"))
     down = Window.partitionBy("kind").orderBy(F.desc("step"))

@@ -248,3 +248,24 @@ def test_pii_of_little(spark):
     docs = spark.createDataFrame(rows, none.schema)
     assert sorted((r.doc_id or "", r.spans) for r in pii.find_pii(docs).collect()) == [("", "phone:5:20"), ("a", "email:0:6"), ("a", "email:0:6"), ("b", "")]
     assert sorted((r.doc_id or "", r.text) for r in pii.redact(docs).collect() if r.text) == [("", "call [phone]"), ("a", "[email]"), ("a", "[email]")]
+
+
+def test_pii_trees_see_every_feature_vector(spark, monkeypatch):
+    """More than 20,000 distinct vectors a class and half: all of them train, and all rows give thresholds."""
+    i = F.col("id")
+    f = F.array(*[((i / 32**p).cast("long") % 32).cast("int") if p < 4 else F.lit(0) for p in range(21)])
+    rows = spark.range(100_000).select((i % 2).cast("int").alias("half"), f.alias("f"), (F.shiftright(i, 1) % 2).cast("int").alias("y"), F.lit(1).cast("long").alias("n"))
+    seen = {}
+
+    class Stop(Exception):
+        pass
+
+    def fit(self, df):
+        seen["rows"], seen["bins"] = df.count(), self.getMaxBins()
+        raise Stop
+
+    monkeypatch.setattr(pii, "labelled", lambda found: rows)
+    monkeypatch.setattr(pii.GBTClassifier, "fit", fit)
+    with pytest.raises(Stop):
+        pii.fit(None)
+    assert seen["rows"] == 50_000 and seen["bins"] ** 2 >= 50_000
