@@ -17,29 +17,46 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewarden.functions.columns import match_nulls
-from tablewarden.functions.scratch import materialise
+from tablewarden.functions.scratch import materialise, scratch_path
 from tablewarden.operators.quantiles import range_of
 
-#: A node of at most so many rows (distinct vector and label) is grown in one task.
-SMALL_NODE = 100_000
+#: A node of at most so many rows (distinct vector and label) is grown in one task, of fewer if they hold more than CELLS values.
+SMALL_NODE, CELLS = 400_000, 20_000_000
 #: Leading bits of a value's fraction that tell ranges apart, within which values are put in order.
 RANGE_BITS = 12
 #: Vectors that one task predicts in one node.
-PREDICTED_AT_ONCE = 100_000
+PREDICTED_AT_ONCE = 250_000
 #: Poisson's distribution of mean 1: chances of at most 0, 1, 2, ... draws.
 DRAWS = list(itertools.accumulate(math.exp(-1) / math.factorial(k) for k in range(13)))
 NODES = "tree int, top string, path string, feature int, threshold double, p array<double>"
+PACKED = "tree int, top string, feature array<int>, threshold array<double>, at array<int>, classes array<int>, shares array<double>"
 
 
 @dataclass
 class Forest:
-    """nodes has a row per node: tree, top (the node of the first phase that it lies below), path, and either feature and threshold or p."""
+    """tops has the splits of the first phase by level, (tree, path) -> (feature, threshold); packed has what lies below each of its ends.
+
+    A row of packed is a subtree, its nodes breadth-first: feature (-1 in a leaf), threshold, and at: the left child's place (the right one
+    follows), in a leaf the place of its first entry in classes and shares, which hold only what is above 0.
+    """
 
     features: list[str]
     classes: list[str]
     trees: int
-    tops: list[dict]  # by level: (tree, path) -> (feature, threshold)
-    nodes: DataFrame
+    tops: list[dict]
+    packed: DataFrame
+
+    @property
+    def nodes(self) -> DataFrame:
+        """A row per node: tree, top (the node of the first phase that it lies below), path, and either feature and threshold or p."""
+        k = len(self.classes)
+
+        def each(batches):
+            for batch in batches:
+                for r in batch.itertuples():
+                    yield unpacked(r, k)
+
+        return self.packed.mapInPandas(each, NODES)
 
 
 def chance(seed: int, *parts) -> Column:
@@ -64,49 +81,117 @@ def feature_order(seed: int, tree: int, path: str, n: int) -> list[int]:
     return sorted(range(n), key=lambda f: _mix(seed, tree, len(path), at, f))
 
 
-def best_split(x: np.ndarray, y: np.ndarray, w: np.ndarray, k: int, order: list[int], most: int) -> tuple[int, float, float] | None:
-    """(feature, threshold, left value) of the split with the least Gini impurity, over the first most features in order that aren't constant.
+def _mixed(*parts) -> np.ndarray:
+    """_mix for arrays."""
+    h = np.array(0x9E3779B97F4A7C15, np.uint64)
+    for p in parts:
+        p = np.asarray(p & 0xFFFFFFFFFFFFFFFF if isinstance(p, int) else p).astype(np.uint64)
+        h = (np.atleast_1d(h ^ p)) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(29)
+    return h
 
-    Equal ones: the smaller feature, then the smaller threshold. None if no feature tells rows apart.
-    """
-    chosen = [f for f in order if x[:, f].min() < x[:, f].max()][:most]
-    best = None
-    for f in sorted(chosen):
-        at = np.argsort(x[:, f], kind="stable")
-        v = x[at, f]
-        counts = np.zeros((len(v), k))
-        counts[np.arange(len(v)), y[at]] = w[at]
-        left = counts.cumsum(axis=0)
-        cut = np.flatnonzero(v[:-1] < v[1:])
-        left, right = left[cut], left[-1] - left[cut]
-        s = (left * left).sum(axis=1) / left.sum(axis=1) + (right * right).sum(axis=1) / right.sum(axis=1)
-        i = int(s.argmax())
-        if best is None or s[i] > best[0]:
-            a, b = float(v[cut[i]]), float(v[cut[i] + 1])
-            best = (s[i], f, middle(a, b), a)
-    return best[1:] if best else None
-
-
-def middle(a: float, b: float) -> float:
+
+def chosen_features(varies: np.ndarray, most: int, seed: int, tree: int, depth: int, at: np.ndarray) -> np.ndarray:
+    """Which features each node of a level looks at: the first most of those that vary, in feature_order; at is the path as a number, modulo 2 ** 64."""
+    n = varies.shape[1]
+    if most >= n:
+        return varies
+    order = np.stack([_mixed(seed, tree, depth, at, f) for f in range(n)], axis=1).argsort(axis=1, kind="stable")
+    sorted_ = np.take_along_axis(varies, order, axis=1)
+    out = np.zeros_like(varies)
+    np.put_along_axis(out, order, sorted_ & (sorted_.cumsum(axis=1) <= most), axis=1)
+    return out
+
+
+def middle(a, b):
     m = a / 2 + b / 2
-    return m if a <= m < b else a
-
-
-def grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, k: int, tree: int, top: str, most: int, seed: int) -> list[tuple]:
-    """All nodes from top on down: (tree, top, path, feature, threshold, p)."""
-    out, stack = [], [(top, np.arange(len(y)))]
-    while stack:
-        path, rows = stack.pop()
-        counts = np.bincount(y[rows], weights=w[rows], minlength=k)
-        order = feature_order(seed, tree, path, x.shape[1]) if most < x.shape[1] else list(range(x.shape[1]))
-        split = best_split(x[rows], y[rows], w[rows], k, order, most) if (counts > 0).sum() > 1 else None
-        if split is None:
-            out.append((tree, top, path, None, None, (counts / counts.sum()).tolist()))
-            continue
-        f, threshold, _ = split
-        left = x[rows, f] <= threshold
-        out.append((tree, top, path, f, threshold, None))
-        stack += [(path + "0", rows[left]), (path + "1", rows[~left])]
+    return np.where((a <= m) & (m < b), m, a)
+
+
+def _best_cuts(code: np.ndarray, node: np.ndarray, y: np.ndarray, w: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(node, score, code before the cut, code behind it): each node's best cut of a feature, of equal ones the first; rows come with their node."""
+    by = (node * (int(code.max()) + 1) + code).argsort()
+    code, node = code[by], node[by]
+    weights = np.zeros((len(by), counts.shape[1]))
+    weights[np.arange(len(by)), y[by]] = w[by]
+    sums = weights.cumsum(axis=0)
+    cut = np.flatnonzero((code[:-1] < code[1:]) & (node[:-1] == node[1:]))
+    own = node[cut]
+    first = np.searchsorted(node, own)
+    left = sums[cut] - np.where((first > 0)[:, None], sums[first - 1], 0)
+    right = counts[own] - left
+    score = (left * left).sum(axis=1) / left.sum(axis=1) + (right * right).sum(axis=1) / right.sum(axis=1)
+    start = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+    top = np.repeat(np.maximum.reduceat(score, start), np.diff(np.r_[start, len(own)]))
+    at = np.flatnonzero(score == top)
+    at = at[np.r_[True, own[at][1:] != own[at][:-1]]]
+    return own[at], score[at], code[cut[at]], code[cut[at] + 1]
+
+
+def grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, k: int, tree: int, top: str, most: int, seed: int) -> tuple:
+    """The subtree from top on down as a row of packed: all nodes of a level at once, by the least Gini impurity.
+
+    Of equal splits the smaller feature, then the smaller threshold.
+    """
+    n = x.shape[1]
+    values, codes = zip(*(np.unique(x[:, f], return_inverse=True) for f in range(n)))
+    rows, node, n_nodes = np.arange(len(y)), np.zeros(len(y), np.int64), 1
+    path, depth, made, entries = np.array([int(top, 2) & 0xFFFFFFFFFFFFFFFF if top else 0], np.uint64), len(top), 0, 0
+    out: list[tuple] = []
+    while n_nodes:
+        made += n_nodes
+        counts = np.bincount(node * k + y[rows], weights=w[rows], minlength=n_nodes * k).reshape(n_nodes, k)
+        start = np.searchsorted(node, np.arange(n_nodes))
+        own = [c[rows] for c in codes]
+        varies = np.stack([np.minimum.reduceat(c, start) < np.maximum.reduceat(c, start) for c in own], axis=1)
+        chosen = chosen_features(varies & ((counts > 0).sum(axis=1) > 1)[:, None], most, seed, tree, depth, path)
+        score, feature = np.full(n_nodes, -np.inf), np.full(n_nodes, -1)
+        low, threshold = np.zeros(n_nodes, np.int64), np.full(n_nodes, np.nan)
+        for f in range(n):
+            if not chosen[:, f].any():
+                continue
+            part = np.flatnonzero(chosen[node, f])
+            r = rows[part]
+            at, s, a, b = _best_cuts(own[f][part], node[part], y[r], w[r], counts)
+            better = s > score[at]
+            at, a, b = at[better], a[better], b[better]
+            score[at], feature[at], low[at], threshold[at] = s[better], f, a, middle(values[f][a], values[f][b])
+        split = feature >= 0
+        held, cls = np.nonzero((counts > 0) & ~split[:, None])
+        place = np.where(split, made + 2 * (split.cumsum() - 1), entries + np.searchsorted(held, np.arange(n_nodes)))
+        out.append((feature, threshold, place, cls, counts[held, cls] / counts.sum(axis=1)[held]))
+        entries += len(held)
+        goes = np.flatnonzero(split[node])
+        rows, node, right = rows[goes], node[goes], np.zeros(len(goes), np.int64)
+        for f in range(n):
+            here = np.flatnonzero(feature[node] == f)
+            right[here] = codes[f][rows[here]] > low[node[here]]
+        child = 2 * (split.cumsum() - 1)[node] + right
+        by = child.argsort()
+        rows, node, n_nodes = rows[by], child[by], 2 * int(split.sum())
+        path, depth = (path[split][:, None] * np.uint64(2) + np.array([0, 1], np.uint64)).ravel(), depth + 1
+    return (tree, top, *(np.concatenate(part) for part in zip(*out)))
+
+
+def unpacked(r, k: int) -> pd.DataFrame:
+    """The nodes of a row of packed, with paths."""
+    feature, path = np.asarray(r.feature), [r.top] + [""] * (len(r.feature) - 1)
+    for i in np.flatnonzero(feature >= 0):
+        path[r.at[i]], path[r.at[i] + 1] = path[i] + "0", path[i] + "1"
+    shares = iter(shares_of(r, k).tolist())
+    p = [None if f >= 0 else next(shares) for f in feature]
+    out = pd.DataFrame({"tree": r.tree, "top": r.top, "path": path, "feature": pd.array(np.where(feature >= 0, feature, 0), "Int32"), "threshold": r.threshold, "p": p})
+    out.loc[feature < 0, "feature"] = pd.NA
+    out["threshold"] = out["threshold"].astype(object).where(feature >= 0, None)
+    return out
+
+
+def shares_of(r, k: int) -> np.ndarray:
+    """The class shares of the leaves of a row of packed, in order."""
+    start = np.asarray(r.at)[np.asarray(r.feature) < 0]
+    out = np.zeros((len(start), k))
+    out[np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(r.classes)])), np.asarray(r.classes, int)] = r.shares
     return out
 
 
@@ -120,9 +205,9 @@ def _level(rows: DataFrame, big: DataFrame, k: int, most: int, n_features: int,
     """(tree, path) -> (feature, threshold) of the best split of each node of big(tree, path, mask)."""
     node = ["tree", "path"]
     sums = [F.sum(F.when(F.col("y") == c, F.col("w")).otherwise(0)).alias(f"c{c}") for c in range(k)]
-    cells = rows.join(F.broadcast(big), node).select(*node, "order", "y", "w", F.posexplode("f").alias("feature", "x")).withColumn("r", range_of(F.col("x"), RANGE_BITS))
-    values = cells.groupBy(*node, "order", "feature", "r", "x").agg(*sums)
-    ranges = values.groupBy(*node, "order", "feature", "r").agg(*[F.sum(f"c{c}").alias(f"c{c}") for c in range(k)], F.min("x").alias("low"))
+    cells = rows.join(F.broadcast(big.select(*node)), node).select(*node, "y", "w", F.posexplode("f").alias("feature", "x")).withColumn("r", range_of(F.col("x"), RANGE_BITS))
+    values = materialise(cells.groupBy(*node, "feature", "r", "x").agg(*sums), "trees-values")
+    ranges = values.groupBy(*node, "feature", "r").agg(*[F.sum(f"c{c}").alias(f"c{c}") for c in range(k)], F.min("x").alias("low"))
     along = Window.partitionBy(*node, "feature").orderBy("r")
     before = along.rowsBetween(Window.unboundedPreceding, -1)
     ahead = [F.coalesce(F.sum(f"c{c}").over(before), F.lit(0)).alias(f"b{c}") for c in range(k)]
@@ -131,7 +216,7 @@ def _level(rows: DataFrame, big: DataFrame, k: int, most: int, n_features: int,
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     left = [(F.col(f"b{c}") + F.sum(f"c{c}").over(upto)).cast("double").alias(f"l{c}") for c in range(k)]
     following = F.coalesce(F.lead("x").over(inside), F.col("next_low")).alias("next")
-    cuts = values.join(ranges, [*node, "feature", "r"]).select(*node, "order", "feature", "x", *left, following).filter("next IS NOT NULL")
+    cuts = values.join(ranges, [*node, "feature", "r"]).select(*node, "feature", "x", *left, following).filter("next IS NOT NULL")
     total = rows.groupBy(*node).agg(*sums).select(*node, *[F.col(f"c{c}").cast("double").alias(f"t{c}") for c in range(k)])
     square = lambda cs: sum((c * c for c in cs[1:]), cs[0] * cs[0])
     whole = lambda cs: sum(cs[1:], cs[0])
@@ -140,13 +225,14 @@ def _level(rows: DataFrame, big: DataFrame, k: int, most: int, n_features: int,
     score = square(ls) / whole(ls) + square(rs) / whole(rs)
     wholes = total.join(F.broadcast(big.select(*node)), node)  # a row per node of many rows
     cut = F.struct(score.alias("s"), (-F.col("x")).alias("x"), "next").alias("cut")
-    scored = cuts.join(F.broadcast(wholes), node).select(*node, "order", "feature", cut)
-    each = scored.groupBy(*node, "feature").agg(F.first("order").alias("order"), F.max("cut").alias("cut"))  # a row per node and feature that isn't constant
+    scored = cuts.join(F.broadcast(wholes), node).select(*node, "feature", cut)
+    each = scored.groupBy(*node, "feature").agg(F.max("cut").alias("cut"))  # a row per node and feature that isn't constant
     if most < n_features:
+        each = each.join(F.broadcast(big), node)
         place = F.array_position("order", F.col("feature"))
         each = each.withColumn("at", F.row_number().over(Window.partitionBy(*node).orderBy(place))).filter(F.col("at") <= most)
     best = each.groupBy(*node).agg(F.max(F.struct(F.col("cut.s").alias("s"), (-F.col("feature")).alias("f"), "cut.x", "cut.next")).alias("b"))
-    return {(r.tree, r.path): (-r.b.f, middle(-r.b.x, r.b.next)) for r in best.collect()}  # a row per node of many rows
+    return {(r.tree, r.path): (-r.b.f, float(middle(-r.b.x, r.b.next))) for r in best.collect()}  # a row per node of many rows
 
 
 def fit(train: DataFrame, features: list[str], label: str, trees: int = 1, bootstrap: bool = False, most: int | None = None, seed: int = 42) -> Forest:
@@ -168,90 +254,132 @@ def fit(train: DataFrame, features: list[str], label: str, trees: int = 1, boots
     y = F.array_position(F.array(*map(F.lit, classes)), F.col("label")).cast("int") - 1
     rows = named.select(F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), F.lit("").alias("path"), "f", y.alias("y"), "w")
     if bootstrap:
-        u = chance(seed, "tree", "f", "y", "copy")
-        drawn = sum((F.when(u >= d, 1).otherwise(0) for d in DRAWS[1:]), F.when(u >= DRAWS[0], 1).otherwise(0))
-        copies = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("w")))).withColumn("w", drawn.cast("long"))
-        rows = copies.filter("w > 0").groupBy("tree", "path", "f", "y").agg(F.sum("w").alias("w"))
+
+        def drawn(u: Column) -> Column:
+            return sum((F.when(u >= d, 1).otherwise(0) for d in DRAWS[1:]), F.when(u >= DRAWS[0], 1).otherwise(0)).cast("long")
+
+        one = F.lit(1).cast("long")
+        each_copy = F.transform(F.sequence(one, F.col("w")), lambda copy: chance(seed, "tree", "f", "y", copy))
+        many = F.aggregate(each_copy, F.lit(0).cast("long"), lambda acc, u: acc + drawn(u))
+        rows = rows.withColumn("u", chance(seed, "tree", "f", "y", one))
+        rows = rows.withColumn("w", F.when(F.col("w") == 1, drawn(F.col("u"))).otherwise(many)).drop("u").filter("w > 0")
     rows = materialise(rows, "trees-rows")
     tops: list[dict] = []
-    small, leaves = None, []
+
+    def leaf(r) -> tuple:
+        held = [c for c in range(k) if r[f"c{c}"] > 0]
+        return (r.tree, r.path, [-1], [None], [0], held, [r[f"c{c}"] / sum(r[f"c{d}"] for d in held) for c in held])
+
+    small, groups, leaves = scratch_path(spark, "trees-small"), 0, []  # one table of all nodes that fit a task, whatever their level
+    at_most = max(1, min(SMALL_NODE, CELLS // len(features)))
+    columns = [F.get("f", F.lit(i)).alias(f"x{i}") for i in range(len(features))]
     while True:
         stats = rows.groupBy("tree", "path").agg(F.count("*").alias("n"), *[F.sum(F.when(F.col("y") == c, F.col("w")).otherwise(0)).alias(f"c{c}") for c in range(k)]).collect()
-        big = [r for r in stats if r.n > SMALL_NODE and sum(r[f"c{c}"] > 0 for c in range(k)) > 1]
-        pure = [r for r in stats if r.n > SMALL_NODE and sum(r[f"c{c}"] > 0 for c in range(k)) == 1]
-        few = [(r.tree, r.path) for r in stats if r.n <= SMALL_NODE]
-        share = lambda r: [r[f"c{c}"] / sum(r[f"c{d}"] for d in range(k)) for c in range(k)]
-        leaves += [(r.tree, r.path, r.path, None, None, share(r)) for r in pure]
+        big = [r for r in stats if r.n > at_most and sum(r[f"c{c}"] > 0 for c in range(k)) > 1]
+        pure = [r for r in stats if r.n > at_most and sum(r[f"c{c}"] > 0 for c in range(k)) == 1]
+        few = [(r.tree, r.path) for r in stats if r.n <= at_most]
+        leaves += [leaf(r) for r in pure]
         if few:
             part = rows.join(F.broadcast(spark.createDataFrame(few, "tree int, path string")), ["tree", "path"])
-            small = part if small is None else small.unionByName(part)
+            part.select("tree", "path", "y", "w", *columns).write.mode("append").parquet(small)
+            groups += len(few)
         if not big:
             break
         order = [(r.tree, r.path, feature_order(seed, r.tree, r.path, len(features))) for r in big]
         splits = _level(rows, spark.createDataFrame(order, "tree int, path string, order array<int>"), k, most, len(features), seed)
-        leaves += [(r.tree, r.path, r.path, None, None, share(r)) for r in big if (r.tree, r.path) not in splits]  # one vector, several labels
+        leaves += [leaf(r) for r in big if (r.tree, r.path) not in splits]  # one vector, several labels
         if not splits:
             break
         tops.append(splits)
-        rows = materialise(_descend(rows, splits, True), "trees-rows")
+        rows = materialise(_descend(rows, splits), "trees-rows")
 
     def each(group: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(group.f.to_numpy()).astype(np.float64)
-        found = grow(x, group.y.to_numpy(), group.w.to_numpy().astype(np.float64), k, int(group.tree.iloc[0]), group.path.iloc[0], most, seed)
-        return pd.DataFrame(found, columns=["tree", "top", "path", "feature", "threshold", "p"]).astype({"feature": "Int32"})
+        x = group[[f"x{i}" for i in range(len(features))]].to_numpy(np.float64)
+        row = grow(x, group.y.to_numpy(), group.w.to_numpy(np.float64), k, int(group.tree.iloc[0]), group.path.iloc[0], most, seed)
+        return pd.DataFrame([row], columns=["tree", "top", "feature", "threshold", "at", "classes", "shares"])
 
-    nodes = spark.createDataFrame(leaves, NODES)
-    if small is not None:
-        nodes = nodes.unionByName(small.groupBy("tree", "path").applyInPandas(each, NODES))
-    return Forest(features, classes, trees, tops, materialise(nodes, "trees-nodes"))
+    packed = spark.createDataFrame(leaves, PACKED)
+    if groups:
+        packed = packed.unionByName(spark.read.parquet(small).repartition(groups, "tree", "path").groupBy("tree", "path").applyInPandas(each, PACKED))
+    return Forest(features, classes, trees, tops, materialise(packed, "trees-packed"))
 
 
-def _descend(rows: DataFrame, splits: dict, only: bool) -> DataFrame:
-    """rows one level down where their node is split; with only, those alone."""
+def _descend(rows: DataFrame, splits: dict) -> DataFrame:
+    """The rows of the nodes that are split, one level down."""
     table = rows.sparkSession.createDataFrame([(t, p, f, x) for (t, p), (f, x) in splits.items()], "tree int, path string, _f int, _x double")
-    met = rows.join(F.broadcast(table), ["tree", "path"], "inner" if only else "left")  # a row per node of many rows
-    side = F.when(F.col("_f").isNull(), "").when(F.get("f", F.col("_f")) <= F.col("_x"), "0").otherwise("1")
+    met = rows.join(F.broadcast(table), ["tree", "path"])  # a row per node of many rows
+    side = F.when(F.get("f", F.col("_f")) <= F.col("_x"), "0").otherwise("1")
     return met.withColumn("path", F.concat("path", side)).drop("_f", "_x")
 
 
-def walk(nodes: pd.DataFrame, x: np.ndarray, k: int) -> np.ndarray:
-    """The class shares of the leaf that each row of x comes to, from the top that all nodes lie below."""
-    at = {p: i for i, p in enumerate(nodes.path)}
-    feature = nodes.feature.fillna(-1).to_numpy(int)
-    threshold = nodes.threshold.to_numpy(float)
-    left = np.array([at.get(p + "0", -1) for p in nodes.path])
-    right = np.array([at.get(p + "1", -1) for p in nodes.path])
-    shares = np.array([np.zeros(k) if p is None else np.asarray(p, float) for p in nodes.p]).reshape(-1, k)
-    here = np.full(len(x), at[nodes.top.iloc[0]])
+def walk(tree, x: np.ndarray, k: int) -> np.ndarray:
+    """The class shares of the leaf that each row of x comes to in a row of packed."""
+    feature, threshold, at = np.asarray(tree.feature), np.asarray(tree.threshold, float), np.asarray(tree.at)
+    here = np.zeros(len(x), np.int64)
     going = np.flatnonzero(feature[here] >= 0)
     while len(going):
         node = here[going]
-        here[going] = np.where(x[going, feature[node]] <= threshold[node], left[node], right[node])
+        here[going] = at[node] + (x[going, feature[node]] > threshold[node])
         going = going[feature[here[going]] >= 0]
-    return shares[here]
+    return shares_of(tree, k)[(feature < 0).cumsum()[here] - 1]
+
+
+def _tops(forest: Forest, vectors: DataFrame) -> DataFrame:
+    """(tree, path, id, x0, ...): for each tree the node of the first phase that a vector comes to."""
+    every_tree = F.explode(F.sequence(F.lit(0), F.lit(forest.trees - 1))).alias("tree")
+    rows = vectors.select(every_tree, F.lit("").alias("path"), *vectors.columns)
+    if not forest.tops:
+        return rows
+    splits = {at: split for level in forest.tops for at, split in level.items()}
+
+    def each(batches):
+        for batch in batches:
+            path = batch.path.to_numpy(object)
+            x = batch.drop(columns=["tree", "path", "id"]).to_numpy(float)
+            going = [(int(t), "", np.asarray(i)) for t, i in batch.groupby("tree").indices.items()]
+            while going:
+                t, p, i = going.pop()
+                if (t, p) not in splits:
+                    path[i] = p
+                    continue
+                f, threshold = splits[t, p]
+                left = x[i, f] <= threshold
+                going += [(t, p + side, part) for side, part in (("0", i[left]), ("1", i[~left])) if len(part)]
+            yield batch.assign(path=path)
+
+    return materialise(rows.mapInPandas(each, rows.schema), "trees-tops")
 
 
 def probabilities(forest: Forest, df: DataFrame) -> DataFrame:
     """(f, p) for each distinct vector of df: the mean over trees of its leaf's class shares.
 
-    Vectors go down the splits of the first phase by joins, and meet the rest of a tree in groups of at most about PREDICTED_AT_ONCE.
+    Vectors first go down the splits of the first phase, which every task has; then each subtree meets its own vectors, in groups of at
+    most about PREDICTED_AT_ONCE.
     """
-    k = len(forest.classes)
-    vectors = materialise(df.select(_vector(forest.features).alias("f")).distinct(), "trees-asked")
-    salts = max(1, -(-vectors.count() // PREDICTED_AT_ONCE))
-    every_tree, salt = F.explode(F.sequence(F.lit(0), F.lit(forest.trees - 1))), F.pmod(F.xxhash64("f"), F.lit(salts)).cast("int")
-    rows = vectors.select(every_tree.alias("tree"), F.lit("").alias("path"), "f", salt.alias("salt"))
-    for splits in forest.tops:
-        rows = _descend(rows, splits, False)
-    nodes = forest.nodes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    k, n = len(forest.classes), len(forest.features)
+    names = [f"x{i}" for i in range(n)]
+    vectors = df.select(_vector(forest.features).alias("f")).distinct().withColumn("id", F.monotonically_increasing_id())
+    vectors = materialise(vectors, "trees-asked")
+    rows = _tops(forest, vectors.select("id", *[F.get("f", F.lit(i)).alias(c) for i, c in enumerate(names)]))
+    asked = rows.groupBy("tree", "path").agg(F.ceil(F.count("*") / PREDICTED_AT_ONCE).cast("int").alias("salts"))
+    asked = materialise(asked, "trees-groups")  # a row per subtree
+    groups = asked.agg(F.coalesce(F.sum("salts"), F.lit(0))).first()[0]
+    rows = rows.join(F.broadcast(asked), ["tree", "path"]).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts").cast("long")).cast("int")).drop("salts")
+    trees = forest.packed.withColumnRenamed("top", "path").join(F.broadcast(asked), ["tree", "path"])
+    trees = trees.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    key = ["tree", "path", "salt"]
 
     def each(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if not len(own) or not len(asked):
-            return pd.DataFrame({"f": [], "p": []})
-        return pd.DataFrame({"f": asked.f, "p": list(walk(own, np.stack(asked.f.to_numpy()).astype(float), k))})
-
-    found = nodes.groupBy("tree", "top", "salt").cogroup(rows.groupBy("tree", "path", "salt")).applyInPandas(each, "f array<double>, p array<double>")
-    return found.groupBy("f").agg(*[F.avg(F.get("p", F.lit(c))).alias(f"p{c}") for c in range(k)]).select("f", F.array(*[f"p{c}" for c in range(k)]).alias("p"))
+            return pd.DataFrame({"id": []} | {f"p{c}": [] for c in range(k)})
+        p = walk(next(own.itertuples()), asked[names].to_numpy(float), k)
+        return pd.DataFrame({"id": asked.id.to_numpy()} | {f"p{c}": p[:, c] for c in range(k)})
+
+    parts = max(1, groups)
+    own, rows = trees.repartition(parts, *key), rows.repartition(parts, *key)
+    found = own.groupBy(*key).cogroup(rows.groupBy(*key)).applyInPandas(each, ", ".join(["id long", *[f"p{c} double" for c in range(k)]]))
+    means = found.groupBy("id").agg(*[F.avg(f"p{c}").alias(f"p{c}") for c in range(k)])
+    return vectors.join(means, "id").select("f", F.array(*[f"p{c}" for c in range(k)]).alias("p"))
 
 
 def predict(forest: Forest, df: DataFrame) -> DataFrame:

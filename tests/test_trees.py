@@ -2,7 +2,9 @@
 
 import math
 import random
+from types import SimpleNamespace
 
+import numpy as np
 import pytest
 
 from tablewarden.operators import models, trees
@@ -104,3 +106,16 @@ def test_models_by_name(spark):
         models.make_model("svm")
     with pytest.raises(ValueError, match="needs rows"):
         models.fit(df.limit(0), ["a"], "label", "decision_tree")
+
+
+@pytest.mark.parametrize("most", [2, 3])
+def test_deep_subtrees_are_stored_without_paths(most):
+    """A chain of 300 splits: what is stored and meets the rows to predict grows with the nodes, not with nodes times depth."""
+    n = 300
+    x = np.stack([np.arange(n, dtype=float)] * 3, axis=1)
+    row = trees.grow(x, np.arange(n) % 2, 2.0 ** np.minimum(np.arange(n), 40), 2, 0, "", most, 1)
+    r = SimpleNamespace(**dict(zip(["tree", "top", "feature", "threshold", "at", "classes", "shares"], row)))
+    assert sum(np.asarray(v).nbytes for v in row[2:]) < 100 * n and len(r.feature) == 2 * n - 1
+    paths = trees.unpacked(r, 2)
+    assert set(paths.path[1:].str[:-1]) <= set(paths.path) and paths.p.notna().sum() == n
+    assert (trees.walk(r, x, 2).argmax(axis=1) == np.arange(n) % 2).all()
