@@ -119,3 +119,50 @@ def test_deep_subtrees_are_stored_without_paths(most):
     paths = trees.unpacked(r, 2)
     assert set(paths.path[1:].str[:-1]) <= set(paths.path) and paths.p.notna().sum() == n
     assert (trees.walk(r, x, 2).argmax(axis=1) == np.arange(n) % 2).all()
+
+
+def test_forest_costs_no_row_per_tree_and_vector(spark, monkeypatch):
+    """What is written on the way has at most a row per vector and label, however many trees there are."""
+    df, rows = table(spark, random.Random(5), 400)
+    counts, write = {}, trees.materialise
+
+    def counted(rows, name):
+        out = write(rows, name)
+        counts[name] = max(counts.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(trees, "materialise", counted)
+    forest = trees.fit(df, ["u", "v", "w"], "label", trees=20, bootstrap=True, most=1)
+    assert trees.probabilities(forest, df).count() == len({r[:3] for r in rows})
+    assert max(counts.values()) <= len(set(rows)) and forest.nodes.select("tree").distinct().count() == 20
+
+
+@pytest.mark.parametrize("values,most", [(6, 1), (6, 3), (10**6, 1), (10**6, 3)])
+def test_blocks_of_nodes_equal_plain_recursion(monkeypatch, values, most):
+    """Few values are counted and many put in order; nodes are grown in blocks of any size."""
+    draw = random.Random(values + most)
+    rows = {(tuple(float(draw.randrange(values)) for _ in range(3)), draw.randrange(4)): draw.randint(1, 3) for _ in range(160)}
+    rows = [(x, y, w) for (x, y), w in rows.items()]
+    want = plain_tree(rows, 4, most, 2, 9)
+    for block in (1, 40, 10**6):
+        monkeypatch.setattr(trees, "ROWS_AT_ONCE", block)
+        got = trees.unpacked(trees.grow(np.array([x for x, _, _ in rows]), np.array([y for _, y, _ in rows]), np.array([w for _, _, w in rows]), 4, 2, "", most, 9), 4)
+        assert set(got.path) == set(want)
+        for r in got.itertuples():
+            assert (tuple(r.p) if r.p is not None else (r.feature, r.threshold)) == pytest.approx(tuple(want[r.path])), r.path
+
+
+def test_draws_follow_poisson():
+    key = np.arange(40_000).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for size in (1, 5, trees.LUMP, 2 * trees.LUMP + 3):
+        w = np.full(len(key), size)
+        got = trees.draws(key, w, 1, 7)
+        assert (got == trees.draws(key, w, 1, 7)).all() and (got != trees.draws(key, w, 1, 8)).any()
+        assert abs(got.mean() - size) < 5 * math.sqrt(size / len(key)) and abs(got.var() / size - 1) < 0.05
+
+
+def test_packed_arrays_come_back():
+    arrays = [np.array([-np.inf, 3.0]), np.array([0.1]), np.array([0, 255]), np.array([-1, 300]), np.array([2**40])]
+    kinds, data = trees.pack([trees.narrow(a) for a in arrays])
+    back = trees.unpack(kinds, data)
+    assert all((a == b).all() for a, b in zip(arrays, back)) and len(data) == 8 + 8 + 2 + 4 + 8
